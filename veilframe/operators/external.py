@@ -125,11 +125,12 @@ def ner_spans_multi(
     categories: Sequence[str] | None = None,
 ) -> Column:
     """Entities of several languages' models; at one place the first language wins."""
-    per_language = [
-        ner_spans(text, F.filter(external, lambda x, c=code: x["lang"] == c), categories)
-        for code in languages
-    ]
-    return F.array_sort(S.first_per_place(F.concat(*per_language)))
+
+    def of_language(code: str) -> Column:
+        return F.filter(external, lambda x: x["lang"] == code)
+
+    found = [ner_spans(text, of_language(code), categories) for code in languages]
+    return F.array_sort(S.first_per_place(F.concat(*found)))
 
 
 def hybrid_extra(

@@ -122,8 +122,8 @@ ADDRESS_RULES = (
     Rule(
         r"\b\d{5}\s+[A-Z][a-zé-]+(?:-[A-Z][a-zé-]+)*\b",
         kind="FR_CITY",
-        jvm=r"\b\d{5}\s+[A-Z][a-zé-]+(?:(?<=[a-zé-]-)[A-Z][a-zé-]+(?=[A-Z][a-zé-]))*+"
-        r"(?:(?<=[a-zé-]-)[A-Z][a-zé-]+)?\b",
+        # The hyphen belongs to the word before it, so the group never repeats.
+        jvm=r"\b\d{5}\s+[A-Z][a-zé-]+\b",
     ),
     Rule(
         r"\b[A-Z][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse)\s+\d+[a-z]?\b",
