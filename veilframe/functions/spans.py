@@ -25,10 +25,8 @@ SPAN_TYPE = (
     "struct<start:int,end:int,category:string,confidence:double,value:string,"
     "ctx_from:int,ctx_to:int>"
 )
-
-
-def no_hits() -> Column:
-    return F.array().cast(f"array<{HIT_TYPE}>")
+NO_HITS = f"cast(array() AS array<{HIT_TYPE}>)"
+NO_SPANS = f"cast(array() AS array<{SPAN_TYPE}>)"
 
 
 def no_spans() -> Column:
@@ -40,72 +38,66 @@ def scannable(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\u0002")).otherwise(text)
 
 
-def _read_marks(rule: Column, marked: Column) -> Column:
-    """Marked text to hits: walk over gap, lead, value, trail, gap, ..."""
-    state = F.struct(
-        F.lit(0).alias("pos"),
-        F.lit(0).alias("part"),
-        F.lit(0).alias("lead"),
-        F.lit(0).alias("start"),
-        F.lit("").alias("value"),
-        no_hits().alias("hits"),
-    )
+# --- finding: SQL expressions over a text column -------------------------------------
+# These are written as SQL text rather than with the Column API: a detector is a
+# few hundred constants, and each Column call is a round trip to the JVM.
 
-    def step(acc: Column, piece: Column) -> Column:
-        after = acc["pos"] + F.length(piece)
-        hit = F.struct(
-            rule.alias("rule"),
-            acc["lead"].alias("lead"),
-            acc["start"].alias("start"),
-            (acc["start"] + F.length(acc["value"])).alias("end"),
-            after.alias("stop"),
-            acc["value"].alias("value"),
-        )
-        return F.struct(
-            after.alias("pos"),
-            ((acc["part"] + 1) % 4).alias("part"),
-            F.when(acc["part"] == 1, acc["pos"]).otherwise(acc["lead"]).alias("lead"),
-            F.when(acc["part"] == 2, acc["pos"]).otherwise(acc["start"]).alias("start"),
-            F.when(acc["part"] == 2, piece).otherwise(acc["value"]).alias("value"),
-            F.when(acc["part"] == 3, F.concat(acc["hits"], F.array(hit)))
-            .otherwise(acc["hits"])
-            .alias("hits"),
-        )
 
-    return F.aggregate(F.split(marked, MARK, -1), state, step, lambda acc: acc["hits"])
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literals(values: Sequence[str]) -> str:
+    return ", ".join(literal(v) for v in values)
+
+
+def bind(value: str, name: str, body: str) -> str:
+    """SQL form of ``arrays.let``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _read_marks(rule: str, marked: str) -> str:
+    """Marked text to hits: walk over gap, lead, value, trail, gap, ..."""
+    hit = (
+        f"named_struct('rule', {rule}, 'lead', acc.lead, 'start', acc.start, "
+        "'end', acc.start + length(acc.value), 'stop', acc.pos + length(piece), "
+        "'value', acc.value)"
+    )
+    return (
+        f"aggregate(split({marked}, '{MARK}', -1), "
+        f"named_struct('pos', 0, 'part', 0, 'lead', 0, 'start', 0, 'value', '', 'hits', {NO_HITS}), "
+        "(acc, piece) -> named_struct("
+        "'pos', acc.pos + length(piece), "
+        "'part', (acc.part + 1) % 4, "
+        "'lead', if(acc.part = 1, acc.pos, acc.lead), "
+        "'start', if(acc.part = 2, acc.pos, acc.start), "
+        "'value', if(acc.part = 2, piece, acc.value), "
+        f"'hits', if(acc.part = 3, concat(acc.hits, array({hit})), acc.hits)), "
+        "acc -> acc.hits)"
+    )
 
 
-def scan(text: Column, rules: Sequence[Rule], gate: Column | None = None) -> Column:
+def scan(text: str, rules: Sequence[Rule], gate: str | None = None) -> str:
     """All hits of all rules: rule order first, then text order.
 
     Each rule marks its matches in a copy of the text; a rule that matches
     nothing returns the text itself and is not walked.  ``gate`` is a cheap
     necessary condition which skips the rules for most texts.
     """
-    copies = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.regexp_replace(text, F.lit(r.jvm_regex()), F.lit(MARKED)).alias("marked"),
-            )
-            for i, r in enumerate(rules)
-        ]
+    copies = ", ".join(
+        f"named_struct('rule', {i}, 'marked', "
+        f"regexp_replace({text}, {literal(r.jvm_regex())}, '{MARKED}'))"
+        for i, r in enumerate(rules)
     )
-    hits = F.flatten(
-        F.transform(
-            copies,
-            lambda c: F.when(
-                F.contains(c["marked"], F.lit(MARK)), _read_marks(c["rule"], c["marked"])
-            ).otherwise(no_hits()),
-        )
+    hits = (
+        f"flatten(transform(array({copies}), c -> if(contains(c.marked, '{MARK}'), "
+        f"{_read_marks('c.rule', 'c.marked')}, {NO_HITS})))"
     )
-    return hits if gate is None else F.when(gate, hits).otherwise(no_hits())
+    return hits if gate is None else f"if({gate}, {hits}, {NO_HITS})"
 
 
-def scan_names(
-    text: Column, names: Sequence[str], tail: str = "", ignore_case: bool = True
-) -> Column:
-    """Hits of every dictionary name, each searched on its own.
+def scan_names(text: str, names: Sequence[str], tail: str = "") -> str:
+    """Hits of every dictionary name in any case, each searched on its own.
 
     Names are looked up by a word they must contain (their longest): the words
     of the text are tested against a hash set once, and only names whose word
@@ -114,33 +106,25 @@ def scan_names(
     """
     ordered = sorted(names)
     keys = [_longest_word(n) for n in ordered]
-    flags = "(?iuU)" if ignore_case else "(?U)"
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.lit(k).alias("key"),
-                F.lit(rf"{flags}()(\b\Q{n}\E{tail}\b)()").alias("pattern"),
-            )
-            for i, (n, k) in enumerate(zip(ordered, keys))
-        ]
+    table = ", ".join(
+        f"named_struct('rule', {i}, 'key', {literal(k)}, "
+        + f"'pattern', {literal(name_regex(n, tail))})"
+        for i, (n, k) in enumerate(zip(ordered, keys))
     )
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
-    present = F.array_distinct(F.filter(words, lambda w: w.isin(sorted(set(keys)))))
-
-    def search(found: Column) -> Column:
-        return F.when(F.size(found) == 0, no_hits()).otherwise(
-            F.flatten(
-                F.transform(
-                    F.filter(table, lambda t: F.array_contains(found, t["key"])),
-                    lambda t: _read_marks(
-                        t["rule"], F.regexp_replace(text, t["pattern"], F.lit(MARKED))
-                    ),
-                )
-            )
-        )
+    words = f"split(lower({text}), {literal(NOT_WORD)})"
+    present = f"array_distinct(filter({words}, w -> w IN ({literals(sorted(set(keys)))})))"
+    search = (
+        f"flatten(transform(filter(array({table}), t -> array_contains(present, t.key)), "
+        f"t -> {_read_marks('t.rule', f'regexp_replace({text}, t.pattern, {literal(MARKED)})')}))"
+    )
+    return bind(present, "present", f"if(size(present) = 0, {NO_HITS}, {search})")
+
 
-    return let(present, search)
+NOT_WORD = r"[^\p{L}\p{N}_]+"
+
+
+def name_regex(name: str, tail: str = "") -> str:
+    return rf"(?iuU)()(\b\Q{name}\E{tail}\b)()"
 
 
 def _longest_word(name: str) -> str:
@@ -149,30 +133,30 @@ def _longest_word(name: str) -> str:
 
 
 def to_spans(
-    hits: Column,
+    hits: str,
     category: str,
-    confidence: float | Callable[[Column], Column],
+    confidence: str,
+    where: str | None = None,
     left: int = 20,
     right: int = 20,
     around_match: bool = False,
-) -> Column:
-    """Hits to spans; the context window surrounds the value or the whole match."""
+) -> str:
+    """Hits ``h`` that satisfy ``where``, as spans; the context window surrounds
+    the value or the whole match."""
+    begin, end = ("h.lead", "h.stop") if around_match else ("h.start", "h.`end`")
+    chosen = hits if where is None else f"filter({hits}, h -> {where})"
+    return (
+        f"transform({chosen}, h -> named_struct('start', h.start, 'end', h.`end`, "
+        f"'category', '{category}', 'confidence', cast({confidence} AS double), 'value', h.value, "
+        f"'ctx_from', {begin} - {left}, 'ctx_to', {end} + {right}))"
+    )
+
+
+OVERLAP_SQL = "({0}.`end` > {1}.start AND {0}.start < {1}.`end`)"
+SAME_PLACE_SQL = "({0}.start = {1}.start AND {0}.`end` = {1}.`end`)"
 
-    def one(h: Column) -> Column:
-        conf = confidence(h) if callable(confidence) else F.lit(float(confidence))
-        ctx_from = (h["lead"] if around_match else h["start"]) - left
-        ctx_to = (h["stop"] if around_match else h["end"]) + right
-        return F.struct(
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.lit(category).alias("category"),
-            conf.cast("double").alias("confidence"),
-            h["value"].alias("value"),
-            ctx_from.alias("ctx_from"),
-            ctx_to.alias("ctx_to"),
-        )
 
-    return F.transform(hits, one)
+# --- comparing and choosing: columns of spans -------------------------------------------
 
 
 def overlaps(a: Column, b: Column) -> Column:

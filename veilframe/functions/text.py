@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions.arrays import let
-from veilframe.operators.rules import BSN_WEIGHTS, CHUNK_CHARS, LINE_JOIN_PARTICLES
+from veilframe.operators.rules import CHUNK_CHARS, LINE_JOIN_PARTICLES
 
 
 def strip(text: Column) -> Column:
@@ -25,19 +25,6 @@ def join_broken_names(text: Column) -> Column:
     return text
 
 
-def passes_bsn_check(value: Column) -> Column:
-    """Nine digits whose weighted sum is divisible by eleven."""
-    digits = F.regexp_replace(value, r"[^0-9]", "")
-
-    def check(d: Column) -> Column:
-        total = sum(
-            F.substring(d, i + 1, 1).cast("int") * w for i, w in enumerate(BSN_WEIGHTS)
-        )
-        return (F.length(d) == len(BSN_WEIGHTS)) & F.coalesce(total % 11 == 0, F.lit(False))
-
-    return let(digits, check)
-
-
 def chunk_bounds(text: Column, size: int = CHUNK_CHARS) -> Column:
     """Chunks ``array<struct<start, end>>`` cut at paragraph, then sentence ends.
 

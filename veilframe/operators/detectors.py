@@ -1,7 +1,8 @@
-"""Detectors: text column in, array-of-spans column out.
+"""Detectors: SQL expressions from a text column to an array of spans.
 
 Every detector is a narrow expression, so any number of them runs in one scan
-of the documents.  Pass a text that went through ``spans.scannable``.
+of the documents.  ``text`` is the name of a column that went through
+``spans.scannable``; ``column`` and ``detect`` turn detectors into columns.
 """
 
 from __future__ import annotations
@@ -12,274 +13,221 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
-from veilframe.functions.arrays import let, strings
-from veilframe.functions.text import passes_bsn_check
+from veilframe.functions.spans import bind, literal, literals
 from veilframe.operators import rules as R
 
-Detector = Callable[[Column], Column]
+Detector = Callable[[str], str]
 
 
 def _any_word(words: Sequence[str]) -> str:
-    """Regex that finds any of the words as a substring."""
-    return "|".join(rf"\Q{w}\E" for w in words)
+    """Regex literal that finds any of the words as a substring."""
+    return literal("|".join(rf"\Q{w}\E" for w in words))
 
 
-def _before(text: Column, start: Column, width: int) -> Column:
-    """Lower-cased characters just before a span."""
-    begin = F.greatest(start - width, F.lit(0))
-    return F.lower(F.substring(text, begin + 1, start - begin))
+def _before(text: str, width: int) -> str:
+    """Lower-cased characters just before hit ``h``."""
+    begin = f"greatest(h.start - {width}, 0)"
+    return f"lower(substring({text}, {begin} + 1, h.start - {begin}))"
+
+
+def _matches(value: str, regex: str) -> str:
+    return f"{value} RLIKE {literal(regex)}"
+
+
+ONE_LINE = "NOT contains(h.value, '\n')"
 
 
 # --- structured values ---------------------------------------------------------
 
 
-def emails(text: Column) -> Column:
-    return S.to_spans(
-        S.scan(text, R.EMAIL_RULES, gate=F.contains(text, F.lit("@"))), "EMAIL", 0.99
-    )
+def emails(text: str) -> str:
+    return S.to_spans(S.scan(text, R.EMAIL_RULES, f"contains({text}, '@')"), "EMAIL", "0.99")
 
 
-def phones(text: Column) -> Column:
+def phones(text: str) -> str:
     # Every phone pattern holds at least seven digits with only these between.
-    gate = text.rlike(r"(?U)\d(?:[-/.()\s]*+\d){6}")
-    return S.to_spans(S.scan(text, R.PHONE_RULES, gate), "PHONE", 0.95)
+    gate = _matches(text, r"(?U)\d(?:[-/.()\s]*+\d){6}")
+    return S.to_spans(S.scan(text, R.PHONE_RULES, gate), "PHONE", "0.95")
 
 
-def ibans(text: Column) -> Column:
-    gate = text.rlike(r"(?U)[A-Z]{2}\d{2}")
-    hits = F.filter(S.scan(text, R.IBAN_RULES, gate), lambda h: ~h["value"].rlike("XX|xx"))
-    return S.to_spans(hits, "IBAN", 0.95)
+def ibans(text: str) -> str:
+    hits = S.scan(text, R.IBAN_RULES, _matches(text, r"(?U)[A-Z]{2}\d{2}"))
+    return S.to_spans(hits, "IBAN", "0.95", "NOT h.value RLIKE 'XX|xx'")
 
 
-def birth_dates(text: Column) -> Column:
+def birth_dates(text: str) -> str:
     """Dates with a birth word in the 30 characters before; other dates stay."""
-    hits = F.filter(
-        S.scan(text, R.DATE_RULES),
-        lambda h: _before(text, h["start"], 30).rlike(_any_word(R.BIRTH_WORDS)),
-    )
-    return S.to_spans(hits, "DOB", 0.90, left=30)
+    hits = S.scan(text, R.DATE_RULES, _matches(text, r"(?U)\d[-/.]\d"))
+    where = f"{_before(text, 30)} RLIKE {_any_word(R.BIRTH_WORDS)}"
+    return S.to_spans(hits, "DOB", "0.90", where, left=30)
+
 
+def addresses(text: str) -> str:
+    hits = S.scan(text, R.ADDRESS_RULES, _matches(text, r"(?U)\d"))
+    return S.to_spans(hits, "ADDRESS", "0.85", ONE_LINE, left=30)
 
-def addresses(text: Column) -> Column:
-    hits = F.filter(
-        S.scan(text, R.ADDRESS_RULES, gate=text.rlike(r"(?U)\d")),
-        lambda h: ~F.contains(h["value"], F.lit("\n")),
+
+def bsn_check(value: str) -> str:
+    """Nine digits whose weighted sum is divisible by eleven."""
+    total = " + ".join(
+        f"cast(substring(digits, {i + 1}, 1) AS int) * ({w})" for i, w in enumerate(R.BSN_WEIGHTS)
+    )
+    return bind(
+        f"regexp_replace({value}, '[^0-9]', '')",
+        "digits",
+        f"if(length(digits) = {len(R.BSN_WEIGHTS)}, ({total}) % 11 = 0, false)",
     )
-    return S.to_spans(hits, "ADDRESS", 0.85, left=30)
 
 
-def national_ids(text: Column) -> Column:
+def national_ids(text: str) -> str:
     """Id numbers; the ambiguous kinds need a check sum or a word before them."""
-    kinds = [r.kind for r in R.ID_RULES]
-
-    def of_kind(h: Column, kind: str) -> Column:
-        return h["rule"].isin([i for i, k in enumerate(kinds) if k == kind])
-
-    def judged(h: Column) -> Column:
-        def with_before(before: Column) -> Column:
-            context = before.rlike(_any_word(R.ID_WORDS))
-            digits_only = F.regexp_replace(h["value"], "[-. ]", "")
-            accepted = (
-                F.when(of_kind(h, "NL_BSN"), passes_bsn_check(h["value"]) | context)
-                .when(of_kind(h, "US_SSN"), before.rlike(_any_word(R.SSN_WORDS)))
-                .when(of_kind(h, "BE_NATIONAL"), (F.length(digits_only) != 11) | context)
-                .when(of_kind(h, "PASSPORT"), context)
-                .otherwise(F.lit(True))
-            )
-            return F.struct(h.alias("hit"), accepted.alias("accepted"), context.alias("context"))
-
-        return let(_before(text, h["start"], 50), with_before)
-
-    hits = S.scan(text, R.ID_RULES, gate=text.rlike(r"(?U)\d\d"))
-    accepted = F.filter(F.transform(hits, judged), lambda j: j["accepted"])
-    confidence = F.transform(
-        accepted,
-        lambda j: S.to_spans(
-            F.array(j["hit"]),
-            "ID",
-            lambda _: F.when(j["context"], 0.85).otherwise(0.70),
-            left=30,
-        )[0],
+
+    def of_kind(kind: str) -> str:
+        return f"h.rule IN ({', '.join(str(i) for i, r in enumerate(R.ID_RULES) if r.kind == kind)})"
+
+    accepted = (
+        f"CASE WHEN {of_kind('NL_BSN')} THEN context OR {bsn_check('h.value')} "
+        f"WHEN {of_kind('US_SSN')} THEN before RLIKE {_any_word(R.SSN_WORDS)} "
+        f"WHEN {of_kind('BE_NATIONAL')} "
+        "THEN context OR length(regexp_replace(h.value, '[-. ]', '')) <> 11 "
+        f"WHEN {of_kind('PASSPORT')} THEN context ELSE true END"
+    )
+    judged = (
+        f"transform({S.scan(text, R.ID_RULES, _matches(text, r'(?U)\d\d'))}, h -> "
+        + bind(
+            _before(text, 50),
+            "before",
+            bind(
+                f"before RLIKE {_any_word(R.ID_WORDS)}",
+                "context",
+                "named_struct('rule', h.rule, 'lead', h.lead, 'start', h.start, 'end', h.`end`, "
+                "'stop', h.stop, 'value', h.value, 'context', context, "
+                f"'accepted', {accepted})",
+            ),
+        )
+        + ")"
     )
-    return confidence
+    return S.to_spans(judged, "ID", "if(h.context, 0.85, 0.70)", "h.accepted", left=30)
 
 
-def roads(text: Column) -> Column:
-    return S.to_spans(S.scan(text, R.ROAD_RULES), "ROAD", 0.95)
+def roads(text: str) -> str:
+    return S.to_spans(S.scan(text, R.ROAD_RULES), "ROAD", "0.95")
 
 
 # --- places and streets ----------------------------------------------------------
 
 
-def gazetteer_places(text: Column, places: Sequence[str] = R.KNOWN_PLACES) -> Column:
-    return S.to_spans(S.scan_names(text, places), "PLACE", 0.95)
+def gazetteer_places(text: str, places: Sequence[str] = R.KNOWN_PLACES) -> str:
+    return S.to_spans(S.scan_names(text, places), "PLACE", "0.95")
 
 
-def preposition_places(text: Column, places: Sequence[str] = R.KNOWN_PLACES) -> Column:
+def preposition_places(text: str, places: Sequence[str] = R.KNOWN_PLACES) -> str:
     """Capitalised word after a preposition that the gazetteer does not know."""
-    hits = F.filter(
-        S.scan(text, R.PREPOSITION_PLACE_RULES),
-        lambda h: (F.length(h["value"]) >= 3)
-        & ~F.lower(h["value"]).isin(list(R.ARTICLES))
-        & ~h["value"].isin(list(places)),
+    where = (
+        f"length(h.value) >= 3 AND lower(h.value) NOT IN ({literals(R.ARTICLES)}) "
+        f"AND h.value NOT IN ({literals(places)})"
     )
-    return S.to_spans(hits, "PLACE", 0.75, around_match=True)
+    hits = S.scan(text, R.PREPOSITION_PLACE_RULES)
+    return S.to_spans(hits, "PLACE", "0.75", where, around_match=True)
 
 
-def places(text: Column, known: Sequence[str] = R.KNOWN_PLACES) -> Column:
-    return let(
+def places(text: str, known: Sequence[str] = R.KNOWN_PLACES) -> str:
+    new = f"NOT exists(known, k -> {S.SAME_PLACE_SQL.format('s', 'k')})"
+    return bind(
         gazetteer_places(text, known),
-        lambda g: F.concat(
-            g,
-            F.filter(
-                preposition_places(text, known),
-                lambda s: ~F.exists(g, lambda k: S.same_place(s, k)),
-            ),
-        ),
+        "known",
+        f"concat(known, filter({preposition_places(text, known)}, s -> {new}))",
     )
 
 
-def context_places(text: Column) -> Column:
-    hits = F.filter(
-        S.scan(text, R.CONTEXT_PLACE_RULES),
-        lambda h: (F.length(h["value"]) >= 3)
-        & ~h["value"].isin(list(R.CONTEXT_PLACE_STOPWORDS)),
-    )
-    return S.to_spans(hits, "PLACE", 0.90, left=10, right=10, around_match=True)
+def context_places(text: str) -> str:
+    where = f"length(h.value) >= 3 AND h.value NOT IN ({literals(R.CONTEXT_PLACE_STOPWORDS)})"
+    hits = S.scan(text, R.CONTEXT_PLACE_RULES)
+    return S.to_spans(hits, "PLACE", "0.90", where, left=10, right=10, around_match=True)
 
 
-def named_streets(text: Column) -> Column:
+def named_streets(text: str) -> str:
     """Street names without a house number after them."""
-    hits = F.filter(
-        S.scan(text, R.NAMED_STREET_RULES),
-        lambda h: (F.length(h["value"]) >= 5)
-        & ~F.contains(h["value"], F.lit("\n"))
-        & ~F.substring(text, h["end"] + 1, F.lit(10)).rlike(r"(?U)^\s*\d"),
-    )
-    return S.to_spans(hits, "STREET", 0.85)
+    number_follows = _matches(f"substring({text}, h.`end` + 1, 10)", r"(?U)^\s*\d")
+    where = f"length(h.value) >= 5 AND {ONE_LINE} AND NOT {number_follows}"
+    return S.to_spans(S.scan(text, R.NAMED_STREET_RULES), "STREET", "0.85", where)
 
 
-def any_street(text: Column) -> Column:
+def any_street(text: str) -> str:
     """Any word that ends like a street, minus words known not to be one."""
+    where = (
+        f"length(h.value) >= 6 AND lower(h.value) NOT IN ({literals(R.STREET_SUFFIXES)}) "
+        f"AND lower(h.value) NOT IN ({literals(R.NOT_STREETS)}) "
+        "AND NOT endswith(lower(h.value), 'ering')"
+    )
+    return S.to_spans(S.scan(text, R.ANY_STREET_RULES), "STREET", "0.88", where)
 
-    def street(h: Column) -> Column:
-        word = F.lower(h["value"])
-        return (
-            (F.length(h["value"]) >= 6)
-            & ~word.isin(list(R.STREET_SUFFIXES))
-            & ~word.isin(list(R.NOT_STREETS))
-            & ~F.endswith(word, F.lit("ering"))
-        )
 
-    return S.to_spans(F.filter(S.scan(text, R.ANY_STREET_RULES), street), "STREET", 0.88)
+# --- persons ---------------------------------------------------------------------
 
 
-# --- persons ---------------------------------------------------------------------
+def names(text: str) -> str:
+    where = (
+        f"length(h.value) >= 5 AND upper(h.value) NOT IN ({literals(R.NAME_EXCLUSIONS)}) "
+        f"AND NOT upper(h.value) RLIKE '{'|'.join(R.NAME_REGION_WORDS)}' "
+        f"AND element_at(split(lower(h.value), {literal(r'(?U)\s+')}), -1) "
+        f"NOT IN ({literals(R.NAME_PLACE_ENDINGS)}) AND {ONE_LINE}"
+    )
+    return S.to_spans(S.scan(text, R.NAME_RULES), "PERSON", "0.80", where, left=30)
 
 
-def names(text: Column) -> Column:
-    def person(h: Column) -> Column:
-        upper = F.upper(h["value"])
-        last_word = F.element_at(F.split(F.lower(h["value"]), r"(?U)\s+"), -1)
-        return (
-            (F.length(h["value"]) >= 5)
-            & ~upper.isin(list(R.NAME_EXCLUSIONS))
-            & ~upper.rlike("|".join(R.NAME_REGION_WORDS))
-            & ~last_word.isin(list(R.NAME_PLACE_ENDINGS))
-            & ~F.contains(h["value"], F.lit("\n"))
-        )
+TRAILING_BLANKS = r"(?U)(?<!\s)\s+\z"
+
 
-    return S.to_spans(F.filter(S.scan(text, R.NAME_RULES), person), "PERSON", 0.80, left=30)
+def _hit(start: str, end: str, value: str) -> str:
+    return (
+        f"named_struct('rule', 0, 'lead', {start}, 'start', {start}, 'end', {end}, "
+        f"'stop', {end}, 'value', {value})"
+    )
 
 
-def _name_ending_at(run: Column, run_end: Column, first: str, middle: str | None, last: str,
-                    min_words: int) -> Column:
-    """Longest name that ends where a run of name characters ends.
+def _names_at_run_ends(runs: str, first: str, middle: str | None, last: str, min_words: int) -> str:
+    """Hits of runs of name characters to hits of the longest name that ends
+    where its run ends.
 
     The name is a word with suffix ``first``, then words of form ``middle``,
     then words of form ``last``.  Found by looking at the words from the right:
     the last word not of form ``last`` closes the middle part, the last word
     before it not of form ``middle`` is the earliest place to start.  This
     replaces nested repetition in a regex, which is super-linear and recursive.
-    Returns an array with zero or one hit.
     """
-    trimmed = F.regexp_replace(run, r"(?U)(?<!\s)\s+\z", "")
-    gap = F.length(run) - F.length(trimmed)
-
-    def locate(t: Column) -> Column:
-        def from_words(words: Column) -> Column:
-            def form(pattern: str) -> Callable[[Column], Column]:
-                return lambda w: (w == "") | w.rlike(f"^(?:{pattern})$")
-
-            n = F.size(words)
-            positions = F.sequence(F.lit(1), n)
-            not_last = F.array_max(
-                F.filter(positions, lambda i: ~form(last)(F.element_at(words, i)))
-            )
-            closes = F.coalesce(not_last, F.lit(1))
-            if middle is None:
-                earliest = closes
-            else:
-                earliest = let(
-                    closes,
-                    lambda j: F.coalesce(
-                        F.array_max(
-                            F.filter(
-                                positions,
-                                lambda i: (i <= j) & ~form(middle)(F.element_at(words, i)),
-                            )
-                        ),
-                        F.lit(1),
-                    ),
-                )
-            starts = let(
-                earliest,
-                lambda e: F.filter(
-                    positions,
-                    lambda i: (i >= e)
-                    & F.element_at(words, i).rlike(f"{first}$")
-                    & (
-                        F.size(
-                            F.filter(
-                                F.slice(words, i + 1, n), lambda w: w != ""
-                            )
-                        )
-                        >= min_words - 1
-                    ),
-                )
-                if min_words > 1
-                else F.filter(
-                    positions, lambda i: (i >= e) & F.element_at(words, i).rlike(f"{first}$")
-                ),
-            )
-
-            def build(k: Column) -> Column:
-                head = F.regexp_extract(F.element_at(words, k), f"{first}$", 0)
-                name = F.array_join(
-                    F.concat(F.array(head), F.slice(words, k + 1, n)), " "
-                )
-                return let(
-                    F.length(name),
-                    lambda size: F.array(
-                        F.struct(
-                            F.lit(0).alias("rule"),
-                            (run_end - gap - size).alias("lead"),
-                            (run_end - gap - size).alias("start"),
-                            (run_end - gap).alias("end"),
-                            (run_end - gap).alias("stop"),
-                            F.right(t, size).alias("value"),
-                        )
-                    ),
-                )
-
-            return let(
-                F.array_min(starts),
-                lambda k: F.when(k.isNull(), S.no_hits()).otherwise(build(k)),
-            )
-
-        return let(F.split(t, r"(?U)\s", -1), from_words)
-
-    return let(trimmed, locate)
+
+    def last_word_unlike(form: str, upto: str) -> str:
+        unlike = f"elt_i <> '' AND NOT {_matches('elt_i', f'^(?:{form})$')}"
+        positions = f"transform(words, (elt_i, i) -> if(i < {upto} AND {unlike}, i + 1, 0))"
+        return f"greatest(array_max({positions}), 1)"
+
+    heads = f"i >= earliest AND {_matches('element_at(words, i)', f'{first}$')}"
+    if min_words > 1:
+        heads += (
+            f" AND size(filter(slice(words, i + 1, size(words)), w -> w <> '')) >= {min_words - 1}"
+        )
+    name = (
+        f"array_join(concat(array(regexp_extract(element_at(words, k), {literal(f'{first}$')}, 0)), "
+        "slice(words, k + 1, size(words))), ' ')"
+    )
+    end = "(h.start + length(trimmed))"
+    found = bind(
+        f"length({name})",
+        "len",
+        f"array({_hit(f'{end} - len', end, 'right(trimmed, len)')})",
+    )
+    from_start = bind(
+        f"array_min(filter(sequence(1, size(words)), i -> {heads}))",
+        "k",
+        f"if(k IS NULL, {S.NO_HITS}, {found})",
+    )
+    closes = last_word_unlike(last, "size(words)")
+    earliest = "closes" if middle is None else last_word_unlike(middle, "closes")
+    body = bind(closes, "closes", bind(earliest, "earliest", from_start))
+    body = bind(f"split(trimmed, {literal(r'(?U)\s')}, -1)", "words", body)
+    body = bind(f"regexp_replace(h.value, {literal(TRAILING_BLANKS)}, '')", "trimmed", body)
+    return f"flatten(transform({runs}, h -> {body}))"
 
 
 # Runs of characters that names before a date may hold, up to the date.
@@ -288,7 +236,7 @@ _RUN_BEFORE_DATE = R.Rule(
     value=rf"(?<![\s{_NAME_CHARS}])[\s{_NAME_CHARS}]+", trail=r"[-–]\s*" + R.DATE
 )
 _RUN_BEFORE_PLACEHOLDER = R.Rule(
-    value=r"(?<![\sA-Za-z])[\sA-Za-z]+", lead="", trail=r"(?<=\s)PERSON_\d{3,4}"
+    value=r"(?<![\sA-Za-z])[\sA-Za-z]+", trail=r"(?<=\s)PERSON_\d{3,4}"
 )
 # A capital word and its maximal chain of capitalised words, with what follows.
 _CAPS_CHAIN = R.Rule(
@@ -297,91 +245,63 @@ _CAPS_CHAIN = R.Rule(
 )
 
 
-def _names_before_date(text: Column) -> Column:
-    runs = S.scan(text, [_RUN_BEFORE_DATE], gate=text.rlike(r"(?U)[-–]\s*\d"))
-    hits = F.flatten(
-        F.transform(
-            runs,
-            lambda h: _name_ending_at(
-                h["value"],
-                h["end"],
-                first=rf"[A-Z][{_NAME_CHARS}]+",
-                middle=rf"[A-Z]?[a-zé\'\-]+",
-                last=rf"[A-Z][{_NAME_CHARS}]+",
-                min_words=1,
-            ),
-        )
+def names_before_date(text: str) -> str:
+    hits = _names_at_run_ends(
+        S.scan(text, [_RUN_BEFORE_DATE], _matches(text, r"(?U)[-–]\s*\d")),
+        first=rf"[A-Z][{_NAME_CHARS}]+",
+        middle=r"[A-Z]?[a-zé\'\-]+",
+        last=rf"[A-Z][{_NAME_CHARS}]+",
+        min_words=1,
     )
-    kept = F.filter(
-        hits,
-        lambda h: (F.length(h["value"]) >= 3)
-        & ~F.lower(h["value"]).isin(list(R.NAME_BEFORE_DATE_STOPWORDS)),
+    where = (
+        "length(h.value) >= 3 "
+        f"AND lower(h.value) NOT IN ({literals(R.NAME_BEFORE_DATE_STOPWORDS)})"
     )
-    return S.to_spans(kept, "PERSON", 0.88, left=10, right=30)
-
+    return S.to_spans(hits, "PERSON", "0.88", where, left=10, right=30)
 
-def _caps_names(text: Column) -> Column:
-    def cut(h: Column) -> Column:
-        # Without a follow-up after the whole chain, the name may still end
-        # before the last follow-up word inside the chain.
-        inner = F.regexp_extract(
-            h["value"], r"(?U)^([\s\S]*)(?:(?<=\s)Nationaliteit|(?<=[a-z])geboren)", 1
-        )
-        name = F.when(h["stop"] > h["end"], h["value"]).otherwise(
-            F.regexp_replace(inner, r"(?U)(?<!\s)\s+\z", "")
-        )
-        return let(
-            name,
-            lambda v: F.struct(
-                h["rule"].alias("rule"),
-                h["lead"].alias("lead"),
-                h["start"].alias("start"),
-                (h["start"] + F.length(v)).alias("end"),
-                (h["start"] + F.length(v)).alias("stop"),
-                v.alias("value"),
-            ),
-        )
 
-    gate = text.rlike(r"(?U)[-–]\s*\d|Nationaliteit|PERSON_|geboren")
-    hits = F.filter(
-        F.transform(S.scan(text, [_CAPS_CHAIN], gate), cut),
-        lambda h: (h["value"] != "") & ~h["value"].isin(list(R.CAPS_NAME_STOPWORDS)),
+def caps_names(text: str) -> str:
+    # Without a follow-up after the whole chain, the name may still end before
+    # the last follow-up word inside the chain.
+    inner = (
+        "regexp_extract(h.value, "
+        + literal(r"(?U)^([\s\S]*)(?:(?<=\s)Nationaliteit|(?<=[a-z])geboren)")
+        + ", 1)"
     )
-    return S.to_spans(hits, "PERSON", 0.85, left=10, right=30)
+    name = f"if(h.stop > h.`end`, h.value, regexp_replace({inner}, {literal(TRAILING_BLANKS)}, ''))"
+    gate = _matches(text, r"(?U)[-–]\s*\d|Nationaliteit|PERSON_|geboren")
+    hits = (
+        f"transform({S.scan(text, [_CAPS_CHAIN], gate)}, h -> "
+        + bind(name, "v", _hit("h.start", "h.start + length(v)", "v"))
+        + ")"
+    )
+    where = f"h.value <> '' AND h.value NOT IN ({literals(R.CAPS_NAME_STOPWORDS)})"
+    return S.to_spans(hits, "PERSON", "0.85", where, left=10, right=30)
 
 
-def _names_before_placeholder(text: Column) -> Column:
-    runs = S.scan(text, [_RUN_BEFORE_PLACEHOLDER], gate=F.contains(text, F.lit("PERSON_")))
-    hits = F.flatten(
-        F.transform(
-            runs,
-            lambda h: _name_ending_at(
-                h["value"], h["end"], first=r"[A-Z][a-z]+", middle=None, last=r"[A-Z][a-z]+",
-                min_words=2,
-            ),
-        )
+def names_before_placeholder(text: str) -> str:
+    hits = _names_at_run_ends(
+        S.scan(text, [_RUN_BEFORE_PLACEHOLDER], f"contains({text}, 'PERSON_')"),
+        first=r"[A-Z][a-z]+",
+        middle=None,
+        last=r"[A-Z][a-z]+",
+        min_words=2,
     )
-    kept = F.filter(hits, lambda h: F.length(h["value"]) >= 4)
-    return S.to_spans(kept, "PERSON", 0.82, left=10, right=30)
+    return S.to_spans(hits, "PERSON", "0.82", "length(h.value) >= 4", left=10, right=30)
 
 
-def names_by_context(text: Column) -> Column:
+def names_by_context(text: str) -> str:
     """Names before a birth date, capital names before a follow-up, and names
     before an existing placeholder."""
-    return let(
-        _names_before_date(text),
-        lambda dated: let(
-            F.filter(
-                _caps_names(text), lambda s: ~F.exists(dated, lambda d: S.overlaps(s, d))
-            ),
-            lambda caps: F.concat(
-                dated,
-                caps,
-                F.filter(
-                    _names_before_placeholder(text),
-                    lambda s: ~F.exists(F.concat(dated, caps), lambda d: S.same_place(s, d)),
-                ),
-            ),
+    free = f"NOT exists(dated, d -> {S.OVERLAP_SQL.format('s', 'd')})"
+    new = f"NOT exists(concat(dated, caps), d -> {S.SAME_PLACE_SQL.format('s', 'd')})"
+    return bind(
+        names_before_date(text),
+        "dated",
+        bind(
+            f"filter({caps_names(text)}, s -> {free})",
+            "caps",
+            f"concat(dated, caps, filter({names_before_placeholder(text)}, s -> {new}))",
         ),
     )
 
@@ -389,25 +309,33 @@ def names_by_context(text: Column) -> Column:
 # --- vehicles --------------------------------------------------------------------
 
 
-def vehicle_brands(text: Column, brands: Sequence[str] = R.VEHICLE_BRANDS) -> Column:
-    hits = F.filter(
-        S.scan_names(text, brands, tail=R.BRAND_TAIL), lambda h: F.length(h["value"]) >= 3
-    )
-    return S.to_spans(hits, "VEHICLE", 0.92)
+def vehicle_brands(text: str, brands: Sequence[str] = R.VEHICLE_BRANDS) -> str:
+    hits = S.scan_names(text, brands, R.BRAND_TAIL)
+    return S.to_spans(hits, "VEHICLE", "0.92", "length(h.value) >= 3")
 
 
-def vehicle_models(text: Column, models: Sequence[str] = R.VEHICLE_MODELS) -> Column:
-    return S.to_spans(S.scan_names(text, models), "VEHICLE", 0.88)
+def vehicle_models(text: str, models: Sequence[str] = R.VEHICLE_MODELS) -> str:
+    return S.to_spans(S.scan_names(text, models), "VEHICLE", "0.88")
+
+
+def models_beside_brands(text: str, brands: str, models: Sequence[str] = R.VEHICLE_MODELS) -> str:
+    """Model spans that overlap no brand span nor an earlier model span."""
+    free = f"NOT exists(concat({brands}, kept), k -> {S.OVERLAP_SQL.format('s', 'k')})"
+    return (
+        f"aggregate({vehicle_models(text, models)}, {S.NO_SPANS}, "
+        f"(kept, s) -> if({free}, concat(kept, array(s)), kept))"
+    )
 
 
 def vehicles(
-    text: Column,
+    text: str,
     brands: Sequence[str] = R.VEHICLE_BRANDS,
     models: Sequence[str] = R.VEHICLE_MODELS,
-) -> Column:
-    return let(
+) -> str:
+    return bind(
         vehicle_brands(text, brands),
-        lambda b: F.concat(b, S.keep_free(vehicle_models(text, models), b)),
+        "brands",
+        f"concat(brands, {models_beside_brands(text, 'brands', models)})",
     )
 
 
@@ -441,11 +369,11 @@ HYBRID_ORDER = (
 )
 
 
-def detect(text: Column, order: Sequence[str] = PATTERN_ORDER) -> Column:
-    """Candidates of several detectors in list order, overlaps included."""
-    return F.concat(*[DETECTORS[name](text) for name in order])
+def column(detector: Detector, text: str) -> Column:
+    """Result of one detector on its own: one span per place."""
+    return S.first_per_place(F.expr(detector(text)))
 
 
-def detect_one(text: Column, name: str) -> Column:
-    """Result of one detector on its own: one span per place."""
-    return S.first_per_place(DETECTORS[name](text))
+def detect(text: str, order: Sequence[str] = PATTERN_ORDER) -> Column:
+    """Candidates of several detectors in list order, overlaps included."""
+    return F.expr("concat(" + ", ".join(DETECTORS[name](text) for name in order) + ")")

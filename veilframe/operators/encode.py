@@ -39,8 +39,8 @@ def resolve_backend(backend: str) -> str:
     return "hybrid" if backend == "auto" else backend
 
 
-def detected(text: Column, external: Column | None, backend: str, **options: Any) -> Column:
-    """Disjoint spans of one text by the chosen back end, in text order."""
+def detected(text: str, external: Column | None, backend: str, **options: Any) -> Column:
+    """Disjoint spans of a text column by the chosen back end, in text order."""
     backend = resolve_backend(backend)
     if backend == "patterns":
         return S.resolve_overlaps(D.detect(text, D.PATTERN_ORDER))
@@ -51,17 +51,17 @@ def detected(text: Column, external: Column | None, backend: str, **options: Any
         return let(
             patterns,
             lambda p: S.resolve_overlaps(
-                F.concat(p, X.hybrid_extra(text, external, p, **options))
+                F.concat(p, X.hybrid_extra(F.col(text), external, p, **options))
             ),
         )
     if external is None:
         raise ValueError(f"backend {backend!r} needs the model's spans: external=")
     if backend == "spacy":
-        found = X.ner_spans(text, external, **options)
+        found = X.ner_spans(F.col(text), external, **options)
     elif backend == "presidio":
-        found = X.analyzer_spans(text, external, **options)
+        found = X.analyzer_spans(F.col(text), external, **options)
     else:
-        found = X.zero_shot_spans(text, external, **options)
+        found = X.zero_shot_spans(F.col(text), external, **options)
     # Model spans may overlap, which would corrupt the rewritten text.
     return let(found, S.resolve_overlaps)
 
@@ -78,7 +78,7 @@ def detect_spans(
         docs, has_external = X.attach_external(docs, external), True
     scanned = docs.withColumn("_scan", S.scannable(F.col("text")))
     found = detected(
-        F.col("_scan"), F.col("external") if has_external else None, backend, **options
+        "_scan", F.col("external") if has_external else None, backend, **options
     )
     result = scanned.withColumn("spans", found).drop("_scan")
     return result.drop("external") if has_external else result

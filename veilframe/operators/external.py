@@ -72,7 +72,7 @@ def label_category(
     label: Column, table: Mapping[str, str], default: str | None = None
 ) -> Column:
     """Category of a label; the table is a constant of a few dozen entries."""
-    constant = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    constant = F.expr(f"map({S.literals([x for pair in table.items() for x in pair])})")
     found = F.try_element_at(constant, label)
     return found if default is None else F.coalesce(found, F.lit(default))
 

@@ -15,7 +15,7 @@ from veilframe.functions import keys as K
 from veilframe.functions import spans as S
 from veilframe.functions import strategies as ST
 from veilframe.functions.arrays import explode_structs, let
-from veilframe.functions.text import join_broken_names, passes_bsn_check
+from veilframe.functions.text import join_broken_names
 from veilframe.operators import decode as DE
 from veilframe.operators import detectors as D
 from veilframe.operators import encode as EN
@@ -421,7 +421,7 @@ def detector_query(name: str, detector: str) -> None:
 
     @query(name, sql)
     def run(spark, sf_dir):
-        expr = S.first_per_place(getattr(D, detector)(F.col("scan")))
+        expr = D.column(getattr(D, detector), "scan")
         return span_table(C.corpus(spark, sf_dir), expr).selectExpr(*SPAN_COLS)
 
 
@@ -456,7 +456,7 @@ def c6b(spark, sf_dir):
     return (
         C.table(spark, sf_dir, "customer")
         .select("c_custkey", value.alias("value"))
-        .withColumn("valid", passes_bsn_check(F.col("value")))
+        .withColumn("valid", F.expr(D.bsn_check("value")))
     )
 
 
@@ -488,7 +488,7 @@ def _nth(words: str, expr: str) -> str:
 
 
 def external_spans(docs: DataFrame, words: str) -> DataFrame:
-    hits = scanned(docs).select("doc_id", S.scan(F.col("scan"), EXTERNAL_RULES).alias("hits"))
+    hits = scanned(docs).select("doc_id", F.expr(S.scan("scan", EXTERNAL_RULES)).alias("hits"))
     return explode_structs(hits, ["doc_id"], "hits").select(
         "doc_id",
         "start",
@@ -663,7 +663,7 @@ def c22(spark, sf_dir):
     ),
 )
 def d1(spark, sf_dir):
-    found = scanned(C.corpus(spark, sf_dir)).withColumn("all", D.phones(F.col("scan")))
+    found = scanned(C.corpus(spark, sf_dir)).withColumn("all", F.expr(D.phones("scan")))
     counted = found.select(
         "doc_id",
         F.size("all").alias("candidates"),
@@ -682,7 +682,7 @@ OVERLAPPING = ("phones", "ibans", "national_ids", "addresses")
     ),
 )
 def d2(spark, sf_dir):
-    expr = S.resolve_overlaps(D.detect(F.col("scan"), OVERLAPPING))
+    expr = S.resolve_overlaps(D.detect("scan", OVERLAPPING))
     return span_table(C.corpus(spark, sf_dir), expr).selectExpr(*SPAN_COLS)
 
 
@@ -694,7 +694,7 @@ def d2(spark, sf_dir):
     ),
 )
 def d3(spark, sf_dir):
-    expr = S.keep_free(D.vehicle_models(F.col("scan")), D.vehicle_brands(F.col("scan")))
+    expr = S.keep_free(F.expr(D.vehicle_models("scan")), F.expr(D.vehicle_brands("scan")))
     return span_table(C.corpus(spark, sf_dir), expr).selectExpr(*SPAN_COLS)
 
 
@@ -708,7 +708,7 @@ def d3(spark, sf_dir):
 def d4(spark, sf_dir):
     docs = C.documents(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
-    expr = X.hybrid_extra(F.col("text"), F.col("external"), D.detect(F.col("scan"), D.HYBRID_ORDER))
+    expr = X.hybrid_extra(F.col("text"), F.col("external"), D.detect("scan", D.HYBRID_ORDER))
     return span_table(joined, expr).select(
         "doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "category", "value"
     )
@@ -722,7 +722,7 @@ def d4(spark, sf_dir):
     ),
 )
 def d5(spark, sf_dir):
-    rows = span_table(C.corpus(spark, sf_dir), D.detect(F.col("scan"), D.PATTERN_ORDER))
+    rows = span_table(C.corpus(spark, sf_dir), D.detect("scan", D.PATTERN_ORDER))
     places = rows.groupBy("category", "confidence", "doc_id", "start", "end").agg(
         F.count(F.lit(1)).alias("n")
     )
