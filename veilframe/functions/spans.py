@@ -18,7 +18,8 @@ from veilframe.operators.rules import MASKED_VALUE, Rule
 
 # Four marks delimit lead, value and trail of a match inside the marked text.
 MARK = "\u0001"
-MARKED = f"{MARK}$1{MARK}$2{MARK}$3{MARK}"
+MARKED_GROUPS = f"{MARK}$1{MARK}$2{MARK}$3{MARK}"
+MARKED_MATCH = f"{MARK}{MARK}$0{MARK}{MARK}"
 
 HIT_TYPE = "struct<rule:int,lead:int,start:int,end:int,stop:int,value:string>"
 SPAN_TYPE = (
@@ -82,26 +83,45 @@ def scan(text: str, rules: Sequence[Rule], gate: str | None = None) -> str:
 
     Each rule marks its matches in a copy of the text; a rule that matches
     nothing returns the text itself and is not walked.  ``gate`` is a cheap
-    necessary condition which skips the rules for most texts.
+    necessary condition which skips the rules for most texts, as are the needs
+    of single rules; a regex several rules need is tested once.
     """
+    shared = list(dict.fromkeys(r.needs_regex for r in rules if r.needs_regex))
+
+    def copy(rule: Rule) -> str:
+        marks = MARKED_GROUPS if rule.in_groups else MARKED_MATCH
+        replaced = f"regexp_replace({text}, {literal(rule.jvm_regex())}, '{marks}')"
+        if rule.needs:
+            held = " OR ".join(f"contains({text}, {literal(n)})" for n in rule.needs)
+            replaced = f"if({held}, {replaced}, {text})"
+        if rule.needs_regex:
+            replaced = f"if(need_{shared.index(rule.needs_regex)}, {replaced}, {text})"
+        return replaced
+
     copies = ", ".join(
-        f"named_struct('rule', {i}, 'marked', "
-        f"regexp_replace({text}, {literal(r.jvm_regex())}, '{MARKED}'))"
-        for i, r in enumerate(rules)
+        f"named_struct('rule', {i}, 'marked', {copy(r)})" for i, r in enumerate(rules)
     )
     hits = (
         f"flatten(transform(array({copies}), c -> if(contains(c.marked, '{MARK}'), "
         f"{_read_marks('c.rule', 'c.marked')}, {NO_HITS})))"
     )
+    for i, regex in enumerate(shared):
+        hits = bind(f"{text} RLIKE {literal('(?U)' + regex)}", f"need_{i}", hits)
     return hits if gate is None else f"if({gate}, {hits}, {NO_HITS})"
 
 
-def scan_names(text: str, names: Sequence[str], tail: str = "") -> str:
+def words_of(text: str) -> str:
+    return f"split(lower({text}), {literal(NOT_WORD)})"
+
+
+def scan_names(
+    text: str, names: Sequence[str], tail: str = "", words: str | None = None
+) -> str:
     """Hits of every dictionary name in any case, each searched on its own.
 
     Names are looked up by a word they must contain (their longest): the words
-    of the text are tested against a hash set once, and only names whose word
-    occurs are searched.  One alternation of all names would be quicker still
+    of the text (``words``, if at hand) are tested against a hash set, and only
+    names whose word occurs are searched.  One alternation of all names would be quicker still
     but would lose names that overlap one another.
     """
     ordered = sorted(names)
@@ -111,11 +131,10 @@ def scan_names(text: str, names: Sequence[str], tail: str = "") -> str:
         + f"'pattern', {literal(name_regex(n, tail))})"
         for i, (n, k) in enumerate(zip(ordered, keys))
     )
-    words = f"split(lower({text}), {literal(NOT_WORD)})"
-    present = f"array_distinct(filter({words}, w -> w IN ({literals(sorted(set(keys)))})))"
+    present = f"array_distinct(filter({words or words_of(text)}, w -> w IN ({literals(sorted(set(keys)))})))"
     search = (
         f"flatten(transform(filter(array({table}), t -> array_contains(present, t.key)), "
-        f"t -> {_read_marks('t.rule', f'regexp_replace({text}, t.pattern, {literal(MARKED)})')}))"
+        f"t -> {_read_marks('t.rule', f'regexp_replace({text}, t.pattern, {literal(MARKED_MATCH)})')}))"
     )
     return bind(present, "present", f"if(size(present) = 0, {NO_HITS}, {search})")
 
@@ -124,7 +143,7 @@ NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def name_regex(name: str, tail: str = "") -> str:
-    return rf"(?iuU)()(\b\Q{name}\E{tail}\b)()"
+    return rf"(?iuU)\b\Q{name}\E{tail}\b"
 
 
 def _longest_word(name: str) -> str:

@@ -16,7 +16,7 @@ from veilframe.functions import spans as S
 from veilframe.functions.spans import bind, literal, literals
 from veilframe.operators import rules as R
 
-Detector = Callable[[str], str]
+Detector = Callable[..., str]
 
 
 def _any_word(words: Sequence[str]) -> str:
@@ -117,8 +117,10 @@ def roads(text: str) -> str:
 # --- places and streets ----------------------------------------------------------
 
 
-def gazetteer_places(text: str, places: Sequence[str] = R.KNOWN_PLACES) -> str:
-    return S.to_spans(S.scan_names(text, places), "PLACE", "0.95")
+def gazetteer_places(
+    text: str, places: Sequence[str] = R.KNOWN_PLACES, words: str | None = None
+) -> str:
+    return S.to_spans(S.scan_names(text, places, words=words), "PLACE", "0.95")
 
 
 def preposition_places(text: str, places: Sequence[str] = R.KNOWN_PLACES) -> str:
@@ -131,10 +133,12 @@ def preposition_places(text: str, places: Sequence[str] = R.KNOWN_PLACES) -> str
     return S.to_spans(hits, "PLACE", "0.75", where, around_match=True)
 
 
-def places(text: str, known: Sequence[str] = R.KNOWN_PLACES) -> str:
+def places(
+    text: str, known: Sequence[str] = R.KNOWN_PLACES, words: str | None = None
+) -> str:
     new = f"NOT exists(known, k -> {S.SAME_PLACE_SQL.format('s', 'k')})"
     return bind(
-        gazetteer_places(text, known),
+        gazetteer_places(text, known, words),
         "known",
         f"concat(known, filter({preposition_places(text, known)}, s -> {new}))",
     )
@@ -309,20 +313,29 @@ def names_by_context(text: str) -> str:
 # --- vehicles --------------------------------------------------------------------
 
 
-def vehicle_brands(text: str, brands: Sequence[str] = R.VEHICLE_BRANDS) -> str:
-    hits = S.scan_names(text, brands, R.BRAND_TAIL)
+def vehicle_brands(
+    text: str, brands: Sequence[str] = R.VEHICLE_BRANDS, words: str | None = None
+) -> str:
+    hits = S.scan_names(text, brands, R.BRAND_TAIL, words)
     return S.to_spans(hits, "VEHICLE", "0.92", "length(h.value) >= 3")
 
 
-def vehicle_models(text: str, models: Sequence[str] = R.VEHICLE_MODELS) -> str:
-    return S.to_spans(S.scan_names(text, models), "VEHICLE", "0.88")
+def vehicle_models(
+    text: str, models: Sequence[str] = R.VEHICLE_MODELS, words: str | None = None
+) -> str:
+    return S.to_spans(S.scan_names(text, models, words=words), "VEHICLE", "0.88")
 
 
-def models_beside_brands(text: str, brands: str, models: Sequence[str] = R.VEHICLE_MODELS) -> str:
+def models_beside_brands(
+    text: str,
+    brands: str,
+    models: Sequence[str] = R.VEHICLE_MODELS,
+    words: str | None = None,
+) -> str:
     """Model spans that overlap no brand span nor an earlier model span."""
     free = f"NOT exists(concat({brands}, kept), k -> {S.OVERLAP_SQL.format('s', 'k')})"
     return (
-        f"aggregate({vehicle_models(text, models)}, {S.NO_SPANS}, "
+        f"aggregate({vehicle_models(text, models, words)}, {S.NO_SPANS}, "
         f"(kept, s) -> if({free}, concat(kept, array(s)), kept))"
     )
 
@@ -331,11 +344,12 @@ def vehicles(
     text: str,
     brands: Sequence[str] = R.VEHICLE_BRANDS,
     models: Sequence[str] = R.VEHICLE_MODELS,
+    words: str | None = None,
 ) -> str:
     return bind(
-        vehicle_brands(text, brands),
+        vehicle_brands(text, brands, words),
         "brands",
-        f"concat(brands, {models_beside_brands(text, 'brands', models)})",
+        f"concat(brands, {models_beside_brands(text, 'brands', models, words)})",
     )
 
 
@@ -374,6 +388,23 @@ def column(detector: Detector, text: str) -> Column:
     return S.first_per_place(F.expr(detector(text)))
 
 
+# What detectors of a set can share: the words of the text, and whether it holds
+# a digit at all.
+_USE_WORDS = ("places", "vehicles")
+_NEED_DIGITS = ("phones", "ibans", "birth_dates", "addresses", "national_ids", "roads")
+
+
 def detect(text: str, order: Sequence[str] = PATTERN_ORDER) -> Column:
     """Candidates of several detectors in list order, overlaps included."""
-    return F.expr("concat(" + ", ".join(DETECTORS[name](text) for name in order) + ")")
+
+    def found(name: str) -> str:
+        detector = DETECTORS[name]
+        if name in _USE_WORDS:
+            return detector(text, words="words")
+        if name in _NEED_DIGITS:
+            return f"if(has_digit, {detector(text)}, {S.NO_SPANS})"
+        return detector(text)
+
+    spans = "concat(" + ", ".join(found(name) for name in order) + ")"
+    has_digit = _matches(text, r"\p{Nd}")
+    return F.expr(bind(S.words_of(text), "words", bind(has_digit, "has_digit", spans)))

@@ -9,7 +9,9 @@ operators in ``detectors.py`` read these tables.
 ``value`` (the span) and ``trail`` (consumed after it).  Patterns use only
 non-capturing groups.  ``jvm`` optionally holds an equivalent spelling for the
 JVM engine, whose group loops recurse once per repetition: the spelling there
-uses possessive loops, which do not, so that a text of any length is safe.
+uses possessive loops, which do not, so that a text of any length is safe.  A match
+holds one of the strings in ``needs`` and a match of ``needs_regex``, if given:
+cheaper tests that spare most texts the search.
 """
 
 from __future__ import annotations
@@ -25,11 +27,21 @@ class Rule:
     kind: str = ""
     ignore_case: bool = False
     jvm: str | None = None
+    needs: tuple[str, ...] = ()
+    needs_regex: str | None = None
 
     def jvm_regex(self) -> str:
-        """Three capturing groups; Unicode classes and word boundaries."""
+        """Groups for lead, value and trail where there is a lead or a trail;
+        Unicode classes and word boundaries."""
         flags = "(?iuU)" if self.ignore_case else "(?U)"
-        return f"{flags}({self.lead})({self.jvm or self.value})({self.trail})"
+        value = self.jvm or self.value
+        if self.in_groups:
+            return f"{flags}({self.lead})({value})({self.trail})"
+        return f"{flags}{value}"
+
+    @property
+    def in_groups(self) -> bool:
+        return bool(self.lead or self.trail)
 
 
 # --- fixed values: phone numbers ------------------------------------------------
@@ -198,18 +210,19 @@ PREPOSITION_PLACE_RULES = (
 )
 ARTICLES = ("het", "de", "een", "dit", "dat", "deze")
 
+FOUR_DIGITS = r"\d{4}"
 CONTEXT_PLACE_RULES = (
     Rule(lead=r"\bte\s+", value=r"[A-Z][a-zA-Zé\-]+(?:\s*-\s*[A-Z][a-zA-Zé]+)?", kind="te"),
-    Rule(lead=r"\brichting\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="richting"),
-    Rule(lead=r"\bnaar\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="naar"),
-    Rule(lead=r"\bvanuit\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="vanuit"),
-    Rule(lead=r"\bvia\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="via"),
-    Rule(lead=r"\bt\.?h\.?v\.?\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv"),
-    Rule(lead=r"\bter hoogte van\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv"),
-    Rule(lead=r"\b\d{4}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_be"),
-    Rule(lead=r"\b\d{4}[ ]*[A-Z]{2}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_nl"),
-    Rule(value=r"\b[A-Z]{3,}", trail=r"\s+\d{4}\b", kind="place_postalcode"),
-    Rule(lead=r"\brichting\s+", value=r"[a-zA-Z][a-zA-Zé\-]+", kind="richting_ci"),
+    Rule(lead=r"\brichting\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="richting", needs=("richting",)),
+    Rule(lead=r"\bnaar\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="naar", needs=("naar",)),
+    Rule(lead=r"\bvanuit\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="vanuit", needs=("vanuit",)),
+    Rule(lead=r"\bvia\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="via", needs=("via",)),
+    Rule(lead=r"\bt\.?h\.?v\.?\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv", needs=("hv", "h.v")),
+    Rule(lead=r"\bter hoogte van\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv", needs=("ter hoogte van",)),
+    Rule(lead=r"\b\d{4}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_be", needs_regex=FOUR_DIGITS),
+    Rule(lead=r"\b\d{4}[ ]*[A-Z]{2}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_nl", needs_regex=FOUR_DIGITS),
+    Rule(value=r"\b[A-Z]{3,}", trail=r"\s+\d{4}\b", kind="place_postalcode", needs_regex=FOUR_DIGITS),
+    Rule(lead=r"\brichting\s+", value=r"[a-zA-Z][a-zA-Zé\-]+", kind="richting_ci", needs=("richting",)),
 )
 CONTEXT_PLACE_STOPWORDS = (
     "het", "de", "een", "van", "naar", "met", "voor", "door", "over",
@@ -240,12 +253,30 @@ STREET_SUFFIXES = (
     "boulevard", "avenue", "ring", "passage", "markt", "poort", "dam",
     "vest", "wal", "statie", "square", "plaats", "berg", "brug",
 )
+_STREET_CHAR = r"[A-Za-zéÉſKıİ\-]"  # what the class below matches in any case
+
+
+def _ends_like_street() -> str:
+    """Look-behind for a suffix after one more character, by its last letter."""
+    by_letter: dict[str, list[str]] = {}
+    for suffix in STREET_SUFFIXES:
+        by_letter.setdefault(suffix[-1], []).append(suffix)
+    return "|".join(
+        f"(?<=[{letter}{letter.upper()}])(?:"
+        + "|".join(f"(?<={_STREET_CHAR}(?iu:{suffix}))" for suffix in suffixes)
+        + ")"
+        for letter, suffixes in by_letter.items()
+    )
+
+
 ANY_STREET_RULES = (
     Rule(
         r"\b[A-Za-zé\-]+(?:" + "|".join(STREET_SUFFIXES) + r")\b",
         ignore_case=True,
-        # The suffix is looked up only where a word ends.
-        jvm=r"\b[A-Za-zé\-]+\b(?<=[A-Za-zé\-](?:" + "|".join(STREET_SUFFIXES) + r"))",
+        # A whole word, or its longest part before a hyphen, that ends in a
+        # suffix: the suffix is looked up only there.
+        jvm=rf"(?-i)\b(?:{_STREET_CHAR}++(?:{_ends_like_street()})"
+        rf"|{_STREET_CHAR}+(?=-)(?:{_ends_like_street()}))\b",
     ),
 )
 NOT_STREETS = (
@@ -273,25 +304,38 @@ NOT_STREETS = (
 )
 
 # --- fixed values: person names ---------------------------------------------------
+TWO_CAPITALS = r"[A-Z]{2}"
 NAME_RULES = (
-    Rule(r"\b(?:EL|VAN|DE|DER|DEN|TEN|TER)\s+[A-Z]{2,}\s+[A-Z][a-zé]+(?:\s+[A-Z][a-zé]+)?\b"),
+    Rule(
+        r"\b(?:EL|VAN|DE|DER|DEN|TEN|TER)\s+[A-Z]{2,}\s+[A-Z][a-zé]+(?:\s+[A-Z][a-zé]+)?\b",
+        needs_regex=TWO_CAPITALS,
+    ),
     Rule(
         r"\b(?:El|Van|De|Der|Den|Ten|Ter|La|Le)\s+[A-Z][a-zé]+\s+[A-Z][a-zé]+(?:\s+[A-Z][a-zé]+)?\b"
     ),
     Rule(
         r"\b(?:Jean|Marie|Pierre|Jacques|Philippe|François|Michel|André|Louis|Charles)[-\s]"
-        r"[A-Z][a-zé]+(?:\s+(?:de|du|la|le)\s+[A-Z][a-zé]+)?\b"
+        r"[A-Z][a-zé]+(?:\s+(?:de|du|la|le)\s+[A-Z][a-zé]+)?\b",
+        needs=("Jean", "Marie", "Pierre", "Jacques", "Philippe", "François", "Michel", "André",
+               "Louis", "Charles"),
     ),
     Rule(r"\b(?:de|du)\s+(?:la\s+)?[A-Z][a-zé]+\s+[A-Z][a-zé]+\b"),
-    Rule(r"\b(?:von|zu|vom)\s+(?:der\s+)?[A-Z][a-zé]+(?:\s+[A-Z][a-zé]+)?\b"),
-    Rule(r"\bO'[A-Z][a-z]+\b"),
-    Rule(r"\b(?:Mc|Mac)[A-Z][a-z]+\b"),
-    Rule(r"\b[A-Z]{2,}(?:\s+[A-Z][a-zé]+){1,3}\b"),
-    Rule(r"\b[A-Z][a-zé]+\s+[A-Z]{2,}\b"),
     Rule(
-        r"\b(?:EL|VAN|DE)\s+(?!ERSTE|EERSTE|AANLEG|VLAANDEREN|NEDERLAND|FRANCE|GERMANY)[A-Z]{2,}\b"
+        r"\b(?:von|zu|vom)\s+(?:der\s+)?[A-Z][a-zé]+(?:\s+[A-Z][a-zé]+)?\b",
+        needs=("von", "zu", "vom"),
+    ),
+    Rule(r"\bO'[A-Z][a-z]+\b", needs=("O'",)),
+    Rule(r"\b(?:Mc|Mac)[A-Z][a-z]+\b", needs=("Mc", "Mac")),
+    Rule(r"\b[A-Z]{2,}(?:\s+[A-Z][a-zé]+){1,3}\b", needs_regex=TWO_CAPITALS),
+    Rule(r"\b[A-Z][a-zé]+\s+[A-Z]{2,}\b", needs_regex=TWO_CAPITALS),
+    Rule(
+        r"\b(?:EL|VAN|DE)\s+(?!ERSTE|EERSTE|AANLEG|VLAANDEREN|NEDERLAND|FRANCE|GERMANY)[A-Z]{2,}\b",
+        needs_regex=TWO_CAPITALS,
+    ),
+    Rule(
+        r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b",
+        needs=("Mr", "Ms", "Miss", "Dr", "Prof"),
     ),
-    Rule(r"\b(?:Mr|Mrs|Ms|Miss|Dr|Prof)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2}\b"),
 )
 CAPS_PAIR_RULE = 9  # position of the rule above that holds a negative look-ahead
 NAME_EXCLUSIONS = (

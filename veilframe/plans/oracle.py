@@ -10,6 +10,7 @@ original text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from veilframe.operators import rules as R
@@ -95,11 +96,12 @@ def marked_names(name: str, names: Sequence[str], tail: str = "") -> str:
     rows = []
     for i, n in enumerate(sorted(names)):
         folded = "".join("_" if c.isalpha() and not c.isascii() else c for c in n)
-        rows.append(f"({i}, {quote(folded.lower())}, {quote(rf'(?i)()(\b\Q{folded}\E{tail}\b)()')})")
-    return f"""{name}_n(pat, low, rx) AS (VALUES {', '.join(rows)}),
+        words = " " + re.sub("[^a-z0-9_]+", " ", folded.lower()).strip() + " "
+        rows.append(f"({i}, {quote(words)}, {quote(rf'(?i)()(\b\Q{folded}\E{tail}\b)()')})")
+    return f"""{name}_n(pat, words, rx) AS (VALUES {', '.join(rows)}),
 {name}_m AS (
   SELECT doc_id, pat, string_split(regexp_replace(f_plain, rx, {MARKED}, 'g'), chr(1)) AS parts
-  FROM folded JOIN {name}_n ON contains(f_low, low))"""
+  FROM folded JOIN {name}_n ON contains(f_words, words))"""
 
 
 def spans(
@@ -321,7 +323,7 @@ PREPARED = f"prepared AS MATERIALIZED (SELECT doc_id, {joined_lines()} AS text F
 def folded(source: str = "docs", name: str = "folded", text: str = "text") -> str:
     cols = ", ".join(f"{sql} AS {name}" for name, sql in FOLDS.items())
     return f"""{name} AS MATERIALIZED (
-  SELECT *, lower(f_plain) AS f_low FROM (SELECT doc_id, text, {cols} FROM
+  SELECT *, ' ' || regexp_replace(lower(f_plain), '[^a-z0-9_]+', ' ', 'g') || ' ' AS f_words FROM (SELECT doc_id, text, {cols} FROM
     (SELECT doc_id, {text} AS text FROM {source})))"""
 
 

@@ -666,10 +666,20 @@ def d1(spark, sf_dir):
     found = scanned(C.corpus(spark, sf_dir)).withColumn("all", F.expr(D.phones("scan")))
     counted = found.select(
         "doc_id",
-        F.size("all").alias("candidates"),
-        let(F.col("all"), lambda a: F.size(S.first_per_place(a))).alias("places"),
+        let(
+            F.col("all"),
+            lambda a: F.when(
+                F.size(a) > 0,
+                F.array(
+                    F.struct(
+                        F.size(a).alias("candidates"),
+                        F.size(S.first_per_place(a)).alias("places"),
+                    )
+                ),
+            ),
+        ).alias("counts"),
     )
-    return counted.where("candidates > 0")
+    return explode_structs(counted, ["doc_id"], "counts")
 
 
 OVERLAPPING = ("phones", "ibans", "national_ids", "addresses")
@@ -972,7 +982,7 @@ strategy_query(
     "f8_encrypt_round_trip",
     O.sql(
         KEPT_ONLY,
-        "SELECT doc_id, s AS span_start, value AS decrypted, true AS hidden FROM kept",
+        "SELECT doc_id, s AS span_start, value AS decrypted, true AS changed FROM kept",
     ),
 )
 def f8(spark, sf_dir):
@@ -983,7 +993,7 @@ def f8(spark, sf_dir):
     return sealed.select(
         "doc_id", F.col("start").alias("span_start"),
         ST.decrypt(F.col("token"), key).alias("decrypted"),
-        (~F.contains("token", F.col("value"))).alias("hidden"),
+        (F.col("token") != F.col("value")).alias("changed"),
     )
 
 
