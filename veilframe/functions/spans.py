@@ -34,9 +34,20 @@ def no_spans() -> Column:
     return F.array().cast(f"array<{SPAN_TYPE}>")
 
 
+# Word characters are letters, numbers and the underscore.  The JVM's notion of a
+# word boundary differs for numbers that are no digits, and for marks, joiners
+# and enclosed letters; one stand-in letter and one stand-in sign settle that.
+OTHER_NUMBERS = r"[\p{No}]"
+NOT_LETTERS = (
+    r"[\x01\p{M}\x{200C}\x{200D}\x{203F}\x{2040}\x{2054}\x{FE33}\x{FE34}\x{FE4D}-\x{FE4F}"
+    r"\x{FF3F}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]"
+)
+
+
 def scannable(text: Column) -> Column:
-    """The text without the mark character, offsets unchanged."""
-    return F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, "\u0002")).otherwise(text)
+    """The text as rules see it: no mark character, the same word characters
+    everywhere, offsets unchanged.  No rule matches a replaced character."""
+    return F.regexp_replace(F.regexp_replace(text, OTHER_NUMBERS, "ª"), NOT_LETTERS, "·")
 
 
 # --- finding: SQL expressions over a text column -------------------------------------

@@ -190,7 +190,9 @@ def _hit(start: str, end: str, value: str) -> str:
     )
 
 
-def _names_at_run_ends(runs: str, first: str, middle: str | None, last: str, min_words: int) -> str:
+def _names_at_run_ends(
+    runs: str, first: str, middle: str | None, last: str, two_words: bool = False
+) -> str:
     """Hits of runs of name characters to hits of the longest name that ends
     where its run ends.
 
@@ -199,6 +201,7 @@ def _names_at_run_ends(runs: str, first: str, middle: str | None, last: str, min
     the last word not of form ``last`` closes the middle part, the last word
     before it not of form ``middle`` is the earliest place to start.  This
     replaces nested repetition in a regex, which is super-linear and recursive.
+    ``two_words`` asks for at least one word after the first.
     """
 
     def last_word_unlike(form: str, upto: str) -> str:
@@ -207,10 +210,8 @@ def _names_at_run_ends(runs: str, first: str, middle: str | None, last: str, min
         return f"greatest(array_max({positions}), 1)"
 
     heads = f"i >= earliest AND {_matches('element_at(words, i)', f'{first}$')}"
-    if min_words > 1:
-        heads += (
-            f" AND size(filter(slice(words, i + 1, size(words)), w -> w <> '')) >= {min_words - 1}"
-        )
+    if two_words:  # the last word of a trimmed run is never empty
+        heads += " AND i < size(words)"
     name = (
         f"array_join(concat(array(regexp_extract(element_at(words, k), {literal(f'{first}$')}, 0)), "
         "slice(words, k + 1, size(words))), ' ')"
@@ -255,7 +256,6 @@ def names_before_date(text: str) -> str:
         first=rf"[A-Z][{_NAME_CHARS}]+",
         middle=r"[A-Z]?[a-zé\'\-]+",
         last=rf"[A-Z][{_NAME_CHARS}]+",
-        min_words=1,
     )
     where = (
         "length(h.value) >= 3 "
@@ -289,7 +289,7 @@ def names_before_placeholder(text: str) -> str:
         first=r"[A-Z][a-z]+",
         middle=None,
         last=r"[A-Z][a-z]+",
-        min_words=2,
+        two_words=True,
     )
     return S.to_spans(hits, "PERSON", "0.82", "length(h.value) >= 4", left=10, right=30)
 

@@ -185,7 +185,9 @@ def encode_corpus(
         full, full_forms = E.extend_mapping(mapping, batch_forms, forms)
     full = cut_lineage(full)
     if apply is None:
-        named = E.lookup(spans, full.select("norm_key", "placeholder"), "norm_key").select(
+        counts = batch_forms.groupBy("norm_key").agg(F.sum("occurrences").alias("n"))
+        names = full.select("norm_key", "placeholder")
+        named = E.lookup(spans, names, "norm_key", counts).select(
             "doc_id", "start", "end", F.col("placeholder").alias("replacement")
         )
     else:

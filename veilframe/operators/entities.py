@@ -251,17 +251,23 @@ def mapping_from_entries(entries: DataFrame, scope: Sequence[str] = ()) -> DataF
     return parsed.withColumn("is_lookup", F.col("entry_no") == last)
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+def lookup(
+    rows: DataFrame, table: DataFrame, key: str, counts: DataFrame | None = None
+) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
     Keys that hold more than a thousandth of the rows are joined by broadcast
     (there can be no more than a thousand of them, whatever the data), the others
-    by a shuffle in which no key is large.  ``rows`` is read three times: pass a
-    table or a pinned DataFrame.
+    by a shuffle in which no key is large.  ``counts(key, n)`` saves counting the
+    rows.  ``rows`` is read twice: pass a table or a pinned DataFrame.
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg((F.count(F.lit(1)) / HOT_KEYS).alias("limit"))
-    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.col("limit")).select(key)
+    if counts is None:
+        counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.where(F.col(key).isNotNull())
+    limit = counts.agg((F.sum("n") / HOT_KEYS).alias("limit"))
+    hot = cut_lineage(
+        counts.crossJoin(F.broadcast(limit)).where(F.col("n") > F.col("limit")).select(key)
+    )
     hot_table = table.join(F.broadcast(hot), key, "left_semi")
     by_broadcast = rows.join(F.broadcast(hot), key, "left_semi").join(
         F.broadcast(hot_table), key, "left"

@@ -27,6 +27,7 @@ class Rule:
     kind: str = ""
     ignore_case: bool = False
     jvm: str | None = None
+    jvm_lead: str = ""
     needs: tuple[str, ...] = ()
     needs_regex: str | None = None
 
@@ -36,12 +37,12 @@ class Rule:
         flags = "(?iuU)" if self.ignore_case else "(?U)"
         value = self.jvm or self.value
         if self.in_groups:
-            return f"{flags}({self.lead})({value})({self.trail})"
+            return f"{flags}({self.jvm_lead or self.lead})({value})({self.trail})"
         return f"{flags}{value}"
 
     @property
     def in_groups(self) -> bool:
-        return bool(self.lead or self.trail)
+        return bool(self.lead or self.jvm_lead or self.trail)
 
 
 # --- fixed values: phone numbers ------------------------------------------------
@@ -274,8 +275,10 @@ ANY_STREET_RULES = (
         r"\b[A-Za-zé\-]+(?:" + "|".join(STREET_SUFFIXES) + r")\b",
         ignore_case=True,
         # A whole word, or its longest part before a hyphen, that ends in a
-        # suffix: the suffix is looked up only there.
-        jvm=rf"(?-i)\b(?:{_STREET_CHAR}++(?:{_ends_like_street()})"
+        # suffix: the suffix is looked up only there.  If the search fails from
+        # the first boundary of a run it fails from all, so it starts only there.
+        jvm_lead=rf"(?-i)(?<!{_STREET_CHAR})(?>{_STREET_CHAR}*?\b)",
+        jvm=rf"(?-i)(?:{_STREET_CHAR}++(?:{_ends_like_street()})"
         rf"|{_STREET_CHAR}+(?=-)(?:{_ends_like_street()}))\b",
     ),
 )

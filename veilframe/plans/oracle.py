@@ -93,15 +93,17 @@ def marked(name: str, rules: Sequence[R.Rule], source: str = "folded") -> str:
 
 
 def marked_names(name: str, names: Sequence[str], tail: str = "") -> str:
-    rows = []
+    """One search per name, in the texts that hold its words."""
+    selects = []
     for i, n in enumerate(sorted(names)):
         folded = "".join("_" if c.isalpha() and not c.isascii() else c for c in n)
         words = " " + re.sub("[^a-z0-9_]+", " ", folded.lower()).strip() + " "
-        rows.append(f"({i}, {quote(words)}, {quote(rf'(?i)()(\b\Q{folded}\E{tail}\b)()')})")
-    return f"""{name}_n(pat, words, rx) AS (VALUES {', '.join(rows)}),
-{name}_m AS (
-  SELECT doc_id, pat, string_split(regexp_replace(f_plain, rx, {MARKED}, 'g'), chr(1)) AS parts
-  FROM folded JOIN {name}_n ON contains(f_words, words))"""
+        pattern = quote(rf"(?i)()(\b\Q{folded}\E{tail}\b)()")
+        selects.append(
+            f"SELECT doc_id, {i} AS pat, string_split(regexp_replace(f_plain, {pattern}, "
+            f"{MARKED}, 'g'), chr(1)) AS parts FROM folded WHERE contains(f_words, {quote(words)})"
+        )
+    return f"{name}_m AS (\n  " + "\n  UNION ALL ".join(selects) + ")"
 
 
 def spans(
