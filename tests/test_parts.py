@@ -144,6 +144,23 @@ def test_shared_mapping_as_one_json_file(spark, texts, tmp_path):
     assert loaded.where("is_lookup").count() == len(stored["mappings"])
 
 
+def test_batch_on_top_of_a_stored_mapping(spark, texts, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"mappings": {
+        "EMAIL_003": {"canonical": "a@b.com", "variations": ["a@b.com", "A@b.com"], "occurrences": 4},
+        "EMAIL_007": {"canonical": "A@B.com"},
+        "PERSON_002": {"canonical": "Jan Maes"},
+    }}))
+    stored = SF.read_mapping(spark, str(tmp_path / "m.json"))
+    more = EN.encode_corpus(
+        texts("mail A@B.COM of new@b.com"), mapping=stored, forms=E.stored_forms(stored)
+    )
+    assert more.documents.first().sanitized == "mail EMAIL_007 of EMAIL_008"
+    rows = {r.placeholder: r for r in more.mapping.collect()}
+    assert set(rows) == {"EMAIL_003", "EMAIL_007", "EMAIL_008", "PERSON_002"}
+    assert (rows["EMAIL_007"].occurrences, rows["EMAIL_007"].n_variations) == (2, 2)
+    assert rows["EMAIL_003"].occurrences == 4
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "case.one.txt").write_text("mail a@b.com\nregel twee")

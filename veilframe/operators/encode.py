@@ -186,7 +186,7 @@ def encode_corpus(
     full = cut_lineage(full)
     if apply is None:
         counts = batch_forms.groupBy("norm_key").agg(F.sum("occurrences").alias("n"))
-        names = full.select("norm_key", "placeholder")
+        names = full.where("is_lookup").select("norm_key", "placeholder")
         named = E.lookup(spans, names, "norm_key", counts).select(
             "doc_id", "start", "end", F.col("placeholder").alias("replacement")
         )

@@ -185,6 +185,7 @@ def number_entities(ents: DataFrame, start_at: DataFrame | None = None) -> DataF
         .join(F.broadcast(offsets), ["category", "slot"])
         .withColumn("num", F.col("offset") + F.col("rank"))
         .withColumn("placeholder", placeholder(F.col("category"), F.col("num")))
+        .withColumn("is_lookup", F.lit(True))
         .drop("slot", "rank", "offset")
     )
 
@@ -203,35 +204,56 @@ def build_mapping(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     return number_entities(entities(forms)), forms
 
 
+MAPPING_COLUMNS = (
+    "norm_key", "category", "num", "placeholder", "canonical", "occurrences", "n_variations",
+    "is_lookup",
+)
+
+
 def extend_mapping(
     mapping: DataFrame, forms: DataFrame, known_forms: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
+) -> tuple[DataFrame, DataFrame]:
     """Grow a mapping by a batch: known keys keep their placeholder and gain
-    occurrences, new keys are numbered after the highest number in use."""
+    occurrences, new keys are numbered after the highest number in use.
+
+    ``mapping`` comes from ``build_mapping``, an earlier extension or stored
+    entries; of stored entries that share a key only the look-up one is matched.
+    Returns the mapping and its surface forms.
+    """
     batch = entities(forms)
     top = mapping.groupBy("category").agg(F.max("num").alias("max_num"))
-    fresh = number_entities(batch.join(mapping.select("norm_key"), "norm_key", "left_anti"), top)
+    lookups = mapping.where("is_lookup")
+    fresh = number_entities(batch.join(lookups.select("norm_key"), "norm_key", "left_anti"), top)
+    all_forms = forms.select("norm_key", "value", "occurrences")
     if known_forms is not None:
         all_forms = (
-            known_forms.select("norm_key", "value", "occurrences")
-            .unionByName(forms.select("norm_key", "value", "occurrences"))
+            all_forms.unionByName(known_forms.select("norm_key", "value", "occurrences"))
             .groupBy("norm_key", "value")
             .agg(F.sum("occurrences").alias("occurrences"))
         )
-        sizes = all_forms.groupBy("norm_key").agg(F.count(F.lit(1)).alias("all_variations"))
-    else:
-        all_forms, sizes = None, None
+    sizes = all_forms.groupBy("norm_key").agg(F.count(F.lit(1)).alias("all_variations"))
     seen = batch.select("norm_key", F.col("occurrences").alias("more"))
-    cols = ["norm_key", "category", "num", "placeholder", "canonical", "occurrences", "n_variations"]
-    kept = mapping.select(*cols).join(seen, "norm_key", "left").withColumn(
-        "occurrences", F.col("occurrences") + F.coalesce(F.col("more"), F.lit(0))
+    grown = (
+        lookups.select(*MAPPING_COLUMNS)
+        .join(seen, "norm_key", "left")
+        .withColumn("occurrences", F.col("occurrences") + F.coalesce("more", F.lit(0)))
+        .select(*MAPPING_COLUMNS)
+        .unionByName(fresh.select(*MAPPING_COLUMNS))
+        .join(sizes, "norm_key", "left")
+        .withColumn("n_variations", F.greatest("all_variations", "n_variations"))
+        .select(*MAPPING_COLUMNS)
+    )
+    others = mapping.where("NOT is_lookup").select(*MAPPING_COLUMNS)
+    return grown.unionByName(others), all_forms
+
+
+def stored_forms(entries: DataFrame) -> DataFrame:
+    """Surface forms of stored entries; how often each occurred is not stored."""
+    return entries.where("is_lookup").select(
+        "norm_key",
+        F.explode(F.array_distinct("variations")).alias("value"),
+        F.lit(0).cast("long").alias("occurrences"),
     )
-    merged = kept.select(*cols).unionByName(fresh.select(*cols))
-    if sizes is not None:
-        merged = merged.join(sizes, "norm_key", "left").withColumn(
-            "n_variations", F.coalesce("all_variations", "n_variations")
-        ).select(*cols)
-    return merged, all_forms
 
 
 def mapping_from_entries(entries: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
