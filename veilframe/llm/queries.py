@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, mixing, sql
+from veilframe.llm import chat, mixing, quality, sharding, simhash, sql
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -36,6 +36,31 @@ def joined(items) -> F.Column:
     return F.array_join(items, ",")
 
 
+# --- 1: sharding ----------------------------------------------------------------------
+
+
+@query("op1_sharding")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+    )
+    return sharding.shard(docs).select("*", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# --- 4: quality rules -------------------------------------------------------------------
+
+
+@query("op4_quality", sql.QUALITY)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = quality.cascade_order(quality.profile(docs))
+    return docs.select("doc_id", quality.report(F.col("text"), order).alias("r")).select("doc_id", "r.*")
+
+
 # --- 7: mixing ------------------------------------------------------------------------
 
 
@@ -88,3 +113,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("trained", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+# --- 9: near-duplicates -----------------------------------------------------------------
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id"
+    )

@@ -54,3 +54,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(CASE WHEN role = 'assistant' OR i = n THEN so_far END)::BIGINT AS formatted_chars
 FROM placed GROUP BY conv_id
 """
+
+QUALITY = rf"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
+windows AS (
+  SELECT row, unnest(range(1, len(words) - 3)) AS i, words FROM worded WHERE len(words) >= 5),
+often AS (
+  SELECT row, i FROM (SELECT row, i, words[i:i + 4] AS w FROM windows)
+  QUALIFY count(*) OVER (PARTITION BY row, w) > 1),
+covered AS (
+  SELECT row, count(DISTINCT place)::BIGINT AS n
+  FROM (SELECT row, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS place FROM often) GROUP BY row),
+counted AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+         len(list_filter(words, lambda w: regexp_matches(w, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS lettered,
+         len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS doubled
+  FROM worded LEFT JOIN covered USING (row)),
+lined AS (
+  SELECT *, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * doubled > 3 * n_words OR 2 * n_dup_lines > len(lines)
+         OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+         OR 2 * n_capitals > word_chars OR 2 * lettered < n_words) AS kept
+FROM lined
+"""
