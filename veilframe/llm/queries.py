@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, mixing, quality, sharding, simhash, sql
+from veilframe.llm import chat, contamination, mixing, quality, sharding, simhash, sql
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -124,3 +124,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", simhash.hex_digits(F.col("bits")).alias("fingerprint"), "component_id"
     )
+
+
+# --- 10: decontamination ----------------------------------------------------------------
+
+
+@query("op10_decontamination", sql.CONTAMINATION)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

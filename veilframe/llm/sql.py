@@ -85,3 +85,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
          OR 2 * n_capitals > word_chars OR 2 * lettered < n_words) AS kept
 FROM lined
 """
+
+CUT = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+CONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {CUT} AS words FROM documents),
+items AS (
+  SELECT row_number() OVER () AS item, coalesce(cast(item_id AS VARCHAR), '') AS item_id, {CUT} AS words
+  FROM benchmark),
+sized AS (SELECT *, least(len(words), 10) AS n FROM items WHERE len(words) > 0),
+windows AS (
+  SELECT DISTINCT item, n, words[s:s + n - 1] AS w
+  FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS s FROM sized)),
+lengths AS (SELECT DISTINCT n FROM sized),
+places AS (
+  SELECT row, s, n, words[s:s + n - 1] AS w
+  FROM (SELECT row, n, words, unnest(range(1, len(words) - n + 2)) AS s FROM docs, lengths WHERE len(words) >= n)),
+hits AS (SELECT row, s, n, item FROM places JOIN windows USING (n, w)),
+hit_words AS (
+  SELECT row, count(DISTINCT place)::BIGINT AS n_hit
+  FROM (SELECT row, unnest(range(s, s + n)) AS place FROM hits) GROUP BY row),
+hit_items AS (
+  SELECT row, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT row, item_id FROM hits JOIN items USING (item)) GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
+"""
