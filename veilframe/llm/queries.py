@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, contamination, mixing, quality, sharding, simhash, sql
+from veilframe.llm import chat, contamination, mixing, quality, secrets, sharding, simhash, sql
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -141,3 +141,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+# --- 2: secret scans -----------------------------------------------------------------------
+
+
+@query("op2_secrets")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", secrets.secret_spans(F.col("text")).alias("all"))
+    base = F.filter("all", lambda s: s.kind < len(secrets.BASE))
+    counts = [
+        F.size(F.filter("all", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{kind}")
+        for i, (kind, *_) in enumerate(secrets.BASE)
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(secrets.named(base), 256).alias("base_sha256"),
+        secrets.named(F.col("all")).alias("spans"),
+    )
