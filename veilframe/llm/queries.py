@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, contamination, mixing, quality, secrets, sharding, simhash, sql
+from veilframe.llm import chat, contamination, mixing, quality, secrets, sharding, simhash, sql, substrings
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -159,3 +159,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *counts, F.sha2(secrets.named(base), 256).alias("base_sha256"),
         secrets.named(F.col("all")).alias("spans"),
     )
+
+
+# --- 3: substring dedup ---------------------------------------------------------------------
+
+
+@query("op3_substrings", sql.SUBSTRINGS)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that go, with the document that keeps the passage."""
+    spans = substrings.spans_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select(
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "words")], "first_id"
+    )

@@ -115,3 +115,25 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (row) LEFT JOIN hit_items USING (row)
 """
+
+SUBSTRINGS = r"""
+WITH pieces AS (
+  SELECT row, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place
+  FROM (SELECT row_number() OVER () AS row, doc_id,
+               regexp_extract_all(text, '[^.!?\n]*[.!?\n]+|[^.!?\n]+') AS parts FROM documents)),
+located AS (
+  SELECT *, sum(length(part)) OVER (PARTITION BY row ORDER BY place) AS e,
+         regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM pieces),
+units AS (
+  SELECT row, doc_id, (e - length(part))::BIGINT AS s, e::BIGINT AS e, len(words) AS n,
+         array_to_string(words, ' ') AS unit, row_number() OVER (PARTITION BY row ORDER BY place) AS idx
+  FROM located WHERE len(words) > 0),
+ranked AS (
+  SELECT *, row_number() OVER w AS nth, first(doc_id) OVER w AS first_id
+  FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id NULLS LAST, row, idx)),
+runs AS (
+  SELECT *, idx - row_number() OVER (PARTITION BY row ORDER BY idx) AS run FROM ranked WHERE nth > 1)
+SELECT doc_id, min(s) AS "start", max(e) AS "end", sum(n)::BIGINT AS words, arg_min(first_id, idx) AS first_id
+FROM runs GROUP BY row, run, doc_id HAVING sum(n) >= 20
+"""
