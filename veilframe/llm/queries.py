@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, contamination, mixing, quality, secrets, sharding, simhash, sql, substrings
+from veilframe.llm import chat, contamination, langid, mixing, quality, secrets, sharding, simhash, sql, substrings
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -171,3 +171,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select(
         "doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "words")], "first_id"
     )
+
+
+# --- 6: language identification ---------------------------------------------------------------
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = langid.fit(docs.where(fold != 1))
+    return docs.select(
+        "doc_id",
+        F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
+        langid.predicted(F.col("text"), model).alias("p"),
+    ).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
