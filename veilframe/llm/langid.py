@@ -4,8 +4,8 @@ Each language has a probability for every piece of a fixed public vocabulary.  T
 likelihood of a word is the sum over all ways to cut it into pieces of the product of
 their probabilities, by a forward pass; a text's is the product over its words.  The
 probabilities are fitted by expectation-maximisation on the words of a bounded sample
-of labelled documents (about ``TRAIN_DOCS`` a language, by hash, whole texts); the expected counts
-are gathered from the executors, a row a piece and language at most.
+of labelled documents (about ``TRAIN_DOCS`` a language, by hash, whole texts); the
+expected counts are gathered from the executors, a row a piece and language at most.
 
 Words are runs of letters, lower-cased; words of more than ``WORD_CHARS`` letters are
 cut there.  A letter that no piece covers has one probability in all languages.

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import checked_broadcast, numbered
+from veilframe.llm.common import checked_broadcast, count_words, numbered
 from veilframe.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -93,16 +93,21 @@ def with_copies(
     )
 
 
-def mix(docs: DataFrame, key: Column, **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with its columns."""
-    taken = with_copies(docs, key, **options).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(
-        "_copy", "source_size", "target", "rate", "copies"
-    )
+def document_key(doc_id: Column, text: Column) -> Column:
+    """Of doc_id and text: rows without an id draw by their text."""
+    named = F.coalesce(doc_id.cast("string"), F.lit(""))
+    return F.concat_ws(":", named, F.md5(F.coalesce(text, F.lit(""))))
 
 
-def document_key() -> Column:
-    """Of doc_id and text: rows without an id draw by their text."""
-    return F.concat_ws(
-        ":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")))
-    )
+def mix_documents(
+    docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options
+) -> DataFrame:
+    """The mix itself: every row as often as it is taken, with its columns; sizes are
+    words.  Rows carry neutral names meanwhile, so no column is replaced."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {name: f"c{docs.columns.index(name)}" for name in (doc_id, source, text)}
+    sized = plain.withColumn("size", count_words(F.col(at[text])))
+    key = document_key(F.col(at[doc_id]), F.col(at[text]))
+    taken = with_copies(sized, key, source=at[source], **options).where("copies > 0")
+    copied = taken.select(*plain.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copied.select(*plain.columns).toDF(*docs.columns)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, contamination, langid, mixing, quality, secrets, sharding, simhash, sql, substrings
+from veilframe.llm import chat, contamination, langid, licenses, mixing, quality, secrets, sharding, simhash, sql, substrings
 from veilframe.llm.common import count_words, table
 from veilframe.session import cut_lineage
 
@@ -69,7 +69,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut_lineage(
         table(spark, sf_dir, "documents").select(
             "doc_id", "source", count_words(F.col("text")).alias("size"),
-            mixing.document_key().alias("key"),
+            mixing.document_key(F.col("doc_id"), F.col("text")).alias("key"),
         )
     )
     return mixing.with_copies(sized, F.col("key")).select(
@@ -186,3 +186,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
         langid.predicted(F.col("text"), model).alias("p"),
     ).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+# --- 5: license scans --------------------------------------------------------------------------
+
+
+@query("op5_licenses")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", licenses.licenses(F.col("text")).alias("f")).select(
+        "doc_id", "f.n_words", "f.n_base", "f.first_word", "f.last_word", "f.base_labels",
+        "f.labels", "f.score",
+    )
