@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.session import cut_lineage, scratch_path
+from veilframe.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,15 +33,17 @@ def lower_ascii(text: Column) -> Column:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, from a table in the shared scratch folder."""
+    """The rows, computed once, from a table in the shared scratch folder: it cuts the
+    lineage, and no lost executor takes it along."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast only after its rows were counted; else joined by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Marked for broadcast only after its rows were counted; else joined by shuffle.
+    What it is made of should be short or written, as counting computes it."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 @dataclass(frozen=True)
@@ -84,10 +86,8 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Row numbers from 0 in the order given, without all rows in one task: sorted
     ranges are pinned, counted, and numbered from the sum of those before.  The order
     must be total."""
-    ranged = cut_lineage(
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
+    ranged = written(
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row a range

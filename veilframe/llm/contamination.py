@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.common import checked_broadcast, lower_ascii, stored, written
-from veilframe.session import cut_lineage
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -120,7 +119,7 @@ def phrase_matches(index: DataFrame, items: Items, window: int = WINDOW) -> Data
     rarest = postings_of(index).join(checked_broadcast(pairs), "term").select(
         "row", "item", (F.col("pos") - F.col("at1")).alias("shift"), "at1", "at2", "term2"
     ).where("shift + coalesce(at2, 0) >= 0")
-    rarest = cut_lineage(rarest)
+    rarest = written(rarest, "candidates")
 
     wanted = rarest.where("term2 IS NOT NULL").withColumn("pos", F.col("shift") + F.col("at2"))
     seconds = postings_of(index).withColumnRenamed("term", "term2").join(
@@ -136,9 +135,10 @@ def phrase_matches(index: DataFrame, items: Items, window: int = WINDOW) -> Data
         same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
     at = F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at")
     asked = met.join(checked_broadcast(wide), same).select("row", "item", "shift", "size", at).distinct()
-    asked = cut_lineage(
+    asked = written(
         asked.join(checked_broadcast(items.words.select("item", "at", "term")), ["item", "at"])
-        .withColumn("pos", F.col("shift") + F.col("at"))
+        .withColumn("pos", F.col("shift") + F.col("at")),
+        "asked",
     )
     near = postings_of(index).join(
         checked_broadcast(asked.select("row").distinct()), "row", "left_semi"
@@ -167,7 +167,7 @@ def proximity_matches(
         F.explode(F.array_distinct("words.term")).alias("term"),
         F.size(F.array_distinct("words.term")).alias("n_terms"),
     )
-    asked = cut_lineage(asked)
+    asked = written(asked, "asked")
     near = postings_of(index).join(
         checked_broadcast(asked.select("row").distinct()), "row", "left_semi"
     )
@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
     """doc_id, n_words, n_hit, item_ids of every document."""
     items = read_items(benchmark)
     index = build_index(docs, items.terms, F.monotonically_increasing_id(), doc_id=F.col(doc_id))
-    matches = cut_lineage(phrase_matches(index, items))
+    matches = written(phrase_matches(index, items), "matches")
     return report(index, items, matches).select("doc_id", "n_words", "n_hit", "item_ids")
 
 
@@ -215,5 +215,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     kept = stored(docs, "contamination-input")
     items = read_items(benchmark)
     index = build_index(kept.rows, items.terms, F.col("_rid"), text=kept.at(text))
-    hit = cut_lineage(phrase_matches(index, items).select(F.col("row").alias("_rid")).distinct())
+    hit = written(phrase_matches(index, items).select(F.col("row").alias("_rid")).distinct(), "hit")
     return kept.original(kept.rows.join(checked_broadcast(hit), "_rid", "left_anti")).drop("_rid")
