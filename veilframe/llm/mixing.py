@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import checked_broadcast, count_words, numbered
-from veilframe.session import cut_lineage
+from veilframe.llm.common import checked_broadcast, count_words, numbered, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -39,7 +38,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     weight = F.element_at(
         F.array(*[F.lit(w) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int")
     )
-    sources = cut_lineage(ordered.select("source", "source_size", weight.alias("weight")))
+    sources = written(ordered.select("source", "source_size", weight.alias("weight")), "sources")
     level = fill_level(sources, cap)
     target = F.least(F.lit(cap) * F.col("source_size"), F.lit(level) * F.col("weight"))
     return sources.select("source", "source_size", target.cast("double").alias("target"))

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import chat, contamination, langid, licenses, mixing, quality, secrets, sharding, simhash, sql, substrings
-from veilframe.llm.common import count_words, table
-from veilframe.session import cut_lineage
+from veilframe.llm.common import count_words, table, written
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -66,11 +65,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_mixing", sql.MIXING)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = cut_lineage(
+    sized = written(
         table(spark, sf_dir, "documents").select(
             "doc_id", "source", count_words(F.col("text")).alias("size"),
             mixing.document_key(F.col("doc_id"), F.col("text")).alias("key"),
-        )
+        ),
+        "sizes",
     )
     return mixing.with_copies(sized, F.col("key")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.common import stored, written
-from veilframe.session import cut_lineage
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -101,7 +100,7 @@ def links(prints: DataFrame) -> DataFrame:
     ).select("key.segment", "key.value", "bits")
     keyed = written(keyed, "segments")
     sizes = keyed.groupBy("segment", "value").count().where("count > 1")
-    sizes = cut_lineage(sizes)
+    sizes = written(sizes, "buckets")
     few, many = sizes.where(F.col("count") <= BUCKET), sizes.where(F.col("count") > BUCKET)
     return chained_pairs(keyed, few).union(shared_neighbours(keyed, many)).distinct()
 
@@ -149,20 +148,21 @@ def components(pairs: DataFrame) -> DataFrame:
 
     Large stars hang a node's larger neighbours on its smallest, small stars its
     smaller ones; when a round changes nothing, the pairs are stars."""
-    edges = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
     seen = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m"))
         lowest = lowest.select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut_lineage(large.distinct())
+        large = written(large.distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = cut_lineage(
+        edges = written(
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
-            .distinct()
+            .distinct(),
+            "small-stars",
         )
         sign = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
@@ -177,7 +177,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """bits, root: the class of every distinct fingerprint of ``prints`` (bits)."""
-    own = cut_lineage(prints.select("bits").distinct())
+    own = written(prints.select("bits").distinct(), "distinct-prints")
     found = components(links(own))
     return own.join(found, own.bits == found.node, "left").select(
         "bits", F.coalesce("root", "bits").alias("root")
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         "fingerprints",
     )
     of_bits = prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
-    of_bits = cut_lineage(of_bits)
-    named = cut_lineage(classes(of_bits).join(of_bits, "bits"))
+    of_bits = written(of_bits, "print-ids")
+    named = written(classes(of_bits).join(of_bits, "bits"), "classes")
     firsts = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classed = named.join(firsts, "root").select("bits", "component_id")
     return prints.join(classed, "bits").select("doc_id", "bits", "component_id")
@@ -213,7 +213,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         ),
         "fingerprints",
     )
-    of_bits = cut_lineage(prints.groupBy("bits").agg(F.min("rank").alias("rank")))
+    of_bits = written(prints.groupBy("bits").agg(F.min("rank").alias("rank")), "print-ids")
     first = classes(of_bits).join(of_bits, "bits").groupBy("root").agg(F.min("rank").alias("rank"))
     staying = first.select(F.col("rank.rid").alias("_rid"))
-    return kept.original(kept.rows.join(cut_lineage(staying), "_rid", "left_semi")).drop("_rid")
+    return kept.original(kept.rows.join(written(staying, "staying"), "_rid", "left_semi")).drop("_rid")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import contamination, mixing as mixes, quality as rules, sharding as shards, simhash
-from veilframe.llm.common import count_words, table
+from veilframe.llm.common import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

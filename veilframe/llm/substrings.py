@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.common import Stored, checked_broadcast, stored, written
-from veilframe.session import cut_lineage
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 MIN_WORDS = 20
@@ -139,7 +138,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """The rows with repeats cut out of the text; ``removed`` and ``kept`` are the spans
     of the original text that went and that stay, in order."""
     kept = stored(docs, "substring-input")
-    spans = cut_lineage(repeated_spans(kept, doc_id, text, **options))
+    spans = written(repeated_spans(kept, doc_id, text, **options), "repeats")
     gone = spans.groupBy(F.col("rid").alias("_rid")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")
     )
