@@ -33,3 +33,69 @@ def explode_structs(df: DataFrame, keys: Sequence[str], column: str) -> DataFram
     rows = df.select(*keys, F.inline_outer(column))
     first = [c for c in rows.columns if c not in keys][0]
     return rows.where(F.col(first).isNotNull())
+
+
+# Items folded in one go: long arrays are folded by steps, so that copying the growing
+# result does not cost the square of their length.
+STEP = 128
+
+
+def running(
+    values: Column, zero: Column, merge: Callable[[Column, Column], Column]
+) -> Column:
+    """For each value the fold of it and all before it."""
+
+    def folds(items: Column, start: Column) -> Column:
+        return F.aggregate(
+            items,
+            F.array(start),
+            lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)),
+        )
+
+    def all_steps(steps: Column) -> Column:
+        totals = F.transform(steps, lambda s: F.aggregate(s, zero, merge))
+        return let(
+            F.aggregate(
+                totals,
+                F.array(zero),
+                lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)),
+            ),
+            lambda starts: F.flatten(
+                F.transform(
+                    steps, lambda s, i: F.slice(folds(s, F.get(starts, i)), 2, F.size(s))
+                )
+            ),
+        )
+
+    def cut(v: Column) -> Column:
+        last = F.floor((F.size(v) - 1) / STEP).cast("int")
+        steps = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(v, i * STEP + 1, F.lit(STEP))
+        )
+        return F.when(F.size(v) == 0, F.slice(F.array(zero), 1, 0)).otherwise(let(steps, all_steps))
+
+    return let(values, cut)
+
+
+def runs(ordered: Column, starts_run: Callable[[Column, Column], Column]) -> Column:
+    """An array cut into arrays: a run starts at each item (but the first) for which
+    ``starts_run(items, place)`` holds.  No run is empty."""
+
+    def cut(items: Column) -> Column:
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(items) - 1), lambda i: (i == 0) | starts_run(items, i)
+        )
+        return let(
+            first,
+            lambda places: F.transform(
+                places,
+                lambda p, j: F.slice(
+                    items, p + 1, F.coalesce(F.get(places, j + 1), F.size(items)) - p
+                ),
+            ),
+        )
+
+    def or_none(items: Column) -> Column:
+        return F.when(F.size(items) > 0, cut(items)).otherwise(F.slice(F.array(items), 1, 0))
+
+    return let(ordered, or_none)

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilframe.functions.arrays import let
+from veilframe.functions.arrays import let, running, runs
 from veilframe.operators.rules import MASKED_VALUE, Rule
 
 # Four marks delimit lead, value and trail of a match inside the marked text.
@@ -244,9 +244,9 @@ def resolve_overlaps(spans: Column) -> Column:
     """Greedy choice of disjoint spans, returned in text order.
 
     Priority is confidence, then length, then list order.  The spans are first
-    cut into islands (maximal groups connected by overlap) by one walk in text
-    order; the greedy choice never looks across islands, so its quadratic part
-    is limited to a handful of spans.
+    cut into islands (maximal groups connected by overlap) where one starts behind
+    the furthest end before it; the greedy choice never looks across islands, so its
+    quadratic part is limited to a handful of spans.
     """
     keyed = F.array_sort(
         F.transform(
@@ -260,27 +260,18 @@ def resolve_overlaps(spans: Column) -> Column:
             ),
         )
     )
-    keyed_type = (
-        f"struct<start:int,rank1:double,rank2:int,rank3:int,span:{SPAN_TYPE}>"
-    )
-    state = F.struct(
-        F.lit(-1).alias("reach"),
-        F.array().cast(f"array<{keyed_type}>").alias("open"),
-        F.array().cast(f"array<array<{keyed_type}>>").alias("closed"),
-    )
-
-    def cut(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["reach"]
-        return F.struct(
-            F.greatest(acc["reach"], x["span"]["end"]).alias("reach"),
-            F.when(fresh, F.array(x)).otherwise(F.concat(acc["open"], F.array(x))).alias("open"),
-            F.when(fresh, F.concat(acc["closed"], F.array(acc["open"])))
-            .otherwise(acc["closed"])
-            .alias("closed"),
+    def reached(items: Column) -> Column:
+        """The furthest end up to each span."""
+        return running(
+            F.transform(items, lambda x: x["span"]["end"]), F.lit(-1), lambda a, x: F.greatest(a, x)
         )
 
-    islands = F.aggregate(
-        keyed, state, cut, lambda acc: F.concat(acc["closed"], F.array(acc["open"]))
+    islands = let(
+        keyed,
+        lambda items: let(
+            reached(items),
+            lambda reach: runs(items, lambda _, i: F.get(items, i)["start"] >= F.get(reach, i - 1)),
+        ),
     )
 
     def choose(island: Column) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
-from veilframe.functions.arrays import explode_structs, let
+from veilframe.functions.arrays import explode_structs
 from veilframe.functions.rewrite import splice
 from veilframe.functions.strategies import strategy_fn
 from veilframe.functions.text import join_broken_names
@@ -17,18 +17,20 @@ from veilframe.operators import detectors as D
 from veilframe.operators import entities as E
 from veilframe.operators import external as X
 from veilframe.operators.reports import legend_text_in_row, legend_text
-from veilframe.session import cut_lineage
+from veilframe.session import ROW, cut_lineage, pin_rows
 
 BACKENDS = ("hybrid", "patterns", "spacy", "presidio", "gliner", "auto")
 
 
 @dataclass
 class Encoded:
-    """Sanitised documents, the mapping that restores them, its surface forms."""
+    """Sanitised documents, the mapping that restores them, its surface forms, and
+    those of them that these documents hold, with how often they do."""
 
     documents: DataFrame
     mapping: DataFrame | None = None
     forms: DataFrame | None = None
+    seen: DataFrame | None = None
 
 
 def resolve_backend(backend: str) -> str:
@@ -39,48 +41,37 @@ def resolve_backend(backend: str) -> str:
     return "hybrid" if backend == "auto" else backend
 
 
-def detected(text: str, external: Column | None, backend: str, **options: Any) -> Column:
-    """Disjoint spans of a text column by the chosen back end, in text order."""
-    backend = resolve_backend(backend)
-    if backend == "patterns":
-        return S.resolve_overlaps(D.detect(text, D.PATTERN_ORDER))
-    if backend == "hybrid":
-        patterns = D.detect(text, D.HYBRID_ORDER)
-        if external is None:
-            return S.resolve_overlaps(patterns)
-        return let(
-            patterns,
-            lambda p: S.resolve_overlaps(
-                F.concat(p, X.hybrid_extra(F.col(text), external, p, **options))
-            ),
-        )
-    if external is None:
-        raise ValueError(f"backend {backend!r} needs the model's spans: external=")
-    if backend == "spacy":
-        found = X.ner_spans(F.col(text), external, **options)
-    elif backend == "presidio":
-        found = X.analyzer_spans(F.col(text), external, **options)
-    else:
-        found = X.zero_shot_spans(F.col(text), external, **options)
-    # Model spans may overlap, which would corrupt the rewritten text.
-    return let(found, S.resolve_overlaps)
-
-
 def detect_spans(
     docs: DataFrame,
     backend: str = "patterns",
     external: DataFrame | None = None,
     **options: Any,
 ) -> DataFrame:
-    """Documents with array column ``spans``."""
-    has_external = "external" in docs.columns
+    """Documents with array column ``spans``: disjoint, in text order.
+
+    Finding and choosing are columns of their own, which keeps the expressions short;
+    they are one projection again when the plan runs.
+    """
+    backend = resolve_backend(backend)
     if external is not None:
-        docs, has_external = X.attach_external(docs, external), True
-    scanned = docs.withColumn("_scan", S.scannable(F.col("text")))
-    found = detected(
-        "_scan", F.col("external") if has_external else None, backend, **options
-    )
-    result = scanned.withColumn("spans", found).drop("_scan")
+        docs = X.attach_external(docs, external)
+    has_external = "external" in docs.columns
+    text, given = F.col("text"), F.col("external")
+    if backend in ("patterns", "hybrid"):
+        order = D.PATTERN_ORDER if backend == "patterns" else D.HYBRID_ORDER
+        scanned = docs.withColumn("_scan", S.scannable(text))
+        found = scanned.withColumn("_found", D.detect("_scan", order)).drop("_scan")
+        if backend == "hybrid" and has_external:
+            more = X.hybrid_extra(text, given, F.col("_found"), **options)
+            found = found.withColumn("_more", more)
+            found = found.withColumn("_found", F.concat("_found", "_more")).drop("_more")
+    elif not has_external:
+        raise ValueError(f"backend {backend!r} needs the model's spans: external=")
+    else:
+        # Model spans may overlap, which would corrupt the rewritten text.
+        chosen = {"spacy": X.ner_spans, "presidio": X.analyzer_spans}.get(backend, X.zero_shot_spans)
+        found = docs.withColumn("_found", chosen(text, given, **options))
+    result = found.withColumn("spans", S.resolve_overlaps(F.col("_found"))).drop("_found")
     return result.drop("external") if has_external else result
 
 
@@ -117,20 +108,10 @@ def encode(
     apply = strategy_fn(strategy, **(strategy_options or {}))
     found = prepared_spans(docs, backend, external, skip_already_masked, **options)
     resolved = found.withColumn("_items", E.keyed_spans(F.col("spans"))).withColumn(
-        "_entities", E.number_in_row(F.col("_items"))
+        "_entities", E.entities_in_row(F.col("_items"))
     )
     if apply is None:
-        edits = let(
-            E.placeholders_in_row(F.col("_entities")),
-            lambda names: F.transform(
-                F.reverse(F.col("_items")),
-                lambda i: F.struct(
-                    i["start"].alias("start"),
-                    i["end"].alias("end"),
-                    F.element_at(names, i["norm_key"]).alias("replacement"),
-                ),
-            ),
-        )
+        edits = E.edits_in_row(F.col("_entities"))
     else:
         edits = F.transform(
             F.col("spans"),
@@ -140,15 +121,16 @@ def encode(
                 apply(s["value"], s["category"]).alias("replacement"),
             ),
         )
-    sanitized = let(edits, lambda e: splice(F.col("text"), e))
-    mapped = resolved.withColumn(
-        "mapping", E.mapping_in_row(F.col("_entities"), F.col("_items"))
-    ).withColumn("sanitized", sanitized)
+    mapped = (
+        resolved.withColumn("mapping", E.mapping_in_row(F.col("_entities")))
+        .withColumn("_edits", edits)
+        .withColumn("sanitized", splice(F.col("text"), F.col("_edits")))
+    )
     if legend:
         mapped = mapped.withColumn(
             "sanitized", F.concat(legend_text_in_row(F.col("mapping")), F.col("sanitized"))
         )
-    return mapped.drop("_items", "_entities")
+    return mapped.drop("_items", "_entities", "_edits")
 
 
 def span_rows(docs_with_spans: DataFrame) -> DataFrame:
@@ -170,53 +152,65 @@ def encode_corpus(
 ) -> Encoded:
     """Encode documents with one shared mapping, new or extended.
 
-    The scan yields spans without text, which are pinned once; all entity work
-    runs on them.  The texts move once, by ``doc_id``, to meet their edits.
+    The documents are pinned, so that ids which are null or repeat do no harm.  The
+    scan yields spans without text, which are pinned too; all entity work runs on
+    them.  The texts move once, by row, to meet their edits.  A ``mapping`` needs the
+    surface forms it was built from (``E.stored_forms`` for stored entries).
     """
     apply = strategy_fn(strategy, **(strategy_options or {}))
+    if mapping is not None and forms is None:
+        raise ValueError("a mapping is extended together with its surface forms: forms=")
+    if external is not None:
+        docs, external = X.attach_external(docs, external), None
+    docs = pin_rows(docs)
     found = prepared_spans(docs, backend, external, skip_already_masked, **options)
     spans = cut_lineage(
-        E.with_key(span_rows(found).select("doc_id", "start", "end", "category", "value"))
+        E.with_key(
+            explode_structs(found, ["doc_id", ROW], "spans").select(
+                "doc_id", ROW, "start", "end", "category", "value"
+            )
+        )
     )
-    batch_forms = cut_lineage(E.surface_forms(spans))
+    batch_forms = cut_lineage(E.surface_forms(spans, row=ROW))
     if mapping is None:
-        full, full_forms = E.number_entities(E.entities(batch_forms)), batch_forms
+        full = cut_lineage(E.number_entities(E.entities(batch_forms)))
+        full_forms = E.placed_forms(batch_forms, full)
     else:
         full, full_forms = E.extend_mapping(mapping, batch_forms, forms)
-    full = cut_lineage(full)
+        full = cut_lineage(full)
     if apply is None:
         counts = batch_forms.groupBy("norm_key").agg(F.sum("occurrences").alias("n"))
         names = full.where("is_lookup").select("norm_key", "placeholder")
         named = E.lookup(spans, names, "norm_key", counts).select(
-            "doc_id", "start", "end", F.col("placeholder").alias("replacement")
+            ROW, "start", "end", F.col("placeholder").alias("replacement")
         )
     else:
         named = spans.select(
-            "doc_id",
+            ROW,
             "start",
             "end",
             apply(F.col("value"), F.col("category")).alias("replacement"),
         )
     texts = docs.withColumn("text", join_broken_names(F.col("text")))
-    sanitized = apply_edits(texts, named)
+    sanitized = apply_edits(texts, named).drop(ROW, "external")
     if legend:
         sanitized = sanitized.crossJoin(F.broadcast(legend_text(full))).withColumn(
             "sanitized", F.concat("legend", "sanitized")
         ).drop("legend")
-    return Encoded(sanitized, full, full_forms)
+    return Encoded(sanitized, full, full_forms, E.placed_forms(batch_forms, full))
 
 
-def apply_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Splice ``edits(doc_id, start, end, replacement)`` into the texts.
+def apply_edits(docs: DataFrame, edits: DataFrame, key: str = ROW) -> DataFrame:
+    """Splice ``edits(key, start, end, replacement)`` into the texts.
 
-    A group is the edits of one document.  Both sides meet by ``doc_id``;
-    bucketing the documents by it saves moving them.
+    ``key`` names a row for sure: a text that misses its edits would leave as it came.
+    A group is the edits of one document.
     """
-    grouped = edits.groupBy("doc_id").agg(
+    grouped = edits.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("_edits")
     )
     return (
-        docs.join(grouped, "doc_id", "left")
+        docs.join(grouped, key, "left")
         .withColumn("sanitized", splice(F.col("text"), F.col("_edits")))
         .drop("_edits")
     )

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.functions.arrays import let
+from veilframe.functions.arrays import let, runs
 from veilframe.functions.keys import (
     entity_key,
     placeholder,
@@ -23,13 +23,6 @@ from veilframe.functions.keys import (
 )
 from veilframe.session import cut_lineage
 
-ENTITY_TYPE = "struct<norm_key:string,category:string,num:int,canonical:string>"
-
-# A key that holds more than this share of the rows counts as hot.  At most
-# HOT_KEYS keys can, which bounds what is broadcast for them.
-HOT_KEYS = 1000
-
-
 # --- document scope --------------------------------------------------------------
 
 
@@ -47,53 +40,81 @@ def keyed_spans(spans: Column) -> Column:
     )
 
 
-def number_in_row(items: Column) -> Column:
-    """Entities in order of first sight, numbered per category."""
-
-    def step(acc: Column, it: Column) -> Column:
-        number = F.size(F.filter(acc, lambda e: e["category"] == it["category"])) + 1
-        fresh = F.struct(
-            it["norm_key"].alias("norm_key"),
-            it["category"].alias("category"),
-            number.alias("num"),
-            it["value"].alias("canonical"),
+def entities_in_row(items: Column) -> Column:
+    """Entities in order of first sight, numbered per category, each with its items."""
+    sorted_items = F.array_sort(
+        F.transform(
+            items, lambda it, i: F.struct(it["norm_key"].alias("norm_key"), i.alias("at"), it.alias("item"))
+        )
+    )
+    groups = runs(
+        sorted_items, lambda s, i: F.get(s, i)["norm_key"] != F.get(s, i - 1)["norm_key"]
+    )
+    found = F.array_sort(
+        F.transform(
+            groups,
+            lambda g: F.struct(
+                F.get(g, F.lit(0))["at"].alias("at"),
+                F.get(g, F.lit(0))["item"].alias("first"),
+                F.transform(g, lambda x: x["item"]).alias("items"),
+            ),
         )
-        return F.when(F.exists(acc, lambda e: e["norm_key"] == it["norm_key"]), acc).otherwise(
-            F.concat(acc, F.array(fresh))
+    )
+
+    def numbered(ents: Column) -> Column:
+        categories = F.array_distinct(F.transform(ents, lambda e: e["first"]["category"]))
+        return F.transform(
+            categories,
+            lambda c: F.transform(
+                F.filter(ents, lambda e: e["first"]["category"] == c),
+                lambda e, i: F.struct(
+                    e["at"].alias("at"),
+                    e["first"]["norm_key"].alias("norm_key"),
+                    c.alias("category"),
+                    (i + 1).alias("num"),
+                    placeholder(c, i + 1).alias("placeholder"),
+                    e["first"]["value"].alias("canonical"),
+                    e["items"].alias("items"),
+                ),
+            ),
         )
 
-    return F.aggregate(items, F.array().cast(f"array<{ENTITY_TYPE}>"), step)
+    return F.array_sort(F.flatten(let(found, numbered)))
 
 
-def mapping_in_row(entities: Column, items: Column) -> Column:
+def mapping_in_row(entities: Column) -> Column:
     """Mapping entries of a document, in order of creation."""
-
-    def entry(e: Column, its: Column) -> Column:
-        mine = F.filter(its, lambda i: i["norm_key"] == e["norm_key"])
-        return F.struct(
-            placeholder(e["category"], e["num"]).alias("placeholder"),
+    return F.transform(
+        entities,
+        lambda e: F.struct(
+            e["placeholder"].alias("placeholder"),
             e["norm_key"].alias("norm_key"),
             e["category"].alias("category"),
             e["num"].alias("num"),
             e["canonical"].alias("canonical"),
-            F.array_sort(F.array_distinct(F.transform(mine, lambda i: i["value"]))).alias(
-                "variations"
-            ),
-            F.size(mine).alias("occurrences"),
-        )
-
-    return let(items, lambda its: F.transform(entities, lambda e: entry(e, its)))
+            F.array_sort(
+                F.array_distinct(F.transform(e["items"], lambda i: i["value"]))
+            ).alias("variations"),
+            F.size(e["items"]).alias("occurrences"),
+        ),
+    )
 
 
-def placeholders_in_row(entities: Column) -> Column:
-    """Map from key to placeholder."""
-    return F.map_from_entries(
-        F.transform(
-            entities,
-            lambda e: F.struct(
-                e["norm_key"].alias("key"),
-                placeholder(e["category"], e["num"]).alias("value"),
-            ),
+def edits_in_row(entities: Column) -> Column:
+    """The items of all entities with their placeholder, in text order."""
+    return F.array_sort(
+        F.flatten(
+            F.transform(
+                entities,
+                lambda e: F.transform(
+                    e["items"],
+                    lambda i: F.struct(
+                        i["start"].alias("start"),
+                        i["end"].alias("end"),
+                        e["placeholder"].alias("replacement"),
+                    ),
+                ),
+            )
         )
     )
 
@@ -105,14 +126,20 @@ def with_key(spans: DataFrame) -> DataFrame:
     return spans.withColumn("norm_key", entity_key(F.col("value"), F.col("category")))
 
 
-def surface_forms(spans: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+def surface_forms(
+    spans: DataFrame, scope: Sequence[str] = (), row: str | None = None
+) -> DataFrame:
     """Distinct surface forms per key, with counts and first sight.
 
     The order of first sight is document order, and last to first inside a
-    document.  A frequent form is counted on the map side.
+    document; ``row`` orders documents that share an id.  A frequent form is counted
+    on the map side.
     """
     first = F.struct(
-        F.col("doc_id"), (-F.col("start")).alias("from_end"), F.col("category")
+        F.col("doc_id"),
+        (F.col(row) if row else F.lit(0).cast("long")).alias("row"),
+        (-F.col("start")).alias("from_end"),
+        F.col("category"),
     )
     return (
         with_key(spans)
@@ -136,6 +163,7 @@ def entities(forms: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
             F.col("seen.first.category").alias("category"),
             F.col("seen.value").alias("canonical"),
             F.col("seen.first.doc_id").alias("first_doc"),
+            F.col("seen.first.row").alias("first_row"),
             F.col("seen.first.from_end").alias("first_from_end"),
             "occurrences",
             "n_variations",
@@ -152,7 +180,7 @@ def number_entities(ents: DataFrame, start_at: DataFrame | None = None) -> DataF
     more than one range, however large a category is.  ``start_at`` gives the
     highest number already in use per category.
     """
-    order = ["first_doc", "first_from_end"]
+    order = ["first_doc", "first_row", "first_from_end"]
     ranged = ents.repartitionByRange("category", *order).select(
         "*", F.spark_partition_id().alias("slot")
     )
@@ -190,66 +218,87 @@ def number_entities(ents: DataFrame, start_at: DataFrame | None = None) -> DataF
     )
 
 
-def number_per_scope(ents: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Numbering where each scope (such as a document) has its own mapping."""
-    order = Window.partitionBy(*scope, "category").orderBy("first_doc", "first_from_end")
-    return ents.withColumn("num", F.row_number().over(order).cast("long")).withColumn(
-        "placeholder", placeholder(F.col("category"), F.col("num"))
+def in_order(rows: DataFrame, key: str, number: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a column without ties, range by range."""
+    ranged = cut_lineage(
+        rows.repartitionByRange(key).withColumn("slot", F.spark_partition_id())
+    )
+    before = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    offsets = counts.select("slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy(key))
+    return (
+        ranged.join(F.broadcast(offsets), "slot")
+        .withColumn(number, F.col("offset") + rank)
+        .drop("slot", "offset")
     )
 
 
 def build_mapping(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mapping of a corpus and its table of surface forms."""
     forms = cut_lineage(surface_forms(spans))
-    return number_entities(entities(forms)), forms
+    mapping = cut_lineage(number_entities(entities(forms)))
+    return mapping, placed_forms(forms, mapping)
 
 
 MAPPING_COLUMNS = (
     "norm_key", "category", "num", "placeholder", "canonical", "occurrences", "n_variations",
     "is_lookup",
 )
+FORM_COLUMNS = ("placeholder", "norm_key", "value", "occurrences")
+
+
+def placed_forms(forms: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Surface forms with the placeholder their key is looked up under."""
+    names = mapping.where("is_lookup").select("norm_key", "placeholder")
+    return forms.drop("placeholder").join(names, "norm_key").select(*FORM_COLUMNS)
 
 
 def extend_mapping(
-    mapping: DataFrame, forms: DataFrame, known_forms: DataFrame | None = None
+    mapping: DataFrame, forms: DataFrame, known_forms: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
     """Grow a mapping by a batch: known keys keep their placeholder and gain
     occurrences, new keys are numbered after the highest number in use.
 
     ``mapping`` comes from ``build_mapping``, an earlier extension or stored
-    entries; of stored entries that share a key only the look-up one is matched.
-    Returns the mapping and its surface forms.
+    entries, ``known_forms`` from the same place (``stored_forms`` of entries); of
+    stored entries that share a key only the look-up one is matched.  Returns the
+    mapping and its surface forms; entries the batch does not touch, and their
+    forms, come back as they were.
     """
     batch = entities(forms)
     top = mapping.groupBy("category").agg(F.max("num").alias("max_num"))
     lookups = mapping.where("is_lookup")
     fresh = number_entities(batch.join(lookups.select("norm_key"), "norm_key", "left_anti"), top)
-    all_forms = forms.select("norm_key", "value", "occurrences")
-    if known_forms is not None:
-        all_forms = (
-            all_forms.unionByName(known_forms.select("norm_key", "value", "occurrences"))
-            .groupBy("norm_key", "value")
-            .agg(F.sum("occurrences").alias("occurrences"))
-        )
-    sizes = all_forms.groupBy("norm_key").agg(F.count(F.lit(1)).alias("all_variations"))
     seen = batch.select("norm_key", F.col("occurrences").alias("more"))
-    grown = (
+    grown = cut_lineage(
         lookups.select(*MAPPING_COLUMNS)
         .join(seen, "norm_key", "left")
         .withColumn("occurrences", F.col("occurrences") + F.coalesce("more", F.lit(0)))
         .select(*MAPPING_COLUMNS)
         .unionByName(fresh.select(*MAPPING_COLUMNS))
-        .join(sizes, "norm_key", "left")
-        .withColumn("n_variations", F.greatest("all_variations", "n_variations"))
+        .unionByName(mapping.where("NOT is_lookup").select(*MAPPING_COLUMNS))
+    )
+    all_forms = cut_lineage(
+        placed_forms(forms, grown)
+        .unionByName(known_forms.select(*FORM_COLUMNS))
+        .groupBy("placeholder", "norm_key", "value")
+        .agg(F.sum("occurrences").alias("occurrences"))
+    )
+    sizes = all_forms.groupBy("placeholder").agg(F.count(F.lit(1)).alias("all_variations"))
+    counted = (
+        grown.join(sizes, "placeholder", "left")
+        .withColumn("n_variations", F.coalesce("all_variations", "n_variations"))
         .select(*MAPPING_COLUMNS)
     )
-    others = mapping.where("NOT is_lookup").select(*MAPPING_COLUMNS)
-    return grown.unionByName(others), all_forms
+    return counted, all_forms.select(*FORM_COLUMNS)
 
 
 def stored_forms(entries: DataFrame) -> DataFrame:
-    """Surface forms of stored entries; how often each occurred is not stored."""
-    return entries.where("is_lookup").select(
+    """Surface forms of stored entries, each under its own placeholder; how often each
+    occurred is not stored."""
+    return entries.select(
+        "placeholder",
         "norm_key",
         F.explode(F.array_distinct("variations")).alias("value"),
         F.lit(0).cast("long").alias("occurrences"),
@@ -278,15 +327,16 @@ def lookup(
 ) -> DataFrame:
     """Left join of many rows with a table that has one row per key.
 
-    Keys that hold more than a thousandth of the rows are joined by broadcast
-    (there can be no more than a thousand of them, whatever the data), the others
-    by a shuffle in which no key is large.  ``counts(key, n)`` saves counting the
-    rows.  ``rows`` is read twice: pass a table or a pinned DataFrame.
+    Keys that hold more than a quarter of a task's fair share of the rows are joined
+    by broadcast (there can be no more than four for each task), the others by a
+    shuffle in which no key is large.  ``counts(key, n)`` saves counting the rows.
+    ``rows`` is read twice: pass a table or a pinned DataFrame.
     """
     if counts is None:
         counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.where(F.col(key).isNotNull())
-    limit = counts.agg((F.sum("n") / HOT_KEYS).alias("limit"))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = counts.agg((F.sum("n") / (4 * tasks)).alias("limit"))
     hot = cut_lineage(
         counts.crossJoin(F.broadcast(limit)).where(F.col("n") > F.col("limit")).select(key)
     )

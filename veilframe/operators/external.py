@@ -22,12 +22,25 @@ from veilframe.operators import rules as R
 EXTERNAL_TYPE = "struct<start:int,end:int,label:string,score:double,lang:string>"
 
 
+def check_external(docs: DataFrame, external: DataFrame) -> None:
+    """Spans that name no document, or one of several, would leave a text as it is or
+    cut it at the wrong places: refuse them."""
+    if external.where("doc_id IS NULL").limit(1).count():
+        raise ValueError("external spans without a doc_id")
+    if docs.isStreaming:
+        return
+    named = docs.join(external.select("doc_id").distinct(), "doc_id", "left_semi")
+    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        raise ValueError("external spans for a doc_id that several documents have")
+
+
 def attach_external(docs: DataFrame, external: DataFrame) -> DataFrame:
     """Documents with their external spans as array column ``external``.
 
     One exchange by ``doc_id`` (none if both are bucketed by it); a group is
     the spans of one document.
     """
+    check_external(docs, external)
     grouped = external.groupBy("doc_id").agg(
         F.array_sort(
             F.collect_list(

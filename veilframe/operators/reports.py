@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.arrays import let, strings
 from veilframe.functions.keys import placeholder_category, placeholder_number
 from veilframe.operators import rules as R
+from veilframe.operators.entities import in_order
 from veilframe.operators.external import label_category
 
 EXAMPLES = 3
@@ -145,31 +146,33 @@ def analyze(docs_with_spans: DataFrame) -> DataFrame:
 
 
 def dry_run(mapping: DataFrame) -> DataFrame:
-    """What would be replaced by what."""
-    return mapping.select("placeholder", "canonical")
+    """What would be replaced by what, and a last row with the number of entries."""
+    total = mapping.agg(F.count(F.lit(1)).cast("string").alias("canonical"))
+    return mapping.select("placeholder", "canonical").unionByName(
+        total.select(F.lit("TOTAL").alias("placeholder"), "canonical")
+    )
 
 
 def show_mapping(mapping: DataFrame, forms: DataFrame | None = None) -> DataFrame:
-    """Entries for reading; variations only where there are several.
-
-    Sort by ``placeholder`` when writing: entries are listed in lexical order.
-    """
+    """Entries for reading, in lexical order of the placeholders (``entry_no``);
+    variations only where there are several."""
     listed = mapping
     if "variations" not in mapping.columns and forms is not None:
-        several = mapping.where(F.col("n_variations") > 1).select("norm_key")
+        several = mapping.where(F.col("n_variations") > 1).select("placeholder")
         listed = mapping.join(
-            forms.join(several, "norm_key", "left_semi")
-            .groupBy("norm_key")
+            forms.join(several, "placeholder", "left_semi")
+            .groupBy("placeholder")
             .agg(F.array_sort(F.collect_set("value")).alias("variations")),
-            "norm_key",
+            "placeholder",
             "left",
         )
-    return listed.select(
+    shown = listed.select(
         "placeholder",
         "canonical",
         F.when(F.size("variations") > 1, F.array_join("variations", "; ")).alias("variations"),
         "occurrences",
     )
+    return in_order(shown, "placeholder", "entry_no")
 
 
 def counters(mapping: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

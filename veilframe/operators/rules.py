@@ -47,26 +47,26 @@ class Rule:
 
 # --- fixed values: phone numbers ------------------------------------------------
 PHONE_RULES = (
-    Rule(r"\b0\d{1,2}[/.\s]\d{2,3}[/.\s]\d{2}[/.\s]\d{2}\b", kind="BE_LANDLINE"),
-    Rule(r"\+32\s+[2-9]\s+\d{3}\s+\d{2}\s+\d{2}", kind="BE_LANDLINE_INTL", needs=("+32",)),
-    Rule(r"\+?32\s?\d{9}", kind="BE_MOBILE", needs=("32",)),
-    Rule(r"\+?32\s?\d{3}\s?\d{2}\s?\d{2}\s?\d{2}", kind="BE_MOBILE", needs=("32",)),
-    Rule(r"\b0[4-9]\d{2}[/.\s]?\d{2}[/.\s]?\d{2}[/.\s]?\d{2}\b", kind="BE_MOBILE_LOCAL"),
-    Rule(r"\+?31\s?\d{9}", kind="NL_MOBILE", needs=("31",)),
-    Rule(r"\+?31\s?6\s?\d{4}\s?\d{4}", kind="NL_MOBILE", needs=("31",)),
-    Rule(r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}", kind="US_PHONE", needs=("(",)),
-    Rule(r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b", kind="US_PHONE"),
-    Rule(r"\+?1[-.\s]?\d{3}[-.\s]?\d{3}[-.\s]?\d{4}", kind="US_PHONE", needs=("1",)),
-    Rule(r"\+?44\s?\d{2,4}\s?\d{3,4}\s?\d{4}", kind="UK_PHONE", needs=("44",)),
-    Rule(r"\b0\d{2,4}\s?\d{3,4}\s?\d{4}\b", kind="UK_PHONE"),
-    Rule(r"\+?33\s?\d{9}", kind="FR_MOBILE", needs=("33",)),
-    Rule(r"\+?33\s?\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}", kind="FR_PHONE", needs=("33",)),
-    Rule(r"\b0\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}\b", kind="FR_PHONE"),
-    Rule(r"\+?49\s?\d{2,4}\s?\d{6,8}", kind="DE_PHONE", needs=("49",)),
-    Rule(r"\b0\d{2,4}\s?\d{6,8}\b", kind="DE_PHONE"),
-    Rule(r"\+?212\s?\d{9}", kind="MA_MOBILE", needs=("212",)),
-    Rule(r"\+?79\s?\d{9}", kind="RU_MOBILE", needs=("79",)),
-    Rule(r"\+\d{2,3}\s?\d{8,12}", kind="INTL_GENERIC", needs=("+",)),
+    Rule(r"\b0\d{1,2}[/.\s]\d{2,3}[/.\s]\d{2}[/.\s]\d{2}\b"),
+    Rule(r"\+32\s+[2-9]\s+\d{3}\s+\d{2}\s+\d{2}", needs=("+32",)),
+    Rule(r"\+?32\s?\d{9}", needs=("32",)),
+    Rule(r"\+?32\s?\d{3}\s?\d{2}\s?\d{2}\s?\d{2}", needs=("32",)),
+    Rule(r"\b0[4-9]\d{2}[/.\s]?\d{2}[/.\s]?\d{2}[/.\s]?\d{2}\b"),
+    Rule(r"\+?31\s?\d{9}", needs=("31",)),
+    Rule(r"\+?31\s?6\s?\d{4}\s?\d{4}", needs=("31",)),
+    Rule(r"\(\d{3}\)\s?\d{3}[-.\s]?\d{4}", needs=("(",)),
+    Rule(r"\b\d{3}[-.\s]\d{3}[-.\s]\d{4}\b"),
+    Rule(r"\+?1[-.\s]?\d{3}[-.\s]?\d{3}[-.\s]?\d{4}", needs=("1",)),
+    Rule(r"\+?44\s?\d{2,4}\s?\d{3,4}\s?\d{4}", needs=("44",)),
+    Rule(r"\b0\d{2,4}\s?\d{3,4}\s?\d{4}\b"),
+    Rule(r"\+?33\s?\d{9}", needs=("33",)),
+    Rule(r"\+?33\s?\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}", needs=("33",)),
+    Rule(r"\b0\d\s?\d{2}\s?\d{2}\s?\d{2}\s?\d{2}\b"),
+    Rule(r"\+?49\s?\d{2,4}\s?\d{6,8}", needs=("49",)),
+    Rule(r"\b0\d{2,4}\s?\d{6,8}\b"),
+    Rule(r"\+?212\s?\d{9}", needs=("212",)),
+    Rule(r"\+?79\s?\d{9}", needs=("79",)),
+    Rule(r"\+\d{2,3}\s?\d{8,12}", needs=("+",)),
 )
 
 # --- fixed values: e-mail ---------------------------------------------------------
@@ -81,14 +81,14 @@ EMAIL_RULES = (
 
 # --- fixed values: bank accounts --------------------------------------------------
 IBAN_RULES = (
-    Rule(r"\bBE\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\b", kind="BE", needs=("BE",)),
-    Rule(r"\bNL\d{2}\s?[A-Z]{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", kind="NL", needs=("NL",)),
-    Rule(r"\bDE\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", kind="DE", needs=("DE",)),
-    Rule(r"\bFR\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{3}\b", kind="FR", needs=("FR",)),
-    Rule(r"\bGB\d{2}\s?[A-Z]{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", kind="GB", needs=("GB",)),
-    Rule(r"\bES\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\b", kind="ES", needs=("ES",)),
-    Rule(r"\bIT\d{2}\s?[A-Z]\d{3}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{3}\b", kind="IT", needs=("IT",)),
-    Rule(r"\b[A-Z]{2}\d{2}\s?[A-Z0-9]{4}(?:\s?[A-Z0-9]{4}){2,6}\b", kind="GENERIC"),
+    Rule(r"\bBE\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\b", needs=("BE",)),
+    Rule(r"\bNL\d{2}\s?[A-Z]{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", needs=("NL",)),
+    Rule(r"\bDE\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", needs=("DE",)),
+    Rule(r"\bFR\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{3}\b", needs=("FR",)),
+    Rule(r"\bGB\d{2}\s?[A-Z]{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{2}\b", needs=("GB",)),
+    Rule(r"\bES\d{2}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\b", needs=("ES",)),
+    Rule(r"\bIT\d{2}\s?[A-Z]\d{3}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{4}\s?\d{3}\b", needs=("IT",)),
+    Rule(r"\b[A-Z]{2}\d{2}\s?[A-Z0-9]{4}(?:\s?[A-Z0-9]{4}){2,6}\b"),
 )
 
 # --- fixed values: dates of birth -------------------------------------------------
@@ -107,30 +107,26 @@ ADDRESS_RULES = (
     Rule(
         r"[A-Z][a-zé]+(?:straat|laan|weg|plein|singel|dreef|lei|steenweg|kaai)[a-z]*"
         r"\s+\d+(?:/[A-Z]?\d+)?",
-        kind="BE_STREET",
         needs=("straat", "laan", "weg", "plein", "singel", "dreef", "lei", "kaai"),
     ),
-    Rule(r"\b[1-9]\d{3} [A-Z][a-z]+\b", kind="BE_CITY"),
-    Rule(r"\b\d{4}\s?[A-Z]{2}\s+[A-Z][a-z]+(?:\s+\([A-Za-z]+\))?", kind="NL_CITY"),
+    Rule(r"\b[1-9]\d{3} [A-Z][a-z]+\b"),
+    Rule(r"\b\d{4}\s?[A-Z]{2}\s+[A-Z][a-z]+(?:\s+\([A-Za-z]+\))?"),
     Rule(
         r"\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+(?:Street|St|Avenue|Ave|Road|Rd|Drive|Dr"
         r"|Lane|Ln|Boulevard|Blvd|Way|Court|Ct|Place|Pl)\b",
-        kind="US_STREET",
         needs=("St", "Av", "Road", "Rd", "Dr", "Lane", "Ln", "Boulevard", "Blvd", "Way", "Court", "Ct", "Pl"),
     ),
-    Rule(r"\b\d{5}(?:-\d{4})?\b", kind="US_ZIP"),
-    Rule(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b", kind="US_CITY", needs=(",",)),
-    Rule(r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b", kind="UK_POSTCODE"),
+    Rule(r"\b\d{5}(?:-\d{4})?\b"),
+    Rule(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?,\s*[A-Z]{2}\s+\d{5}(?:-\d{4})?\b", needs=(",",)),
+    Rule(r"\b[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}\b"),
     Rule(
         r"\b\d+\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?\s+(?:Street|Road|Lane|Avenue|Gardens|Square"
         r"|Terrace|Close|Crescent)\b",
-        kind="UK_STREET",
         needs=("Street", "Road", "Lane", "Avenue", "Gardens", "Square", "Terrace", "Close", "Crescent"),
     ),
     Rule(
         r"\b\d+\s+(?:rue|avenue|boulevard|place|allée|chemin|impasse)\s+"
         r"(?:de\s+(?:la\s+)?|du\s+|des\s+)?[A-Z][a-zé-]+(?:\s+[A-Z][a-zé-]+)*\b",
-        kind="FR_STREET",
         needs=("rue", "avenue", "boulevard", "place", "allée", "chemin", "impasse"),
         jvm=r"\b\d+\s+(?:rue|avenue|boulevard|place|allée|chemin|impasse)\s+"
         r"(?:de\s+(?:la\s+)?|du\s+|des\s+)?[A-Z][a-zé-]+"
@@ -138,16 +134,14 @@ ADDRESS_RULES = (
     ),
     Rule(
         r"\b\d{5}\s+[A-Z][a-zé-]+(?:-[A-Z][a-zé-]+)*\b",
-        kind="FR_CITY",
         # The hyphen belongs to the word before it, so the group never repeats.
         jvm=r"\b\d{5}\s+[A-Z][a-zé-]+\b",
     ),
     Rule(
         r"\b[A-Z][a-zäöüß]+(?:straße|strasse|weg|platz|allee|gasse)\s+\d+[a-z]?\b",
-        kind="DE_STREET",
         needs=("straße", "strasse", "weg", "platz", "allee", "gasse"),
     ),
-    Rule(r"\b\d{5}\s+[A-Z][a-zäöüß]+\b", kind="DE_CITY"),
+    Rule(r"\b\d{5}\s+[A-Z][a-zäöüß]+\b"),
 )
 
 # --- fixed values: national ids ---------------------------------------------------
@@ -218,17 +212,17 @@ ARTICLES = ("het", "de", "een", "dit", "dat", "deze")
 
 FOUR_DIGITS = r"\d{4}"
 CONTEXT_PLACE_RULES = (
-    Rule(lead=r"\bte\s+", value=r"[A-Z][a-zA-Zé\-]+(?:\s*-\s*[A-Z][a-zA-Zé]+)?", kind="te"),
-    Rule(lead=r"\brichting\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="richting", needs=("richting",)),
-    Rule(lead=r"\bnaar\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="naar", needs=("naar",)),
-    Rule(lead=r"\bvanuit\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="vanuit", needs=("vanuit",)),
-    Rule(lead=r"\bvia\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="via", needs=("via",)),
-    Rule(lead=r"\bt\.?h\.?v\.?\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv", needs=("hv", "h.v")),
-    Rule(lead=r"\bter hoogte van\s+", value=r"[A-Z][a-zA-Zé\-]+", kind="thv", needs=("ter hoogte van",)),
-    Rule(lead=r"\b\d{4}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_be", needs_regex=FOUR_DIGITS),
-    Rule(lead=r"\b\d{4}[ ]*[A-Z]{2}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", kind="postalcode_nl", needs_regex=FOUR_DIGITS),
-    Rule(value=r"\b[A-Z]{3,}", trail=r"\s+\d{4}\b", kind="place_postalcode", needs_regex=FOUR_DIGITS),
-    Rule(lead=r"\brichting\s+", value=r"[a-zA-Z][a-zA-Zé\-]+", kind="richting_ci", needs=("richting",)),
+    Rule(lead=r"\bte\s+", value=r"[A-Z][a-zA-Zé\-]+(?:\s*-\s*[A-Z][a-zA-Zé]+)?"),
+    Rule(lead=r"\brichting\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("richting",)),
+    Rule(lead=r"\bnaar\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("naar",)),
+    Rule(lead=r"\bvanuit\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("vanuit",)),
+    Rule(lead=r"\bvia\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("via",)),
+    Rule(lead=r"\bt\.?h\.?v\.?\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("hv", "h.v")),
+    Rule(lead=r"\bter hoogte van\s+", value=r"[A-Z][a-zA-Zé\-]+", needs=("ter hoogte van",)),
+    Rule(lead=r"\b\d{4}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", needs_regex=FOUR_DIGITS),
+    Rule(lead=r"\b\d{4}[ ]*[A-Z]{2}[ ]+", value=r"[A-Z][a-zA-Zé\-]+", trail=r"\b", needs_regex=FOUR_DIGITS),
+    Rule(value=r"\b[A-Z]{3,}", trail=r"\s+\d{4}\b", needs_regex=FOUR_DIGITS),
+    Rule(lead=r"\brichting\s+", value=r"[a-zA-Z][a-zA-Zé\-]+", needs=("richting",)),
 )
 CONTEXT_PLACE_STOPWORDS = (
     "het", "de", "een", "van", "naar", "met", "voor", "door", "over",
@@ -415,6 +409,8 @@ PLACEHOLDER_CATEGORIES = (
     "LOCATION", "STREET", "ROAD", "VEHICLE",
 )
 PLACEHOLDER_RULES = (Rule(r"\b(?:" + "|".join(PLACEHOLDER_CATEGORIES) + r")_\d{3,4}\b"),)
+# Written like a placeholder: of any category, with any number.
+ANY_PLACEHOLDER_RULE = Rule(r"\b[A-Z][A-Z_]*_\d{3,}\b")
 PAGE_MARKER = r"--- Page \d+ ---"
 PAGES_PER_PART = 500
 CHUNK_CHARS = 500_000

@@ -85,9 +85,8 @@ FIRST_PER_PLACE = "QUALIFY row_number() OVER (PARTITION BY doc_id, s, e ORDER BY
 
 HYBRID_SQL = O.detect(D.HYBRID_ORDER)
 CORPUS_ENCODED = O.encoded(False, D.HYBRID_ORDER)
-DOC_ENCODED = O.encoded(True, D.HYBRID_ORDER, O.CASES)
+DOC_ENCODED = O.encoded(True, D.HYBRID_ORDER)
 KEPT_ONLY = [O.CORPUS, O.PREPARED, O.folded("prepared")] + HYBRID_SQL + O.resolve(where=O.UNMASKED)
-KEPT_CASES = [O.CASES, O.PREPARED, O.folded("prepared")] + HYBRID_SQL + O.resolve(where=O.UNMASKED)
 
 
 def kept_spans(docs: DataFrame) -> DataFrame:
@@ -99,8 +98,8 @@ def corpus_mapping(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return E.build_mapping(kept_spans(C.corpus(spark, sf_dir)))
 
 
-def encoded_cases(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return EN.encode(C.case_files(spark, sf_dir), **options)
+def encoded_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return EN.encode(C.corpus(spark, sf_dir), **options)
 
 
 # --- A: sources and sinks ------------------------------------------------------------
@@ -131,7 +130,7 @@ FILE_STEM = "'case.' || cast(doc_id AS VARCHAR)"
 )
 def a2(spark, sf_dir):
     out = scratch_path(spark, "sanitized")
-    named = with_file_names(encoded_cases(spark, sf_dir)).withColumn(
+    named = with_file_names(encoded_rows(spark, sf_dir)).withColumn(
         "output_name", SF.output_name(F.col("stem"), F.col("suffix"), "sanitized")
     )
     named.select("doc_id", "output_name", "sanitized").write.parquet(out)
@@ -161,7 +160,7 @@ def a2(spark, sf_dir):
     ),
 )
 def a3(spark, sf_dir):
-    return encoded_cases(spark, sf_dir).select(
+    return encoded_rows(spark, sf_dir).select(
         "doc_id",
         SF.mapping_json(F.col("mapping"), F.lit("2024-01-01T00:00:00"), pretty=False).alias("json"),
     )
@@ -187,14 +186,14 @@ def a4(spark, sf_dir):
     )
 
 
-DECODE_RULE = list(R.PLACEHOLDER_RULES)
+LISTED_RULE = list(R.PLACEHOLDER_RULES)
 
 
 def decoded_sql(source: str, text: str, per_document: bool) -> list[str]:
     scope = "h.doc_id = x.scope" if per_document else "true"
     return [
         O.folded(source, "folded_s", text),
-        O.marked("ph", DECODE_RULE, "folded_s"),
+        O.marked("ph", [R.ANY_PLACEHOLDER_RULE], "folded_s"),
         O.positions("ph", "folded_s"),
         f"""dec_edits AS (SELECT h.doc_id, h.s, h.e, coalesce(nullif(x.canonical, ''), h.v) AS repl
           FROM ph_v h LEFT JOIN ents x ON {scope} AND x.placeholder = h.v)""",
@@ -211,8 +210,8 @@ DOC_DECODED = DOC_ENCODED + [O.REPLACED, O.rewritten("prepared", "edits")] + dec
 )
 
 
-def decoded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encoded_cases(spark, sf_dir).select(
+def decoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encoded_rows(spark, sf_dir).select(
         "doc_id", F.col("text").alias("original"), "sanitized", "mapping"
     )
     return DE.decode(encoded.withColumn("text", F.col("sanitized")))
@@ -227,7 +226,7 @@ def decoded_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a5(spark, sf_dir):
     out = scratch_path(spark, "decoded")
-    with_file_names(decoded_cases(spark, sf_dir)).select(
+    with_file_names(decoded_rows(spark, sf_dir)).select(
         "doc_id",
         SF.output_name(F.col("stem"), F.col("suffix"), "decoded").alias("output_name"),
         "decoded",
@@ -268,9 +267,24 @@ def a6(spark, sf_dir):
     return spark.read.parquet(out).select("doc_id", "part_name", F.md5("text").alias("text_md5"))
 
 
-@query("a7_binary_info")
+@query(
+    "a7_binary_info",
+    O.sql(
+        ["parts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id)"],
+        "SELECT 'conv' || conv_id || '.txt' AS name, strlen(text)::DOUBLE / 1048576 AS size_mb FROM parts",
+    ),
+)
 def a7(spark, sf_dir):
-    return SF.binary_info(spark, f"{sf_dir}/*.parquet")
+    """Sizes of text files that are written from the conversations first."""
+    out = scratch_path(spark, "texts")
+    turns = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("text")
+    )
+    name = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    SF.write_texts(turns.select(name.alias("output_name"), "text"), out, text="text")
+    return SF.binary_info(spark, f"{out}/*/*.txt").select(
+        F.regexp_extract("path", r"output_name=([^/]+)/", 1).alias("name"), "size_mb"
+    )
 
 
 @query(
@@ -342,7 +356,7 @@ def b4(spark, sf_dir):
         FROM documents WHERE length(text) > 0))""",
 )
 def b5(spark, sf_dir):
-    return P.character_chunks(C.documents(spark, sf_dir), 1000).select(
+    return P.character_chunks(C.corpus(spark, sf_dir), 1000).select(
         "doc_id", "chunk_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")
     )
 
@@ -369,7 +383,7 @@ def _cut_sql(size: int) -> str:
     FROM cuts WHERE chunk_no > 0""",
 )
 def b6(spark, sf_dir):
-    return P.paragraph_chunks(C.documents(spark, sf_dir), 2000).select(
+    return P.paragraph_chunks(C.corpus(spark, sf_dir), 2000).select(
         "doc_id", "chunk_no", "chunk_start", "chunk_end", F.md5("text").alias("text_md5")
     )
 
@@ -499,7 +513,7 @@ def external_spans(docs: DataFrame, words: str) -> DataFrame:
     )
 
 
-def external_sql(words: str, docs: str = O.DOCUMENTS) -> list[str]:
+def external_sql(words: str, docs: str = O.CORPUS) -> list[str]:
     return [
         docs,
         O.folded(),
@@ -518,7 +532,7 @@ def label_case(column: str, labels: dict[str, str], default: str | None) -> str:
 EXT_CTX = "s - 20 AS ctx_from, e + 20 AS ctx_to"
 
 
-def hybrid_sql(docs: str = O.DOCUMENTS) -> list[str]:
+def hybrid_sql(docs: str = O.CORPUS) -> list[str]:
     return external_sql(NER_WORDS, docs) + O.detect(D.HYBRID_ORDER) + [
         f"""plausible AS (SELECT *, {label_case('label', R.HYBRID_LABELS, None)} AS category FROM ext
           WHERE category IN ('PERSON', 'PLACE') AND length(trim(v)) >= 2 AND NOT contains(v, '@') AND lower(v) <> 'email'
@@ -539,7 +553,7 @@ def hybrid_sql(docs: str = O.DOCUMENTS) -> list[str]:
     O.sql(hybrid_sql() + O.resolve("all_cands"), f"SELECT {SPAN_SQL} FROM kept"),
 )
 def c16(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     found = EN.detect_spans(docs, "hybrid", external_spans(docs, NER_WORDS))
     return EN.span_rows(found).selectExpr(*SPAN_COLS)
 
@@ -557,7 +571,7 @@ NER_KEPT = f"""ner AS (SELECT *, {label_case('label', R.NER_LABELS, 'MISC')} AS
     ),
 )
 def c17(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
     expr = X.ner_spans(F.col("text"), F.col("external"), include_dates=True)
     return span_table(joined, expr).selectExpr(*SPAN_COLS)
@@ -578,7 +592,7 @@ def c17(spark, sf_dir):
     ),
 )
 def c18(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
     expr = X.ner_spans_multi(F.col("text"), F.col("external"), ["de", "nl", "en"])
     return span_table(joined, expr).selectExpr(*SPAN_COLS)
@@ -593,7 +607,7 @@ def c18(spark, sf_dir):
     ),
 )
 def c19(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, ANALYZER_WORDS))
     expr = X.analyzer_spans(F.col("text"), F.col("external"))
     return span_table(joined, expr).selectExpr(*SPAN_COLS)
@@ -614,7 +628,7 @@ def c19(spark, sf_dir):
     ),
 )
 def c20(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, ZERO_SHOT_WORDS))
     expr = X.zero_shot_spans(F.col("text"), F.col("external"), extended=True)
     return span_table(joined, expr).selectExpr(*SPAN_COLS)
@@ -625,16 +639,17 @@ LANGUAGE_WORDS = " Dutch|vlaams|FR|en|Español |klingon|deutsch|it|nederlands"
 
 @query(
     "c21_language_codes",
-    f"""SELECT c_custkey, given, {label_case("lower(trim(given))", {**{c: c for c in R.LANGUAGES}, **R.LANGUAGE_ALIASES}, None)} AS code
-    FROM (SELECT c_custkey, {_nth(LANGUAGE_WORDS, 'c_custkey')} AS given FROM customer)""",
+    f"""SELECT doc_id, given, {label_case("lower(trim(given))", {**{c: c for c in R.LANGUAGES}, **R.LANGUAGE_ALIASES}, None)} AS code
+    FROM (SELECT doc_id, lang AS given FROM documents UNION ALL
+      SELECT c_custkey + {C.CASE_BASE}, {_nth(LANGUAGE_WORDS, 'c_custkey')} FROM customer)""",
 )
 def c21(spark, sf_dir):
+    """The language of each document, and spellings of languages per case file."""
     given = F.expr(_nth(LANGUAGE_WORDS, "c_custkey"))
-    return (
-        C.table(spark, sf_dir, "customer")
-        .select("c_custkey", given.alias("given"))
-        .withColumn("code", X.language_code(F.col("given")))
+    asked = C.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("given")).union(
+        C.table(spark, sf_dir, "customer").select(F.col("c_custkey") + C.CASE_BASE, given)
     )
+    return asked.withColumn("code", X.language_code(F.col("given")))
 
 
 @query(
@@ -716,7 +731,7 @@ def d3(spark, sf_dir):
     ),
 )
 def d4(spark, sf_dir):
-    docs = C.documents(spark, sf_dir)
+    docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
     expr = X.hybrid_extra(F.col("text"), F.col("external"), D.detect("scan", D.HYBRID_ORDER))
     return span_table(joined, expr).select(
@@ -756,13 +771,13 @@ def d6(spark, sf_dir):
 @query(
     "d7_span_order",
     O.sql(
-        KEPT_CASES,
+        KEPT_ONLY,
         """SELECT doc_id, s AS span_start, value, row_number() OVER (PARTITION BY doc_id ORDER BY s) AS nth_from_start,
           row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) AS nth_from_end FROM kept""",
     ),
 )
 def d7(spark, sf_dir):
-    found = EN.prepared_spans(C.case_files(spark, sf_dir), "hybrid", None, True)
+    found = EN.prepared_spans(C.corpus(spark, sf_dir), "hybrid", None, True)
     placed = found.select(
         "doc_id",
         let(
@@ -1027,12 +1042,12 @@ query("f9_strategy_mask", encoded_md5_sql(MASK_ANY))(encoded_md5("mask"))
 @query(
     "f10_reversible_strategies",
     O.sql(
-        KEPT_CASES + ["st(strategy, reversible) AS (VALUES ('replace', true), ('redact', false), ('mask', false), ('hash', false), ('encrypt', true))"],
+        KEPT_ONLY + ["st(strategy, reversible) AS (VALUES ('replace', true), ('redact', false), ('mask', false), ('hash', false), ('encrypt', true))"],
         "SELECT strategy, reversible, count(*) AS n_spans FROM kept CROSS JOIN st GROUP BY ALL",
     ),
 )
 def f10(spark, sf_dir):
-    n = kept_spans(C.case_files(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_spans"))
+    n = kept_spans(C.corpus(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n_spans"))
     flags = F.array(
         *[
             F.struct(F.lit(s).alias("strategy"), F.lit(ST.can_deanonymize(s)).alias("reversible"))
@@ -1108,19 +1123,19 @@ LEGENDS = [
     ),
 )
 def g4(spark, sf_dir):
-    return encoded_cases(spark, sf_dir, legend=True).select("doc_id", "sanitized")
+    return encoded_rows(spark, sf_dir, legend=True).select("doc_id", "sanitized")
 
 
 @query(
     "g5_encode_files",
     O.sql(
-        O.encoded(True, D.PATTERN_ORDER, O.CASES) + [O.REPLACED, O.rewritten("prepared", "edits")],
+        O.encoded(True, D.PATTERN_ORDER) + [O.REPLACED, O.rewritten("prepared", "edits")],
         f"""SELECT doc_id, {FILE_STEM} || '_sanitized.txt' AS output_name, {FILE_STEM} || '_mapping.json' AS mapping_name,
           sanitized, (SELECT count(*) FROM ents x WHERE x.scope = r.doc_id) AS entries FROM rewritten r""",
     ),
 )
 def g5(spark, sf_dir):
-    named = with_file_names(encoded_cases(spark, sf_dir, backend="patterns"))
+    named = with_file_names(encoded_rows(spark, sf_dir, backend="patterns"))
     stem, suffix = F.col("stem"), F.col("suffix")
     return named.select(
         "doc_id",
@@ -1149,7 +1164,7 @@ def g6(spark, sf_dir):
 
 @query("h1_decode_documents", O.sql(DOC_DECODED, "SELECT doc_id, decoded FROM dec_rewritten"))
 def h1(spark, sf_dir):
-    return decoded_cases(spark, sf_dir).select("doc_id", "decoded")
+    return decoded_rows(spark, sf_dir).select("doc_id", "decoded")
 
 
 @query(
@@ -1167,7 +1182,7 @@ def h1_corpus(spark, sf_dir):
     return DE.decode_corpus(returned, encoded.mapping).select("doc_id", "decoded")
 
 
-FOUND_PLACEHOLDERS = [O.CORPUS, O.folded(), O.marked("ph", DECODE_RULE), O.positions("ph")]
+FOUND_PLACEHOLDERS = [O.CORPUS, O.folded(), O.marked("ph", LISTED_RULE), O.positions("ph")]
 
 
 @query(
@@ -1190,7 +1205,7 @@ def h2(spark, sf_dir):
 def h3(spark, sf_dir):
     """Decode from stored files: sanitised texts and mapping JSON are read back."""
     out = scratch_path(spark, "returned")
-    encoded_cases(spark, sf_dir).select(
+    encoded_rows(spark, sf_dir).select(
         "doc_id", "sanitized", SF.mapping_json(F.col("mapping")).alias("json")
     ).write.parquet(out)
     stored = spark.read.parquet(out)
@@ -1240,7 +1255,7 @@ def h4(spark, sf_dir):
     ),
 )
 def h5(spark, sf_dir):
-    return DE.validate_decode(decoded_cases(spark, sf_dir)).select(
+    return DE.validate_decode(decoded_rows(spark, sf_dir)).select(
         "doc_id", "original_length", "sanitized_length", "decoded_length", "lengths_match",
         "content_match", "first_diff_position", "first_diff_original", "first_diff_decoded",
     )
@@ -1279,17 +1294,24 @@ def i2(spark, sf_dir):
     )
 
 
-@query("i3_dry_run", O.sql(DOC_ENCODED, "SELECT scope AS doc_id, placeholder, canonical FROM ents"))
+@query(
+    "i3_dry_run",
+    O.sql(
+        CORPUS_ENCODED,
+        "SELECT placeholder, canonical FROM ents UNION ALL SELECT 'TOTAL', cast(count(*) AS VARCHAR) FROM ents",
+    ),
+)
 def i3(spark, sf_dir):
-    found = encoded_cases(spark, sf_dir)
-    return explode_structs(found, ["doc_id"], "mapping").select("doc_id", "placeholder", "canonical")
+    mapping, _ = corpus_mapping(spark, sf_dir)
+    return RE.dry_run(mapping)
 
 
 @query(
     "i4_show_mapping",
     O.sql(
         CORPUS_ENCODED,
-        "SELECT placeholder, canonical, CASE WHEN n_variations > 1 THEN variations END AS variations, occurrences FROM ents",
+        "SELECT placeholder, canonical, CASE WHEN n_variations > 1 THEN variations END AS variations, occurrences, "
+        "row_number() OVER (ORDER BY placeholder) AS entry_no FROM ents",
     ),
 )
 def i4(spark, sf_dir):
@@ -1321,7 +1343,7 @@ def i5(spark, sf_dir):
 def i6(spark, sf_dir):
     """Labels found in the texts against the table of supported labels."""
     supported = RE.label_tables(spark).where("backend = 'spacy'").select("label", "category")
-    used = external_spans(C.documents(spark, sf_dir), NER_WORDS).groupBy("label").agg(
+    used = external_spans(C.corpus(spark, sf_dir), NER_WORDS).groupBy("label").agg(
         F.count(F.lit(1)).alias("n")
     )
     return used.join(F.broadcast(supported), "label", "left").select("label", "category", "n")
@@ -1356,29 +1378,35 @@ def load_word_model() -> Callable[[str], list[dict]]:
 @query(
     "k2_model_backend",
     O.sql(
-        [O.DOCUMENTS, O.folded(), O.marked("x", EXTERNAL_RULES[:1]), O.positions("x")],
+        [O.CORPUS, O.folded(), O.marked("x", EXTERNAL_RULES[:1]), O.positions("x")],
         "SELECT doc_id, s AS span_start, e AS span_end, 'PERSON' AS category, cast(0.9 AS DOUBLE) AS confidence, v AS value FROM x_v",
     ),
 )
 def k2(spark, sf_dir):
-    docs = X.spans_from_model(C.documents(spark, sf_dir), load_word_model)
+    docs = X.spans_from_model(C.corpus(spark, sf_dir), load_word_model)
     return EN.span_rows(EN.detect_spans(docs, "spacy")).selectExpr(*SPAN_COLS)
 
 
 # --- L: streams ---------------------------------------------------------------------------------
 
 
-def case_stream(spark: SparkSession, path: str) -> DataFrame:
-    schema = spark.read.parquet(path).select("c_custkey").schema
-    return spark.readStream.schema(schema).parquet(path).select(
+def corpus_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and case files as one stream of files."""
+
+    def stream(name: str, *columns: str) -> DataFrame:
+        schema = C.table(spark, sf_dir, name).select(*columns).schema
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+    cases = stream("customer", "c_custkey").select(
         (F.col("c_custkey") + C.CASE_BASE).alias("doc_id"), F.expr(C.CASE_TEXT).alias("text")
     )
+    return stream("documents", "doc_id", "text").unionByName(cases)
 
 
 @query(
     "l1_stream_redact",
     O.sql(
-        KEPT_CASES
+        KEPT_ONLY
         + [
             "edits AS (SELECT doc_id, s, e, '[' || category || ']' AS repl FROM kept)",
             O.rewritten("prepared", "edits"),
@@ -1388,7 +1416,7 @@ def case_stream(spark: SparkSession, path: str) -> DataFrame:
 )
 def l1(spark, sf_dir):
     out = scratch_path(spark, "stream")
-    stream = encode_stream(case_stream(spark, f"{sf_dir}/customer*.parquet"), "redact")
+    stream = encode_stream(corpus_stream(spark, sf_dir), "redact")
     (
         stream.select("doc_id", "sanitized")
         .writeStream.format("parquet")
@@ -1404,29 +1432,23 @@ def l1(spark, sf_dir):
 @query(
     "l2_stream_replace",
     O.sql(
-        O.encoded(False, D.HYBRID_ORDER, O.CASES) + [O.REPLACED, O.rewritten("prepared", "edits")],
+        O.encoded(False, D.HYBRID_ORDER) + [O.REPLACED, O.rewritten("prepared", "edits")],
         "SELECT doc_id, sanitized FROM rewritten",
     ),
 )
 def l2(spark, sf_dir):
-    """Two micro-batches in key order share one mapping that grows."""
+    """Documents first, then case files: micro-batches share one mapping that grows."""
     out = scratch_path(spark, "stream")
-    keys = C.table(spark, sf_dir, "customer").select("c_custkey")
-    middle = keys.agg(F.percentile_approx("c_custkey", 0.5)).first()[0]
-    for low in (True, False):
-        half = keys.where((F.col("c_custkey") <= middle) if low else (F.col("c_custkey") > middle))
-        half.coalesce(1).write.mode("append").parquet(f"{out}/in")
-    stream = (
-        spark.readStream.schema(keys.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{out}/in")
-        .select((F.col("c_custkey") + C.CASE_BASE).alias("doc_id"), F.expr(C.CASE_TEXT).alias("text"))
-    )
-    (
-        stream.writeStream.foreachBatch(encode_batches(spark, f"{out}/state", f"{out}/data"))
-        .option("checkpointLocation", f"{out}/progress")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    step = encode_batches(spark, f"{out}/state", f"{out}/data")
+    for texts in (C.documents(spark, sf_dir), C.case_files(spark, sf_dir)):
+        texts.write.mode("append").parquet(f"{out}/in")
+        (
+            spark.readStream.schema(texts.schema)
+            .parquet(f"{out}/in")
+            .writeStream.foreachBatch(step)
+            .option("checkpointLocation", f"{out}/progress")
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
     return spark.read.parquet(f"{out}/data").select("doc_id", "sanitized")

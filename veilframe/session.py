@@ -6,10 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+#: Column that ``pin_rows`` adds.
+ROW = "_pinned_row"
+
 DEFAULTS = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
@@ -50,3 +55,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, below the checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def pin_rows(df: DataFrame) -> DataFrame:
+    """The rows from a scratch table, each with a number of its own in ``ROW``.
+
+    Ids given by users may be null or repeat; the number comes from a row's file and
+    place in it, so it is the same whenever and wherever the table is read.
+    """
+    path = scratch_path(df.sparkSession, "pinned")
+    df.drop(ROW).write.option("maxRecordsPerFile", 0).parquet(path)
+    file_no = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long")
+    row = F.shiftleft(file_no, 34) + F.col("_metadata.row_index")
+    return df.sparkSession.read.schema(df.drop(ROW).schema).parquet(path).withColumn(ROW, row)

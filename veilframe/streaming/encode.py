@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators import entities as E
 from veilframe.operators.encode import encode, encode_corpus
 
 
@@ -19,32 +20,75 @@ def encode_stream(docs: DataFrame, strategy: str = "redact", **options: Any) ->
     return encode(docs, strategy=strategy, **options).drop("mapping", "spans")
 
 
+# A batch whose number is a multiple of this writes its whole state, others what changed.
+SNAPSHOT = 16
+
+
+def read_state(spark: SparkSession, state_path: str, batch_id: int) -> tuple[DataFrame, DataFrame]:
+    """Mapping and surface forms after a batch: the last whole state up to it, and what
+    changed since."""
+    versions = range(batch_id - batch_id % SNAPSHOT, batch_id + 1)
+
+    def versioned(kind: str) -> DataFrame:
+        paths = [f"{state_path}/{kind}/version={v}" for v in versions]
+        return spark.read.option("basePath", f"{state_path}/{kind}").parquet(*paths)
+
+    row = F.struct("version", *E.MAPPING_COLUMNS)
+    latest = versioned("mapping").groupBy("placeholder").agg(F.max_by(row, "version").alias("row"))
+    mapping = latest.select("row.*").select(*E.MAPPING_COLUMNS)
+    forms = versioned("forms").groupBy("placeholder", "norm_key", "value")
+    return mapping, forms.agg(F.sum("occurrences").alias("occurrences"))
+
+
+def drop_versions(spark: SparkSession, path: str, before: int) -> None:
+    """Delete the versions of a table below a number."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("version=") and int(name.split("=")[1]) < before:
+            files.delete(status.getPath(), True)
+
+
 def encode_batches(
-    spark: SparkSession, state_path: str, output_path: str, **options: Any
+    spark: SparkSession,
+    state_path: str,
+    output_path: str,
+    mapping: DataFrame | None = None,
+    forms: DataFrame | None = None,
+    **options: Any,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function that replaces by one mapping which grows.
+    """``foreachBatch`` function that replaces by one mapping which grows, from the
+    given ``mapping`` and ``forms`` on if there are any.
 
-    Each micro-batch reads the mapping version its predecessor wrote and writes
-    the next one under its own number; a batch that is run again overwrites its
-    own output with the same content.
+    A micro-batch writes the entries it added or changed and the forms it saw under its
+    own number; every sixteenth writes the whole state, and versions before the whole
+    state that precedes it are deleted.  A batch that is run again reads what it read
+    before and overwrites its own output with the same content.
     """
 
-    def table(kind: str, version: int) -> str:
-        return f"{state_path}/{kind}/version={version}"
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        previous = batch_id - 1
-        mapping = forms = None
-        if previous >= 0:
-            mapping = batch.sparkSession.read.parquet(table("mapping", previous))
-            forms = batch.sparkSession.read.parquet(table("forms", previous))
-        result = encode_corpus(batch, mapping=mapping, forms=forms, **options)
-        result.mapping.write.mode("overwrite").parquet(table("mapping", batch_id))
-        result.forms.select("norm_key", "value", "occurrences").write.mode("overwrite").parquet(
-            table("forms", batch_id)
-        )
+        if batch_id > 0:
+            known, known_forms = read_state(batch.sparkSession, state_path, batch_id - 1)
+        else:
+            known, known_forms = mapping, forms
+        result = encode_corpus(batch, mapping=known, forms=known_forms, **options)
+        entries, seen = result.mapping, result.forms
+        if batch_id % SNAPSHOT:
+            entries = entries.join(result.seen.select("placeholder").distinct(), "placeholder", "left_semi")
+            seen = result.seen
+        for kind, rows, columns in (
+            ("mapping", entries, E.MAPPING_COLUMNS), ("forms", seen, E.FORM_COLUMNS)
+        ):
+            rows.select(*columns).write.mode("overwrite").parquet(
+                f"{state_path}/{kind}/version={batch_id}"
+            )
         result.documents.select("doc_id", "sanitized").withColumn(
             "batch_id", F.lit(batch_id)
         ).write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+        if batch_id and batch_id % SNAPSHOT == 0:
+            for kind in ("mapping", "forms"):
+                drop_versions(batch.sparkSession, f"{state_path}/{kind}", batch_id - SNAPSHOT)
 
     return run
