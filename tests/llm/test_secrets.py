@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from veilframe.llm import secrets as S
 from veilframe.llm.queries import QUERIES
 
-DATA = "/root/testdata/sf0.001"
 ASSIGN = re.compile(
     r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A
 )
@@ -70,10 +69,11 @@ def test_spans_match_loops(spark):
         assert r.s == named(plain_spans(TEXTS[r.doc_id % len(TEXTS)])), r.doc_id
 
 
-def test_query_matches_loops(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    rows = QUERIES["op2_secrets"].run(spark, DATA).collect()
+def query_matches_loops(spark, folder):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op2_secrets"].run(spark, folder).collect()
     assert len(rows) == len(texts)
+    assert all(sum(r[f"n_{kind}"] for r in rows) for kind in ("assign", "access", "hex"))
     for r in rows:
         spans = plain_spans(texts[r.doc_id])
         base = [s for s in spans if s[1] < 3]
@@ -82,6 +82,16 @@ def test_query_matches_loops(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
 
 
+def test_query_on_given_documents(spark):
+    query_matches_loops(spark, "/root/testdata/sf0.01")
+
+
+def test_query_on_odd_documents(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    query_matches_loops(spark, str(tmp_path))
+
+
 def test_redaction_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefgh12 b"), (2, None)], "doc_id int, text string")
     shown = docs.select(S.redacted(F.col("text"), S.secret_spans(F.col("text"))).alias("t")).collect()

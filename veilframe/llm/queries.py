@@ -151,10 +151,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.select("doc_id", secrets.secret_spans(F.col("text")).alias("all"))
     base = F.filter("all", lambda s: s.kind < len(secrets.BASE))
-    counts = [
-        F.size(F.filter("all", lambda s, i=i: s.kind == i)).cast("long").alias(f"n_{kind}")
-        for i, (kind, *_) in enumerate(secrets.BASE)
-    ]
+
+    def number(place: int) -> F.Column:
+        return F.size(F.filter("all", lambda s: s.kind == place)).cast("long")
+
+    counts = [number(i).alias(f"n_{kind}") for i, (kind, *_) in enumerate(secrets.BASE)]
     return found.select(
         "doc_id", *counts, F.sha2(secrets.named(base), 256).alias("base_sha256"),
         secrets.named(F.col("all")).alias("spans"),
