@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -41,14 +42,27 @@ def resolve_backend(backend: str) -> str:
     return "hybrid" if backend == "auto" else backend
 
 
+def languages(language: str | Sequence[str], backend: str) -> list[str]:
+    """Codes of the languages asked for."""
+    asked = [language] if isinstance(language, str) else list(language)
+    if backend != "hybrid":
+        return [X.require_language(x) for x in asked]
+    return [X.known_language(x) or "en" for x in asked]
+
+
 def detect_spans(
     docs: DataFrame,
     backend: str = "patterns",
     external: DataFrame | None = None,
+    language: str | Sequence[str] | None = None,
     **options: Any,
 ) -> DataFrame:
     """Documents with array column ``spans``: disjoint, in text order.
 
+    ``language`` names the model (or models, the first wins a place) whose spans are
+    used.  An unknown one is an error, but for the hybrid back end, which falls back to
+    English.
+
     Finding and choosing are columns of their own, which keeps the expressions short;
     they are one projection again when the plan runs.
     """
@@ -57,6 +71,8 @@ def detect_spans(
         docs = X.attach_external(docs, external)
     has_external = "external" in docs.columns
     text, given = F.col("text"), F.col("external")
+    if language is not None and has_external:
+        docs = docs.withColumn("external", X.of_languages(given, languages(language, backend)))
     if backend in ("patterns", "hybrid"):
         order = D.PATTERN_ORDER if backend == "patterns" else D.HYBRID_ORDER
         scanned = docs.withColumn("_scan", S.scannable(text))

@@ -131,6 +131,15 @@ def ner_spans(
     )
 
 
+def of_languages(external: Column, languages: Sequence[str]) -> Column:
+    """Spans of these languages' models, those of the first language first."""
+
+    def of_language(code: str) -> Column:
+        return F.filter(external, lambda x: x["lang"] == code)
+
+    return F.concat(*[of_language(code) for code in languages])
+
+
 def ner_spans_multi(
     text: Column,
     external: Column,
@@ -138,12 +147,7 @@ def ner_spans_multi(
     categories: Sequence[str] | None = None,
 ) -> Column:
     """Entities of several languages' models; at one place the first language wins."""
-
-    def of_language(code: str) -> Column:
-        return F.filter(external, lambda x: x["lang"] == code)
-
-    found = [ner_spans(text, of_language(code), categories) for code in languages]
-    return F.array_sort(S.first_per_place(F.concat(*found)))
+    return F.array_sort(ner_spans(text, of_languages(external, languages), categories))
 
 
 def hybrid_extra(
@@ -214,10 +218,15 @@ def language_code(language: Column) -> Column:
     return label_category(cleaned, table)
 
 
-def require_language(language: str) -> str:
-    """Driver-side check of one language option."""
+def known_language(language: str) -> str | None:
     cleaned = language.strip().lower()
     code = R.LANGUAGE_ALIASES.get(cleaned, cleaned)
-    if code not in R.LANGUAGES:
+    return code if code in R.LANGUAGES else None
+
+
+def require_language(language: str) -> str:
+    """Driver-side check of one language option."""
+    code = known_language(language)
+    if code is None:
         raise ValueError(f"Unknown language: {language}. Supported: {', '.join(R.LANGUAGES)}")
     return code

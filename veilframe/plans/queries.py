@@ -350,10 +350,13 @@ def b4(spark, sf_dir):
 
 @query(
     "b5_character_chunks",
-    """SELECT doc_id, i + 1 AS chunk_no, length(c) AS n_chars, md5(c) AS text_md5 FROM (
+    O.sql(
+        [O.CORPUS],
+        """SELECT doc_id, i + 1 AS chunk_no, length(c) AS n_chars, md5(c) AS text_md5 FROM (
       SELECT doc_id, i, substring(text, cast(i * 1000 + 1 AS BIGINT), 1000) AS c FROM (
         SELECT doc_id, text, unnest(generate_series(0, (length(text) - 1) // 1000)) AS i
-        FROM documents WHERE length(text) > 0))""",
+        FROM docs WHERE length(text) > 0))""",
+    ),
 )
 def b5(spark, sf_dir):
     return P.character_chunks(C.corpus(spark, sf_dir), 1000).select(
@@ -372,15 +375,25 @@ def _cut_sql(size: int) -> str:
     )
 
 
+WHOLE = O.CORPUS.replace("docs AS", "whole AS")
+CHUNK_CUTS = f"""cuts(doc_id, text, chunk_no, chunk_start, pos) AS (
+      SELECT doc_id, text, cast(0 AS BIGINT), cast(0 AS BIGINT), cast(0 AS BIGINT) FROM whole
+      UNION ALL
+      SELECT doc_id, text, chunk_no + 1, pos, {_cut_sql(2000)} FROM cuts WHERE pos < length(text)),
+    chunks AS MATERIALIZED (SELECT doc_id, chunk_no, chunk_start, pos AS chunk_end,
+      substring(text, cast(chunk_start + 1 AS BIGINT), cast(pos - chunk_start AS BIGINT)) AS text
+      FROM cuts WHERE chunk_no > 0)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(
     "b6_paragraph_chunks",
-    f"""WITH RECURSIVE cuts(doc_id, text, chunk_no, chunk_start, pos) AS (
-      SELECT doc_id, text, cast(0 AS BIGINT), cast(0 AS BIGINT), cast(0 AS BIGINT) FROM documents
-      UNION ALL
-      SELECT doc_id, text, chunk_no + 1, pos, {_cut_sql(2000)} FROM cuts WHERE pos < length(text))
-    SELECT doc_id, chunk_no, chunk_start, pos AS chunk_end,
-      md5(substring(text, cast(chunk_start + 1 AS BIGINT), cast(pos - chunk_start AS BIGINT))) AS text_md5
-    FROM cuts WHERE chunk_no > 0""",
+    recursive(
+        O.sql([WHOLE, CHUNK_CUTS], "SELECT doc_id, chunk_no, chunk_start, chunk_end, md5(text) AS text_md5 FROM chunks")
+    ),
 )
 def b6(spark, sf_dir):
     return P.paragraph_chunks(C.corpus(spark, sf_dir), 2000).select(
@@ -532,10 +545,10 @@ def label_case(column: str, labels: dict[str, str], default: str | None) -> str:
 EXT_CTX = "s - 20 AS ctx_from, e + 20 AS ctx_to"
 
 
-def hybrid_sql(docs: str = O.CORPUS) -> list[str]:
+def hybrid_sql(docs: str = O.CORPUS, where: str = "true") -> list[str]:
     return external_sql(NER_WORDS, docs) + O.detect(D.HYBRID_ORDER) + [
         f"""plausible AS (SELECT *, {label_case('label', R.HYBRID_LABELS, None)} AS category FROM ext
-          WHERE category IN ('PERSON', 'PLACE') AND length(trim(v)) >= 2 AND NOT contains(v, '@') AND lower(v) <> 'email'
+          WHERE {where} AND category IN ('PERSON', 'PLACE') AND length(trim(v)) >= 2 AND NOT contains(v, '@') AND lower(v) <> 'email'
           AND NOT EXISTS (FROM cands c WHERE c.doc_id = ext.doc_id AND c.s < ext.e AND c.e > ext.s))""",
         """extra AS MATERIALIZED (SELECT doc_id, u.s AS s, u.e AS e, u.v AS v, u.category AS category FROM (
           SELECT doc_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x:
@@ -562,6 +575,60 @@ NER_KEPT = f"""ner AS (SELECT *, {label_case('label', R.NER_LABELS, 'MISC')} AS
   WHERE category IN ('PERSON', 'PLACE', 'ORG', 'DATE') AND length(trim(v)) >= 2 AND NOT contains(v, chr(10)))"""
 
 
+@query(
+    "c16_language",
+    O.sql(hybrid_sql(where="lang = 'nl'") + O.resolve("all_cands"), f"SELECT {SPAN_SQL} FROM kept"),
+)
+def c16_language(spark, sf_dir):
+    docs = C.corpus(spark, sf_dir)
+    external = external_spans(docs, NER_WORDS)
+    found = EN.detect_spans(docs, "hybrid", external, language="Vlaams")
+    return EN.span_rows(found).selectExpr(*SPAN_COLS)
+
+
+CHUNK = 2000
+CHUNK_KEY = 100_000  # chunks of a document get ids of their own
+
+
+@query(
+    "b6_chunked_detection",
+    recursive(O.sql(
+        [
+            WHOLE,
+            CHUNK_CUTS,
+            f"docs AS MATERIALIZED (SELECT doc_id * {CHUNK_KEY} + chunk_no AS doc_id, text FROM chunks)",
+            O.folded(),
+            O.marked("x", EXTERNAL_RULES),
+            O.positions("x"),
+            f"""shifted AS (SELECT c.doc_id, x.s + c.chunk_start AS s, x.e + c.chunk_start AS e, v,
+              {_nth(NER_WORDS, 'x.s * 7 + pat')} AS label FROM x_v x JOIN chunks c
+              ON x.doc_id = c.doc_id * {CHUNK_KEY} + c.chunk_no)""",
+            f"""ner AS (SELECT *, {label_case('label', R.NER_LABELS, 'MISC')} AS category FROM shifted
+              WHERE category IN ('PERSON', 'PLACE', 'ORG') AND length(trim(v)) >= 2 AND NOT contains(v, chr(10)))""",
+            """firsts AS (SELECT * FROM ner
+              QUALIFY row_number() OVER (PARTITION BY doc_id, s, e ORDER BY label) = 1)""",
+            """cands AS (SELECT doc_id, s, e, category, cast(0.9 AS DOUBLE) AS confidence, v AS value, s - 20 AS ctx_from,
+              e + 20 AS ctx_to, 0 AS det, 0 AS pat, s AS seq FROM firsts)""",
+        ]
+        + O.resolve(),
+        f"SELECT {SPAN_SQL} FROM kept",
+    )),
+)
+def b6_chunked(spark, sf_dir):
+    """Model spans are found chunk by chunk, moved to their place in the whole text,
+    made one a place and chosen over the whole document."""
+    docs = C.corpus(spark, sf_dir)
+    chunks = P.paragraph_chunks(docs, CHUNK)
+    keyed = chunks.withColumn("doc_id", F.col("doc_id") * CHUNK_KEY + F.col("chunk_no"))
+    found = external_spans(keyed, NER_WORDS)
+    starts = keyed.select("doc_id", "chunk_start")
+    shifted = P.shift_chunk_spans(found.join(starts, "doc_id")).withColumn(
+        "doc_id", F.expr(f"doc_id div {CHUNK_KEY}")
+    )
+    spans = EN.detect_spans(docs, "spacy", shifted.drop("chunk_start"))
+    return EN.span_rows(spans).selectExpr(*SPAN_COLS)
+
+
 @query(
     "c17_ner_spans",
     O.sql(
@@ -1159,6 +1226,30 @@ def g6(spark, sf_dir):
     return EN.encode(conversation_texts(spark, sf_dir), legend=True).select("doc_id", "sanitized")
 
 
+PARTS_AS_DOCS = "docs AS MATERIALIZED (SELECT doc_id * 1000 + part_no AS doc_id, text FROM part_rows)"
+
+
+@query(
+    "g6_parts",
+    O.sql(
+        O.encoded(
+            True,
+            D.HYBRID_ORDER,
+            ",\n".join([CONV_PAGES.replace("docs AS", "whole AS"), SPLIT_PAGES.replace("FROM docs", "FROM whole"), PART_ROWS, PARTS_AS_DOCS]),
+        )
+        + [O.REPLACED, O.rewritten("prepared", "edits")]
+        + LEGENDS,
+        """SELECT r.doc_id // 1000 AS doc_id, r.doc_id % 1000 AS part_no,
+          coalesce(l.legend, (SELECT legend FROM no_legend)) || sanitized AS sanitized
+        FROM rewritten r LEFT JOIN legends l ON r.doc_id = l.scope""",
+    ),
+)
+def g6_parts(spark, sf_dir):
+    """Each part with a mapping of its own."""
+    parts = P.page_parts(conversation_texts(spark, sf_dir), max_pages=3)
+    return EN.encode(parts, legend=True).select("doc_id", "part_no", "sanitized")
+
+
 # --- H: decode ------------------------------------------------------------------------------
 
 
