@@ -105,10 +105,38 @@ def encoded_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 # --- A: sources and sinks ------------------------------------------------------------
 
 
-@query("a1_text_documents", "SELECT doc_id, length(text) AS n_chars, md5(text) AS text_md5 FROM documents")
+CONV_TEXTS = [
+    """texts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text
+      FROM conversations GROUP BY conv_id)"""
+]
+
+
+def conversation_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with a text file for each conversation."""
+    out = scratch_path(spark, "texts")
+    turns = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("text")
+    )
+    name = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt"))
+    SF.write_texts(turns.select(name.alias("output_name"), "text"), out, text="text")
+    return out
+
+
+def file_name(path: str) -> Column:
+    return F.regexp_extract(path, r"output_name=([^/]+)/", 1)
+
+
+@query(
+    "a1_text_documents",
+    O.sql(
+        CONV_TEXTS,
+        "SELECT 'conv' || conv_id || '.txt' AS name, length(text) AS n_chars, md5(text) AS text_md5 FROM texts",
+    ),
+)
 def a1(spark, sf_dir):
-    return C.documents(spark, sf_dir).select(
-        "doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")
+    docs = SF.read_texts(spark, f"{conversation_files(spark, sf_dir)}/*/*.txt")
+    return docs.select(
+        file_name("doc_id").alias("name"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5")
     )
 
 
@@ -169,23 +197,45 @@ def a3(spark, sf_dir):
 @query(
     "a4_mapping_load",
     O.sql(
-        DOC_ENCODED
+        CORPUS_ENCODED
         + [
-            f"""loaded AS (SELECT scope AS doc_id, placeholder, canonical, variations, occurrences, category, num,
-              {O.key('canonical', 'category')} AS norm_key, first_s FROM ents)"""
+            f"""loaded AS (SELECT placeholder, canonical, variations, occurrences, category, num,
+              {O.key('canonical', 'category')} AS norm_key FROM ents)"""
         ],
-        """SELECT doc_id, placeholder, canonical, variations, occurrences, category, num, norm_key,
-          first_s = min(first_s) OVER (PARTITION BY doc_id, norm_key) AS is_lookup FROM loaded""",
+        """SELECT placeholder, canonical, variations, occurrences, category, num, norm_key,
+          row_number() OVER (PARTITION BY norm_key ORDER BY category DESC, num DESC) = 1 AS is_lookup FROM loaded""",
     ),
 )
 def a4(spark, sf_dir):
-    stored = a3(spark, sf_dir)
-    return E.mapping_from_entries(SF.entries_from_json(stored), ["doc_id"]).select(
-        "doc_id", "placeholder", "canonical", F.array_join("variations", "; ").alias("variations"),
+    """The shared mapping, written as the lines of one JSON file and read again."""
+    out = scratch_path(spark, "mapping")
+    SF.write_mapping(*corpus_mapping(spark, sf_dir), out, "2024-01-01T00:00:00")
+    return SF.read_mapping_lines(spark, out).select(
+        "placeholder", "canonical", F.array_join("variations", "; ").alias("variations"),
         "occurrences", "category", "num", "norm_key", "is_lookup",
     )
 
 
+@query(
+    "e7_stored_mapping_grows",
+    O.sql(
+        CORPUS_ENCODED,
+        "SELECT placeholder, canonical, variations, occurrences FROM ents",
+    ),
+)
+def e7_stored(spark, sf_dir):
+    """The mapping of the documents, written to files, read again, extended by the case
+    files, written and read: every form and count is still there."""
+    first, second = scratch_path(spark, "mapping"), scratch_path(spark, "mapping")
+    SF.write_mapping(*E.build_mapping(kept_spans(C.documents(spark, sf_dir))), first)
+    stored = SF.read_mapping_lines(spark, first)
+    batch = cut_lineage(E.surface_forms(kept_spans(C.case_files(spark, sf_dir))))
+    SF.write_mapping(*E.extend_mapping(stored, batch, E.stored_forms(stored)), second)
+    return SF.read_mapping_lines(spark, second).select(
+        "placeholder", "canonical", F.array_join("variations", "; ").alias("variations"), "occurrences"
+    )
+
+
 LISTED_RULE = list(R.PLACEHOLDER_RULES)
 
 
@@ -270,21 +320,13 @@ def a6(spark, sf_dir):
 @query(
     "a7_binary_info",
     O.sql(
-        ["parts AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id)"],
-        "SELECT 'conv' || conv_id || '.txt' AS name, strlen(text)::DOUBLE / 1048576 AS size_mb FROM parts",
+        CONV_TEXTS,
+        "SELECT 'conv' || conv_id || '.txt' AS name, strlen(text)::DOUBLE / 1048576 AS size_mb FROM texts",
     ),
 )
 def a7(spark, sf_dir):
-    """Sizes of text files that are written from the conversations first."""
-    out = scratch_path(spark, "texts")
-    turns = C.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("turn", "text")))["text"], "\n").alias("text")
-    )
-    name = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".txt"))
-    SF.write_texts(turns.select(name.alias("output_name"), "text"), out, text="text")
-    return SF.binary_info(spark, f"{out}/*/*.txt").select(
-        F.regexp_extract("path", r"output_name=([^/]+)/", 1).alias("name"), "size_mb"
-    )
+    info = SF.binary_info(spark, f"{conversation_files(spark, sf_dir)}/*/*.txt")
+    return info.select(file_name("path").alias("name"), "size_mb")
 
 
 @query(
