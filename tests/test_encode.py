@@ -222,3 +222,17 @@ def test_splice_at_all_places(spark, length, step):
         rows = rows.cast("array<struct<start:int,end:int,replacement:string>>")
     got = spark.range(1).select(splice(F.lit(text), rows)).first()[0]
     assert got == plain_splice(text, edits[:400])
+
+
+def test_a_document_extends_a_known_mapping(texts):
+    first = EN.encode(texts("mail a@b.com en c@d.com te Gent")).select(
+        "doc_id", F.col("mapping").alias("known"), F.lit("mail e@f.com, A@B.com, c@d.com te Breda").alias("text")
+    )
+    row, mapping = one(EN.encode(first, known="known"))
+    assert row.sanitized == "mail EMAIL_003, EMAIL_002, EMAIL_001 te PLACE_002"
+    assert {p: (m["num"], m["occurrences"], m["variations"]) for p, m in mapping.items()} == {
+        "EMAIL_001": (1, 2, ["c@d.com"]), "EMAIL_002": (2, 2, ["A@B.com", "a@b.com"]),
+        "EMAIL_003": (3, 1, ["e@f.com"]), "PLACE_001": (1, 1, ["Gent"]), "PLACE_002": (2, 1, ["Breda"]),
+    }
+    again = one(EN.encode(first.withColumn("text", F.lit("niets")), known="known"))[1]
+    assert {p: m["occurrences"] for p, m in again.items()} == {"EMAIL_001": 1, "EMAIL_002": 1, "PLACE_001": 1}

@@ -114,17 +114,19 @@ def encode(
     skip_already_masked: bool = True,
     legend: bool = False,
     strategy_options: dict[str, Any] | None = None,
+    known: str | None = None,
     **options: Any,
 ) -> DataFrame:
     """Encode each document on its own: columns ``sanitized`` and ``mapping``.
 
-    ``mapping`` is an array of entries in order of creation.  Without external
-    spans nothing is shuffled: one scan reads, detects and rewrites.
+    ``mapping`` is an array of entries in order of creation.  ``known`` names a column
+    with the entries of an earlier mapping, which the document's own extends.  Without
+    external spans nothing is shuffled: one scan reads, detects and rewrites.
     """
     apply = strategy_fn(strategy, **(strategy_options or {}))
     found = prepared_spans(docs, backend, external, skip_already_masked, **options)
     resolved = found.withColumn("_items", E.keyed_spans(F.col("spans"))).withColumn(
-        "_entities", E.entities_in_row(F.col("_items"))
+        "_entities", E.entities_in_row(F.col("_items"), F.col(known) if known else None)
     )
     if apply is None:
         edits = E.edits_in_row(F.col("_entities"))

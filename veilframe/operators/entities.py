@@ -40,50 +40,84 @@ def keyed_spans(spans: Column) -> Column:
     )
 
 
-def entities_in_row(items: Column) -> Column:
-    """Entities in order of first sight, numbered per category, each with its items."""
-    sorted_items = F.array_sort(
-        F.transform(
-            items, lambda it, i: F.struct(it["norm_key"].alias("norm_key"), i.alias("at"), it.alias("item"))
+ITEM_TYPE = "struct<start:int,end:int,category:string,value:string,norm_key:string>"
+ENTRY_TYPE = (
+    "struct<placeholder:string,norm_key:string,category:string,num:int,canonical:string,"
+    "variations:array<string>,occurrences:int>"
+)
+
+
+def entities_in_row(items: Column, known: Column | None = None) -> Column:
+    """Entities in order of first sight, numbered per category, each with its items.
+
+    ``known`` holds entries of an earlier mapping, one a key: they come first, keep
+    their numbers, and new ones are numbered after the highest.
+    """
+    if known is None:
+        known = F.array().cast(f"array<{ENTRY_TYPE}>")
+    else:
+        known = F.coalesce(known, F.array().cast(f"array<{ENTRY_TYPE}>"))
+
+    def cell(key: Column, at: Column, item: Column, entry: Column) -> Column:
+        return F.struct(
+            key.alias("norm_key"), at.alias("at"), item.alias("item"), entry.alias("entry")
         )
+
+    no_item, no_entry = F.lit(None).cast(ITEM_TYPE), F.lit(None).cast(ENTRY_TYPE)
+    cells = F.concat(
+        F.transform(known, lambda e: cell(e["norm_key"], F.lit(-1), no_item, e)),
+        F.transform(items, lambda it, i: cell(it["norm_key"], i, it, no_entry)),
     )
     groups = runs(
-        sorted_items, lambda s, i: F.get(s, i)["norm_key"] != F.get(s, i - 1)["norm_key"]
+        F.array_sort(cells), lambda s, i: F.get(s, i)["norm_key"] != F.get(s, i - 1)["norm_key"]
     )
-    found = F.array_sort(
-        F.transform(
-            groups,
-            lambda g: F.struct(
-                F.get(g, F.lit(0))["at"].alias("at"),
-                F.get(g, F.lit(0))["item"].alias("first"),
-                F.transform(g, lambda x: x["item"]).alias("items"),
-            ),
+
+    def entity(group: Column) -> Column:
+        first = F.get(group, F.lit(0))
+        return F.struct(
+            first["at"].alias("at"),
+            first["norm_key"].alias("norm_key"),
+            F.coalesce(first["entry"]["category"], first["item"]["category"]).alias("category"),
+            first["entry"].alias("entry"),
+            F.coalesce(first["entry"]["canonical"], first["item"]["value"]).alias("canonical"),
+            F.transform(F.filter(group, lambda x: x["at"] >= 0), lambda x: x["item"]).alias("items"),
         )
-    )
 
     def numbered(ents: Column) -> Column:
-        categories = F.array_distinct(F.transform(ents, lambda e: e["first"]["category"]))
-        return F.transform(
-            categories,
-            lambda c: F.transform(
-                F.filter(ents, lambda e: e["first"]["category"] == c),
-                lambda e, i: F.struct(
-                    e["at"].alias("at"),
-                    e["first"]["norm_key"].alias("norm_key"),
-                    c.alias("category"),
-                    (i + 1).alias("num"),
-                    placeholder(c, i + 1).alias("placeholder"),
-                    e["first"]["value"].alias("canonical"),
-                    e["items"].alias("items"),
-                ),
+        categories = F.array_distinct(F.transform(ents, lambda e: e["category"]))
+        return F.transform(categories, lambda c: of_category(ents, c))
+
+    def of_category(ents: Column, category: Column) -> Column:
+        mine = F.filter(ents, lambda e: e["category"] == category)
+        old = F.size(F.filter(mine, lambda e: e["entry"].isNotNull()))
+        top = F.coalesce(F.array_max(F.transform(mine, lambda e: e["entry"]["num"])), F.lit(0))
+        return let(
+            F.struct(mine.alias("ents"), (top - old).alias("shift")),
+            lambda m: F.transform(m["ents"], lambda e, i: entry(e, m["shift"] + i + 1)),
+        )
+
+    def entry(e: Column, fresh: Column) -> Column:
+        number = F.coalesce(e["entry"]["num"], fresh)
+        return F.struct(
+            e["at"].alias("at"),
+            e["norm_key"].alias("norm_key"),
+            e["category"].alias("category"),
+            number.alias("num"),
+            F.coalesce(e["entry"]["placeholder"], placeholder(e["category"], number)).alias(
+                "placeholder"
             ),
+            e["canonical"].alias("canonical"),
+            e["entry"].alias("entry"),
+            e["items"].alias("items"),
         )
 
+    found = F.array_sort(F.transform(groups, entity))
     return F.array_sort(F.flatten(let(found, numbered)))
 
 
 def mapping_in_row(entities: Column) -> Column:
-    """Mapping entries of a document, in order of creation."""
+    """Mapping entries of a document: known ones, then new ones in order of creation."""
+    none = F.array().cast("array<string>")
     return F.transform(
         entities,
         lambda e: F.struct(
@@ -93,9 +127,16 @@ def mapping_in_row(entities: Column) -> Column:
             e["num"].alias("num"),
             e["canonical"].alias("canonical"),
             F.array_sort(
-                F.array_distinct(F.transform(e["items"], lambda i: i["value"]))
+                F.array_distinct(
+                    F.concat(
+                        F.coalesce(e["entry"]["variations"], none),
+                        F.transform(e["items"], lambda i: i["value"]),
+                    )
+                )
             ).alias("variations"),
-            F.size(e["items"]).alias("occurrences"),
+            (F.coalesce(e["entry"]["occurrences"], F.lit(0)) + F.size(e["items"])).alias(
+                "occurrences"
+            ),
         ),
     )
 
