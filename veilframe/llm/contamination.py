@@ -126,7 +126,7 @@ def phrase_matches(index: DataFrame, items: Items, window: int = WINDOW) -> Data
         checked_broadcast(pairs.select("term2").distinct()), "term2", "left_semi"
     )
     both = wanted.join(seconds, ["row", "pos", "term2"], "left_semi")
-    met = both.drop("pos").union(rarest.where("term2 IS NULL"))
+    met = both.drop("pos").unionByName(rarest.where("term2 IS NULL"))
 
     keys = ["item", "at1", "at2"]
     wide = places.select(*[F.col(k).alias(f"w_{k}") for k in keys], "start", "size")
