@@ -137,15 +137,16 @@ def scan_names(
     """
     ordered = sorted(names)
     keys = [_longest_word(n) for n in ordered]
-    table = ", ".join(
-        f"named_struct('rule', {i}, 'key', {literal(k)}, "
-        + f"'pattern', {literal(name_regex(n, tail))})"
+    # A constant pattern each, which the JVM compiles once.
+    marked = ", ".join(
+        f"named_struct('rule', {i}, 'marked', if(array_contains(present, {literal(k)}), "
+        f"regexp_replace({text}, {literal(name_regex(n, tail))}, {literal(MARKED_MATCH)}), NULL))"
         for i, (n, k) in enumerate(zip(ordered, keys))
     )
     present = f"array_distinct(filter({words or words_of(text)}, w -> w IN ({literals(sorted(set(keys)))})))"
     search = (
-        f"flatten(transform(filter(array({table}), t -> array_contains(present, t.key)), "
-        f"t -> {_read_marks('t.rule', f'regexp_replace({text}, t.pattern, {literal(MARKED_MATCH)})')}))"
+        f"flatten(transform(filter(array({marked}), t -> t.marked IS NOT NULL), "
+        f"t -> {_read_marks('t.rule', 't.marked')}))"
     )
     return bind(present, "present", f"if(size(present) = 0, {NO_HITS}, {search})")
 

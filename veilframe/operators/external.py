@@ -65,20 +65,23 @@ def spans_from_model(
 ) -> DataFrame:
     """Run a model over the texts; ``load`` is called once per Python worker batch
     stream and returns ``predict(text) -> [{start, end, label, score, lang}]``.
-    The spans come back in the row of their text, so no join is needed."""
-    schema = docs.schema.simpleString()[len("struct<"):-1]
+    Only texts go to the model, in batches that Spark bounds by rows and bytes; the
+    spans come back in the row of their text, so no join is needed."""
     fields = ("start", "end", "label", "score", "lang")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<{EXTERNAL_TYPE}>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = load()
-        for batch in batches:
-            found = [
-                [{k: hit.get(k) for k in fields} for hit in (predict(t) if t else [])]
-                for t in batch["text"]
-            ]
-            yield batch.assign(external=found)
-
-    return docs.mapInPandas(run, f"{schema},external:array<{EXTERNAL_TYPE}>")
+        for texts in batches:
+            yield pd.Series(
+                [
+                    [{k: hit.get(k) for k in fields} for hit in (predict(t) if t else [])]
+                    for t in texts
+                ],
+                dtype=object,
+            )
+
+    return docs.withColumn("external", found(F.col("text")))
 
 
 def label_category(

@@ -2,8 +2,8 @@
 
 Everything in this module is a fixed value: the patterns, word lists and label
 tables decide which text counts as personal data, so they have to equal the
-published behaviour for results to agree.  No logic lives here; the Spark
-operators in ``detectors.py`` read these tables.
+published behaviour for results to agree.  Beyond patterns that are spelled from
+these lists no logic lives here; the operators in ``detectors.py`` read the tables.
 
 ``Rule`` splits a pattern in three: ``lead`` (consumed before the value),
 ``value`` (the span) and ``trail`` (consumed after it).  Patterns use only
