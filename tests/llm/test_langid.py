@@ -24,11 +24,13 @@ def plain_sum(word, probability):
 def test_forward_and_expected_counts():
     p = {"a": 0.2, "b": 0.1, "ab": 0.3, "▁": 0.05, "▁a": 0.15, "ba": 0.2}
     word = "▁abbaab"
-    model = {k: (v, v / 2) for k, v in p.items()}
-    got = L.log_likelihoods(word, model, (L.UNKNOWN, L.UNKNOWN))
+    (got,) = L.log_likelihoods([word[1:]], L.Model(("x", "y"), {k: (v, v / 2) for k, v in p.items()}))
     assert got[0] == pytest.approx(math.log(plain_sum(word, p)))
     assert got[1] == pytest.approx(math.log(plain_sum(word, {k: v / 2 for k, v in p.items()})))
-    counts = L.expected_counts(word, p)
+    counts = L.expected_counts(word[1:], p)
+    many = [word[1:], "b", "zab", "ab", "aabb"]
+    for w, line in zip(many, L.log_likelihoods(many, L.Model(("x",), {k: (v,) for k, v in p.items()}))):
+        assert line[0] == pytest.approx(math.log(plain_sum("▁" + w, p)))
     assert sum(len(k) * v for k, v in counts.items()) == pytest.approx(len(word))
     step = 1e-6  # the expected count is the slope of the log-likelihood
     for piece in p:

@@ -22,9 +22,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +48,24 @@ START = "▁"  # marks the begin of a word in the vocabulary
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD_CHARS = 32
 PIECE_CHARS = 16
-#: Words whose likelihoods a task keeps.
-CACHE = 100_000
-
-
-def words_of(text: str | None) -> Iterator[str]:
-    for m in LETTERS.finditer((text or "").lower()):
-        word = m[0]
+#: Pieces used less often than this, on average and in every language, are dropped from
+#: the model; single letters stay.
+LEAST_USES = 2.0
+#: Words whose likelihoods a worker keeps, and texts it looks at together.
+CACHE = 400_000
+TEXTS = 500
+#: Of a word whose likelihood is too small for a number.
+LEAST = 1e-300
+
+
+def words_of(text: str | None) -> Counter[str]:
+    """The words of a text with their numbers."""
+    found = Counter(LETTERS.findall((text or "").lower()))
+    for word in [w for w in found if len(w) > WORD_CHARS]:
+        n = found.pop(word)
         for i in range(0, len(word), WORD_CHARS):
-            yield START + word[i : i + WORD_CHARS]
+            found[word[i : i + WORD_CHARS]] += n
+    return found
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -65,11 +78,36 @@ def read_pieces(path: str = VOCABULARY) -> list[str]:
     return sorted({p for p in usable if len(p) <= PIECE_CHARS and LETTERS.fullmatch(p.lstrip(START) or "a")})
 
 
+@dataclass(frozen=True)
+class Model:
+    """Probability of each piece in each of the languages."""
+
+    languages: tuple[str, ...]
+    pieces: dict[str, tuple[float, ...]]
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
+    @cached_property
+    def places(self) -> dict[str, int]:
+        """Line of each piece in ``table``."""
+        return {piece: i for i, piece in enumerate(self.pieces)}
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A line for each piece, one for a letter without a piece, and one of zeros."""
+        known = np.array(list(self.pieces.values())).reshape(-1, len(self.languages))
+        unknown = np.full((1, len(self.languages)), UNKNOWN)
+        return np.concatenate([known, unknown, np.zeros_like(unknown)])
+
+
 # --- one word --------------------------------------------------------------------------
 
 
 def expected_counts(word: str, probability: dict[str, float]) -> dict[str, float]:
     """How often each piece is used, on average over the segmentations of the word."""
+    word = START + word
     n = len(word)
     ahead = [1.0] + [0.0] * n
     arcs = []
@@ -87,34 +125,33 @@ def expected_counts(word: str, probability: dict[str, float]) -> dict[str, float
     return out
 
 
-def log_likelihoods(word: str, model: dict[str, tuple[float, ...]], unknown: tuple[float, ...]) -> list[float]:
-    """Of the word in each language."""
-    n = len(word)
-    get = model.get
-    ahead: list[list[float] | None] = [[1.0] * len(unknown)] + [None] * n
-    for i in range(n):
-        here = ahead[i]
-        for j in range(i + 1, min(n, i + PIECE_CHARS) + 1):
-            p = get(word[i:j]) or (unknown if j == i + 1 else None)
-            if p is None:
-                continue
-            there = ahead[j]
-            if there is None:
-                ahead[j] = [a * b for a, b in zip(here, p)]
-            else:
-                ahead[j] = [t + a * b for t, a, b in zip(there, here, p)]
-    return [math.log(x) if x > 0 else -745.0 for x in ahead[n]]
+def log_likelihoods(words: list[str], model: Model) -> np.ndarray:
+    """Of each word in each language: words of one length go forward together."""
+    out = np.empty((len(words), len(model.languages)))
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i, word in enumerate(words):
+        by_size[len(word) + 1].append(i)
+    get, unknown = model.places.get, len(model.places)
+    for n, members in by_size.items():
+        marked = [START + words[i] for i in members]
+        ahead = np.zeros((n + 1, len(members), len(model.languages)))
+        ahead[0] = 1.0
+        for i in range(n):
+            for j in range(i + 1, min(n, i + model.longest) + 1):
+                cut = map(itemgetter(slice(i, j)), marked)
+                none = unknown if j == i + 1 else unknown + 1
+                line = np.fromiter(map(get, cut, repeat(none)), np.intp, len(members))
+                if j == i + 1:
+                    ahead[j] += ahead[i] * model.table[line]
+                elif len(hits := np.flatnonzero(line <= unknown)):
+                    ahead[j, hits] += ahead[i, hits] * model.table[line[hits]]
+        out[members] = np.log(np.maximum(ahead[n], LEAST))
+    return out
 
 
 # --- fitting ------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Model:
-    languages: tuple[str, ...]
-    pieces: dict[str, tuple[float, ...]]
-
-
 def training_words(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> DataFrame:
     """lang, word, n of a sample by hash of ``labelled`` (doc_id, lang, text)."""
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"))
@@ -124,8 +161,10 @@ def training_words(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> DataFram
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen = Counter((lang, w) for lang, text in zip(batch["lang"], batch["text"]) for w in words_of(text))
-            rows = [(lang, w, n) for (lang, w), n in seen.items()]
+            seen: dict[str, Counter[str]] = defaultdict(Counter)
+            for lang, text in zip(batch["lang"], batch["text"]):
+                seen[lang].update(words_of(text))
+            rows = [(lang, w, n) for lang, words in seen.items() for w, n in words.items()]
             yield pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     each = some.select("lang", "text").mapInPandas(counted, "lang string, word string, n long")
@@ -134,7 +173,8 @@ def training_words(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> DataFram
 
 def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, most_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
     """``labelled`` has doc_id, lang and text; rows without a language are left out."""
-    words = training_words(labelled.where("lang IS NOT NULL"), most_docs)
+    labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL")
+    words = training_words(labelled, most_docs)
     pieces = read_pieces(vocabulary)
     spark = labelled.sparkSession
     tables: dict[str, dict[str, float]] = {}
@@ -162,13 +202,14 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, most_docs: int = TRAI
 
 def normalised(sums: list) -> dict[str, dict[str, float]]:
     """Probabilities per language over the pieces that any language uses."""
-    used = sorted({r.piece for r in sums})
+    used = sorted({r.piece for r in sums if r.n >= LEAST_USES or len(r.piece) == 1})
     counts: dict[str, dict[str, float]] = defaultdict(dict)
     for r in sums:
         counts[r.lang][r.piece] = r.n
+    kept = set(used)
     out = {}
     for lang in sorted(counts):
-        whole = math.fsum(counts[lang].values()) + SMOOTHING * len(used)
+        whole = math.fsum(n for p, n in counts[lang].items() if p in kept) + SMOOTHING * len(used)
         out[lang] = {p: (counts[lang].get(p, 0.0) + SMOOTHING) / whole for p in used}
     return out
 
@@ -176,22 +217,39 @@ def normalised(sums: list) -> dict[str, dict[str, float]]:
 # --- prediction ----------------------------------------------------------------------------
 
 
-def predict_one(text: str | None, model: Model, cache: dict[str, list[float]]) -> tuple[str, float]:
-    seen = Counter(words_of(text))
-    if not seen or not model.languages:
-        return NONE, 0.0
-    unknown = (UNKNOWN,) * len(model.languages)
-    totals = [0.0] * len(unknown)
-    for word, n in seen.items():
-        logs = cache.get(word)
-        if logs is None:
-            if len(cache) >= CACHE:
-                cache.clear()
-            logs = cache[word] = log_likelihoods(word, model.pieces, unknown)
-        totals = [t + n * x for t, x in zip(totals, logs)]
-    best = max(totals)
-    score = 1.0 / math.fsum(math.exp(t - best) for t in totals)
-    return model.languages[totals.index(best)], score
+class Words:
+    """Likelihoods of words met lately; when too many are kept, all are dropped."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.places: dict[str, int] = {}
+        self.lines = np.empty((0, len(model.languages)))
+
+    def learn(self, words: set[str]) -> None:
+        """Make sure of these."""
+        if len(self.places) > CACHE:
+            self.places, self.lines = {}, self.lines[:0]
+        new = [w for w in words if w not in self.places]
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        self.lines = np.concatenate([self.lines, log_likelihoods(new, self.model)])
+
+
+def predict(texts: Iterable[str | None], words: Words) -> list[tuple[str, float]]:
+    languages = words.model.languages
+    seen = [words_of(t) for t in texts]
+    if not languages:
+        return [(NONE, 0.0)] * len(seen)
+    words.learn(set().union(*seen))
+    out = []
+    for own in seen:
+        if not own:
+            out.append((NONE, 0.0))
+            continue
+        lines = np.fromiter(map(words.places.__getitem__, own), np.intp, len(own))
+        totals = np.fromiter(own.values(), np.float64, len(own)) @ words.lines[lines]
+        best = int(totals.argmax())
+        out.append((languages[best], 1.0 / float(np.exp(totals - totals[best]).sum())))
+    return out
 
 
 def predicted(text: Column, model: Model) -> Column:
@@ -200,9 +258,10 @@ def predicted(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("lang string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, list[float]] = {}
+        words = Words(shared.value)
         for texts in batches:
-            rows = [predict_one(t, shared.value, cache) for t in texts]
+            parts = (texts[i : i + TEXTS] for i in range(0, len(texts), TEXTS))
+            rows = [row for part in parts for row in predict(part, words)]
             yield pd.DataFrame(rows, columns=["lang", "score"])
 
     return judge(text)
