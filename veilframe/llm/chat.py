@@ -94,7 +94,7 @@ def trained_text(formatted: Column, start: Column, end: Column) -> Column:
 
 def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text: array of (role, text)."""
-    role = r"(?s)^### ((?:[^:\\]|\\.)*+): (.*)$"
+    role = r"(?s)^### ([^:\\]*+(?:\\.[^:\\]*+)*+): (.*)$"
     parts = F.split(formatted, END)
     return F.transform(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
