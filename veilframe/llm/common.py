@@ -40,6 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table made by ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast only after its rows were counted; else joined by shuffle.
     What it is made of should be short or written, as counting computes it."""

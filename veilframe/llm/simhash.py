@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import stored, written
+from veilframe.llm.common import checked_broadcast, stored, written
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -215,5 +215,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     of_bits = written(prints.groupBy("bits").agg(F.min("rank").alias("rank")), "print-ids")
     first = classes(of_bits).join(of_bits, "bits").groupBy("root").agg(F.min("rank").alias("rank"))
-    staying = first.select(F.col("rank.rid").alias("_rid"))
-    return kept.original(kept.rows.join(written(staying, "staying"), "_rid", "left_semi")).drop("_rid")
+    rid = F.col("rank.rid").alias("_rid")
+    leaving = written(prints.select(rid).join(first.select(rid), "_rid", "left_anti"), "leaving")
+    return kept.original(kept.rows.join(checked_broadcast(leaving), "_rid", "left_anti"))
