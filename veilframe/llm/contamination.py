@@ -23,10 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import checked_broadcast, lower_ascii, stored, written
+from veilframe.llm.common import checked_broadcast, discard, lower_ascii, written
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+HASH_SALT = "second"
 
 
 def words_of(text: Column) -> Column:
@@ -211,9 +212,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any window of the benchmark, unchanged."""
-    kept = stored(docs, "contamination-input")
+    """The rows of ``docs`` without any window of the benchmark, unchanged.
+
+    Whether a text is hit depends on the text alone, so texts are known by 128 bits of
+    hash and no row has to be pinned."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = f"c{docs.columns.index(text)}"
+    keys = {"k1": F.xxhash64(at), "k2": F.xxhash64(F.lit(HASH_SALT), F.col(at))}
     items = read_items(benchmark)
-    index = build_index(kept.rows, items.terms, F.col("_rid"), text=kept.at(text))
-    hit = written(phrase_matches(index, items).select(F.col("row").alias("_rid")).distinct(), "hit")
-    return kept.original(kept.rows.join(checked_broadcast(hit), "_rid", "left_anti")).drop("_rid")
+    index = build_index(plain, items.terms, F.monotonically_increasing_id(), text=at, **keys)
+    rows = phrase_matches(index, items).select("row").distinct()
+    headers = index.where(F.col("term").isNull()).select("row", *keys)
+    hit = written(headers.join(checked_broadcast(written(rows, "rows")), "row", "left_semi").select(*keys).distinct(), "hit")
+    discard(index)
+    clean = plain.withColumns(keys).join(checked_broadcast(hit), list(keys), "left_anti")
+    return clean.select(*plain.columns).toDF(*docs.columns)
