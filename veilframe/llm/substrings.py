@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import Stored, checked_broadcast, stored, written
+from veilframe.llm.common import checked_broadcast, stored, written
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
 MIN_WORDS = 20
@@ -84,12 +84,10 @@ def units(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.mapInArrow(cut, UNITS.format(key=f"doc_id {kind}"))
 
 
-def repeated_spans(
-    kept: Stored, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
-) -> DataFrame:
+def repeated_spans(rows: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
     """rid, doc_id, start, end, words, first_id: what later occurrences lose; first_id
-    is the document that keeps the first unit of the span."""
-    cut = written(units(kept.rows, kept.at(doc_id), kept.at(text)), "units")
+    is the document that keeps the first unit of the span.  ``rows`` are read once."""
+    cut = written(units(rows, doc_id, text), "units")
     rank = F.struct("no_id", "doc_id", "rid", "idx")
     firsts = (
         cut.groupBy("h1", "h2")
@@ -115,7 +113,9 @@ def repeated_spans(
 
 
 def spans_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    return repeated_spans(stored(docs.select(doc_id, text), "substring-input"), doc_id, text, **options)
+    """The spans alone; rows are numbered while they are read."""
+    rows = docs.select(doc_id, text).withColumn("_rid", F.monotonically_increasing_id())
+    return repeated_spans(rows, doc_id, text, **options)
 
 
 def _without(text: Column, removed: Column) -> Column:
@@ -138,7 +138,7 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
     """The rows with repeats cut out of the text; ``removed`` and ``kept`` are the spans
     of the original text that went and that stay, in order."""
     kept = stored(docs, "substring-input")
-    spans = written(repeated_spans(kept, doc_id, text, **options), "repeats")
+    spans = written(repeated_spans(kept.rows, kept.at(doc_id), kept.at(text), **options), "repeats")
     gone = spans.groupBy(F.col("rid").alias("_rid")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed")
     )
