@@ -135,5 +135,5 @@ ranked AS (
 runs AS (
   SELECT *, idx - row_number() OVER (PARTITION BY row ORDER BY idx) AS run FROM ranked WHERE nth > 1)
 SELECT doc_id, min(s) AS "start", max(e) AS "end", sum(n)::BIGINT AS words, arg_min(first_id, idx) AS first_id
-FROM runs GROUP BY row, run, doc_id HAVING sum(n) >= 20
+FROM runs GROUP BY row, run, doc_id HAVING sum(n) >= 30
 """

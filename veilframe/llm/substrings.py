@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from veilframe.llm.common import checked_broadcast, stored, written
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
-MIN_WORDS = 20
+MIN_WORDS = 30
 BATCH_UNITS = 50_000
 
 UNITS = "no_id boolean, {key}, rid long, idx int, start int, end int, words int, h1 long, h2 long"
