@@ -67,3 +67,23 @@ def test_odd_rows(spark):
         assert r.text is not None or text is None
     assert S.drop_repeats(docs.where("false")).count() == 0
     assert S.spans_table(docs.where("false")).count() == 0
+
+
+def test_repeats_keep_no_short_copy(spark, tmp_path):
+    docs = [
+        (1, "A shared line of seven words here\nOwn text of one."),
+        (2, "Own text of two.\na SHARED line of  seven words here\nEnd of two"),
+        (3, "A short copy."),
+        (4, "A short copy."),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op3_repeats"].run(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.start, r.end, r.words, r.first_id) for r in rows)
+    assert got == [(2, 17, 52, 7, 1), (4, 0, 13, 3, 3)]
+
+
+def test_repeats_match_loops(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()]
+    rows = QUERIES["op3_repeats"].run(spark, DATA).collect()
+    want = sorted((docs[i][0], *span) for i, *span in plain(docs, 1))
+    assert sorted((r.doc_id, r.start, r.end, r.words, r.first_id) for r in rows) == want

@@ -168,7 +168,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_substrings", sql.SUBSTRINGS)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spans that go, with the document that keeps the passage."""
-    spans = substrings.spans_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return repeats(spark, sf_dir)
+
+
+@query("op3_repeats")
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without a least run: every repeated unit, however short."""
+    return repeats(spark, sf_dir, min_words=1)
+
+
+def repeats(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    spans = substrings.spans_table(table(spark, sf_dir, "documents").select("doc_id", "text"), **options)
     return spans.select(
         "doc_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "words")], "first_id"
     )
