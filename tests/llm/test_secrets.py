@@ -105,3 +105,29 @@ def test_long_candidate(spark, kind, chars, shortest, window, least):
     text = "0f1e2d3c4b5a69788796a5b4c3d2e1f0" * 400
     got = spark.range(1).select(S.named(S.secret_spans(F.lit(text))).alias("s")).first().s
     assert got == named(plain_spans(text))
+
+
+KEY = "q7Zp0Xv9Lm3Kd8Rw5Tn1"
+GLUED = {
+    f"sample/{KEY}": "entropy_base64:6:27",
+    f"{KEY}_EXAMPLE {KEY}": "entropy_base64:0:21,entropy_base64:29:49",
+    f"{KEY * 50}/aXxXxb/{KEY * 50}": "entropy_base64:0:1001,entropy_base64:1007:2008",
+    f"my-dummy+{KEY}=x": "",
+    "qZpXvLmKdRwTnHsBgYcJ": "entropy_base64:0:20",
+    "12345678901234567890123": "",
+    "550e8400-e29b-41d4-a716-0123456789ab dummy/550e8400-e29b-41d4-a716": "",
+    "x 550e8400-e29b-41d4-a716-0123456789ab": "",
+    f"é😀 example=sample={KEY}-dummy": "entropy_base64:17:39",
+}
+
+
+def test_allowed_words_take_their_part_only(spark):
+    docs = spark.createDataFrame([(t,) for t in GLUED], "text string")
+    rows = docs.select("text", S.named(S.secret_spans(F.col("text"))).alias("s")).collect()
+    assert {r.text: r.s for r in rows} == GLUED
+
+
+def test_allowed_word_in_long_run(spark):
+    text = KEY * 25_000 + "/xxxx/" + KEY * 25_000
+    got = spark.range(1).select(S.named(S.entropy_spans(F.lit(text), *S.CLASSES[1])).alias("s")).first().s
+    assert got == "entropy_base64:0:500001,entropy_base64:500005:1000006"

@@ -1,10 +1,11 @@
 r"""Secrets in texts: fixed patterns, and sliding-window entropy of candidate strings.
 
-A candidate is a long run of characters of a class that holds a digit and a letter.
-A window slides over it; the entropy of the window's characters is kept up to date by
-the counts of the one that leaves and the one that enters.  Windows at or above the
-class's threshold are merged into spans, unless the candidate is on the allow list
-(UUIDs, words such as ``example``, counting sequences, few different characters).
+A candidate is a long run of characters of a class that holds a letter.  A window
+slides over it; the entropy of the window's characters is kept up to date by the counts
+of the one that leaves and the one that enters.  Windows at or above the class's
+threshold are merged into spans.  The allow list takes runs that are a UUID as a whole,
+and of other runs the parts between ``/ = _ -`` that hold a word such as ``example`` or
+a counting sequence: they count as blanks, and what is left is searched.
 
 All positions are code points, ends exclusive.  Matches never hold a line feed or any
 other blank but U+0020, and are searched in whole texts.
@@ -36,10 +37,11 @@ CLASSES = (
     ("entropy_base64", "A-Za-z0-9+/=_-", 20, 20, 3.7),
 )
 
-ALLOWED = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|(?i)example|sample|dummy|changeme|placeholder|xxxx|0123456789|abcdefgh"
-)
+UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+ALLOWED_WORD = r"(?i)example|sample|dummy|changeme|placeholder|xxxx|0123456789|abcdefgh"
+ALLOWED = f"(?i)^{UUID[4:]}$|{ALLOWED_WORD}"
+#: What ends a part of a run.
+BREAKS = "/=_-"
 
 KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, *_ in CLASSES)
 
@@ -203,28 +205,40 @@ def hot_stretches(chars: Column, window: int, threshold: float) -> Column:
 
 
 def candidate_pattern(chars: str, shortest: int) -> str:
-    """Whole runs of the class with a digit and a letter."""
-    no_digit = chars.replace("0-9", "")
+    """Whole runs of the class with a letter."""
     no_letter = chars.replace("A-Za-z", "").replace("A-Fa-f", "")
-    return (
-        f"(?<![{chars}])(?=[{no_digit}]*+[0-9])(?=[{no_letter}]*+[A-Za-z])[{chars}]{{{shortest},}}+"
-    )
+    return f"(?<![{chars}])(?=[{no_letter}]*+[A-Za-z])[{chars}]{{{shortest},}}+"
+
+
+def without_allowed(text: Column, chars: str, shortest: int) -> Column:
+    """The text, of the same length, with blanks for the parts of long runs that hold an
+    allowed word.  A match starts with such a part or goes on where the last one ended;
+    runs that are UUIDs are blanked before, so that none is cut."""
+    part = f"[[{chars}]&&[^{BREAKS}]]"
+    run = f"(?<![{chars}])(?=[{chars}]{{{shortest}}})[{chars}]*?(?:{ALLOWED_WORD})"
+    begins = f"(?<!{part})(?={part}*?(?:{ALLOWED_WORD}))"
+    whole = F.regexp_replace(text, f"(?<![{chars}]){UUID}(?![{chars}])", " " * 36)
+    blanked = F.regexp_replace(whole, f"(?:\\G(?!\\A)|{begins}){part}", " ")
+    return F.when(text.rlike(run), blanked).otherwise(text)
 
 
 def entropy_spans(text: Column, kind: str, chars: str, shortest: int, window: int, least: float) -> Column:
     pattern = candidate_pattern(chars, shortest)
-    candidates = F.filter(_placed(text, pattern), lambda p: ~p["match"].rlike(ALLOWED))
-    each = F.transform(
-        candidates,
-        lambda p: F.transform(
-            _let(
-                F.slice(F.split(p["match"], ""), F.lit(1), F.length(p["match"])),
-                lambda chars: hot_stretches(chars, window, least),
+
+    def spans(text: Column) -> Column:
+        return F.transform(
+            F.filter(_placed(text, pattern), lambda p: ~p["match"].rlike(f"^{UUID}$")),
+            lambda p: F.transform(
+                _let(
+                    F.slice(F.split(p["match"], ""), F.lit(1), F.length(p["match"])),
+                    lambda chars: hot_stretches(chars, window, least),
+                ),
+                lambda s: _span(kind, p.start + s["from"], p.start + s["to"] + window),
             ),
-            lambda s: _span(kind, p.start + s["from"], p.start + s["to"] + window),
-        ),
-    )
-    return F.when(text.rlike(pattern), F.flatten(each)).otherwise(F.array().cast(NONE))
+        )
+
+    found = F.flatten(_let(without_allowed(text, chars, shortest), spans))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(NONE))
 
 
 # --- whole texts ------------------------------------------------------------------------
