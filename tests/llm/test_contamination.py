@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 
 from veilframe.llm import contamination as C
 from veilframe.llm.queries import QUERIES
@@ -108,3 +109,53 @@ def test_proximity(spark):
     near = lambda slop: sorted(r.row for r in C.proximity_matches(index, items, slop).select("row").distinct().collect())
     assert near(2) == [1]
     assert near(10) == [1, 2]
+
+
+def plain_near(docs, items, slop=5):
+    """n_words, n_near, item ids of each text, by looking around every rarest word."""
+    texts = [words(t) for t in docs]
+    known = {w for _, item in items for w in item}
+    freq = Counter(w for t in texts for w in t if w in known)
+    out = []
+    for t in texts:
+        at = {}
+        for p, w in enumerate(t):
+            at.setdefault(w, []).append(p)
+        n_near, ids = 0, set()
+        for item_id, item in items:
+            n = min(10, len(item))
+            for s in range(len(item) - n + 1 if n else 0):
+                need = Counter(item[s : s + n])
+                rarest = min(range(s, s + n), key=lambda i: (freq[item[i]], i))
+                for c in at.get(item[rarest], ()):
+                    if all(sum(abs(p - c) < n + slop for p in at.get(w, ())) >= k for w, k in need.items()):
+                        n_near += 1
+                        ids.add(item_id)
+        out.append((len(t), n_near, sorted(ids)))
+    return out
+
+
+def test_proximity_odd_rows(spark):
+    docs, bench = tables(spark)
+    added = [(8, "mu lambda kappa x iota theta eta y zeta epsilon delta gamma"), (8, "the " * 13 + "z " * 40 + "the")]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(added, "doc_id long, text string"))
+    items = [("" if i is None else str(i), words(t)) for i, t in ITEMS]
+    every = [*DOCS, *added]
+    want = [(d, *near) for (d, _), near in zip(every, plain_near([t for _, t in every], items))]
+    got = C.proximity(docs, bench).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_near, list(r.item_ids)) for r in got), key=str) == sorted(want, key=str)
+    assert any(d == 8 and n and "2" in ids for d, _, n, ids in want)
+    assert C.proximity(docs.where("false"), bench).count() == 0
+    assert C.proximity(docs, bench.where("false")).where("n_near > 0").count() == 0
+
+
+def test_proximity_query_matches_loops(spark):
+    items = [(str(r.item_id), words(r.text)) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want = {d: near for (d, _), near in zip(docs, plain_near([t for _, t in docs], items))}
+    rows = QUERIES["op10_proximity"].run(spark, DATA).collect()
+    assert len(rows) == len(docs) and any(r.near for r in rows)
+    for r in rows:
+        n, near, ids = want[r.doc_id]
+        assert (r.n_words, r.n_near, r.n_items, r.near) == (n, near, len(ids), near > 0)
+        assert r.items_sha256 == hashlib.sha256(",".join(ids).encode()).hexdigest()

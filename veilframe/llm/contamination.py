@@ -27,6 +27,7 @@ from veilframe.llm.common import checked_broadcast, discard, lower_ascii, writte
 
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+SLOP = 5  # words more than a window's size that its words may stand from the rarest one
 HASH_SALT = "second"
 
 
@@ -156,28 +157,66 @@ def phrase_matches(index: DataFrame, items: Items, window: int = WINDOW) -> Data
     )
 
 
+def _close(index: DataFrame, asked: DataFrame, block: int, reach: Column) -> DataFrame:
+    """The rows of ``asked`` (row, centre, term, ...) with each posting of their term at
+    most ``reach`` words from the centre; blocks of words keep common words of long texts
+    from meeting all their places."""
+    blocks = F.sequence(
+        F.floor((F.col("centre") - reach) / block), F.floor((F.col("centre") + reach) / block)
+    )
+    placed = postings_of(index).withColumn("block", F.floor(F.col("pos") / block))
+    met = asked.withColumn("block", F.explode(blocks)).join(placed, ["row", "block", "term"])
+    return met.where(F.abs(F.col("pos") - F.col("centre")) <= reach)
+
+
 def proximity_matches(
     index: DataFrame, items: Items, slop: int, window: int = WINDOW
 ) -> DataFrame:
-    """row, item, start, pos: windows all of whose words stand, in any order, within
-    ``slop`` words more than the window's size of its rarest word at ``pos``."""
+    """row, item, start, pos: windows all of whose words, each as often as in the window,
+    stand in any order within ``slop`` words more than the window's size of its rarest
+    word at ``pos``.  Places without the second rarest word nearby go first."""
+    block = window + slop
+    reach = F.col("size") + (slop - 1)
     windows = ranked_windows(index, items, window).where(F.col("words")[0]["freq"] > 0)
-    rarest = windows.select("item", "start", "size", "words", F.col("words")[0]["term"].alias("term"))
-    asked = postings_of(index).join(checked_broadcast(rarest), "term").select(
-        "row", "item", "start", "size", F.col("pos").alias("centre"),
-        F.explode(F.array_distinct("words.term")).alias("term"),
-        F.size(F.array_distinct("words.term")).alias("n_terms"),
+    terms = F.array_distinct("words.term")
+    wide = windows.select(
+        "item", "start", "size", F.col("words.term").alias("all"), terms.alias("terms"),
+        terms[0].alias("rarest"), F.get(terms, F.lit(1)).alias("second"),
     )
-    asked = written(asked, "asked")
-    near = postings_of(index).join(
-        checked_broadcast(asked.select("row").distinct()), "row", "left_semi"
+    pairs = wide.select("item", "size", "rarest", "second").distinct()
+    places = written(
+        postings_of(index).join(checked_broadcast(pairs.withColumn("term", F.col("rarest"))), "term").select(
+            "row", "item", "size", F.col("pos").alias("centre"), "rarest", "second"
+        ),
+        "places",
+    )
+    seconds = places.where("second IS NOT NULL").withColumn("term", F.col("second"))
+    both = _close(index, seconds, block, reach).select(*places.columns).distinct()
+    met = written(both.union(places.where("second IS NULL")), "met")
+
+    keys = ["item", "size", "rarest", "second"]
+    named = wide.select(*[F.col(k).alias(f"w_{k}") for k in keys], "start", "all", "terms")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"w_{k}"))
+    wanted = F.explode(
+        F.transform(
+            "terms",
+            lambda t: F.struct(t.alias("term"), F.size(F.filter("all", lambda x: x == t)).alias("need")),
+        )
+    )
+    asked = met.join(checked_broadcast(named), same).select(
+        "row", "item", "start", "size", "centre", F.size("terms").alias("n_terms"), wanted.alias("wanted")
     )
-    close = F.abs(F.col("pos") - F.col("centre")) < F.col("size") + slop
+    asked = written(asked.select("*", "wanted.*").drop("wanted"), "asked")
+    case = ["row", "item", "start", "centre", "n_terms"]
     return (
-        asked.join(near, ["row", "term"])
-        .where(close)
-        .groupBy("row", "item", "start", "centre", "n_terms")
-        .agg(F.countDistinct("term").alias("met"))
+        _close(index, asked, block, reach)
+        .groupBy(*case, "term", "need")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where("n >= need")
+        .groupBy(*case)
+        .agg(F.count(F.lit(1)).alias("met"))
         .where("met = n_terms")
         .select("row", "item", "start", F.col("centre").alias("pos"))
     )
@@ -211,6 +250,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id")
     return report(index, items, matches).select("doc_id", "n_words", "n_hit", "item_ids")
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_words, n_near (windows at places), item_ids of every document."""
+    items = read_items(benchmark)
+    index = build_index(docs, items.terms, F.monotonically_increasing_id(), doc_id=F.col(doc_id))
+    matches = written(proximity_matches(index, items, slop), "near")
+    spots = matches.withColumnsRenamed({"pos": "first"}).withColumn("last", F.col("first"))
+    near = matches.groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    told = report(index, items, spots).join(near, "row", "left")
+    return told.select("doc_id", "n_words", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "item_ids")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` without any window of the benchmark, unchanged.
 

@@ -143,6 +143,21 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op10_proximity")
+def op10_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of benchmark items whose words stand together in any order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination.proximity(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        "n_near",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_near") > 0).alias("near"),
+    )
+
+
 # --- 2: secret scans -----------------------------------------------------------------------
 
 
