@@ -8,7 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, contamination, langid, licenses, mixing, quality, secrets, sharding, simhash, sql, substrings
+from veilframe.llm import (
+    chat, contamination, langid, licenses, mixing, negatives, pii, quality, repair, secrets, sharding,
+    simhash, sql, substrings,
+)
 from veilframe.llm.common import count_words, table, written
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -224,3 +227,65 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "f.n_words", "f.n_base", "f.first_word", "f.last_word", "f.base_labels",
         "f.labels", "f.score",
     )
+
+
+# --- 11: hard negatives -------------------------------------------------------------------------
+
+
+@query("op11_negatives", sql.NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, vector="embedding")
+
+
+# --- 12: conversation structure repair ------------------------------------------------------------
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns as the contract damages them, by a checksum of conversation and turn."""
+    blank = F.lit(" ")
+    said = [F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")]
+    rows = turns.select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"),
+        (F.crc32(F.concat_ws(":", *said)) % 20).alias("harm"),
+    )
+    text = (
+        F.when(F.col("harm") == 1, "")
+        .when(F.col("harm") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+    )
+    role = F.when(F.col("harm") == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.sequence(F.lit(1), F.when(F.col("harm") == 3, 2).otherwise(1)))
+    return rows.where("harm <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), twice).drop("col")
+
+
+@query("op12_repair", sql.REPAIR)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = repair.reports(repair.repair(damaged(turns))).withColumnRenamed("conv_id", "own_id")
+    every = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in repair.COUNTS]
+    return every.join(told, F.col("conv_id").eqNullSafe(F.col("own_id")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.sha2(F.coalesce("lines", F.lit("")), 256).alias("repaired_sha256"),
+    )
+
+
+# --- 13: personal data ----------------------------------------------------------------------------
+
+
+@query("op13_pii")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.personal_spans(F.col("text")).alias("all"))
+    base = F.filter("all", lambda s: s.kind < len(pii.BASE))
+
+    def number(place: int) -> F.Column:
+        return F.size(F.filter("all", lambda s: s.kind == place)).cast("long")
+
+    counts = [number(i).alias(f"n_{kind}") for i, kind in enumerate(pii.BASE)]
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.named(base), 256).alias("base_sha256"),
+        pii.named(F.col("all")).alias("spans"),
+    )

@@ -137,3 +137,92 @@ runs AS (
 SELECT doc_id, min(s) AS "start", max(e) AS "end", sum(n)::BIGINT AS words, arg_min(first_id, idx) AS first_id
 FROM runs GROUP BY row, run, doc_id HAVING sum(n) >= 30
 """
+
+
+NEGATIVES = """
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+scores AS (
+  SELECT a.row AS a_row, a.vec_id AS anchor_id, b.row AS b_row, b.vec_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM (SELECT * FROM rows WHERE vec_id % 100 = 0) a JOIN rows b ON a.row <> b.row),
+positives AS (
+  SELECT a_row, anchor_id, b_row AS p_row, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a_row ORDER BY score DESC, vec_id NULLS LAST, b_row) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, positive_score,
+       n.score AS negative_score
+FROM positives p JOIN scores n ON p.a_row = n.a_row AND NOT n.same
+  AND 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.a_row, p_row ORDER BY n.score DESC, n.vec_id NULLS LAST, n.b_row)
+QUALIFY row_number() OVER w <= 10
+"""
+
+REPAIR = r"""
+WITH RECURSIVE spoken AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) % 20 AS harm
+  FROM spoken),
+harmed AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+         CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM summed WHERE harm <> 0),
+placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM harmed),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY place) || left(role, 1) AS pair
+  FROM placed),
+counted AS (
+  SELECT conv, conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+         count(*) FILTER (fault = 'blank')::BIGINT AS blank, count(*) FILTER (fault = 'duplicate')::BIGINT AS duplicate,
+         count(*) FILTER (fault = 'truncated')::BIGINT AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal
+  FROM judged GROUP BY conv, conv_id),
+given(state, added, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+kept(state, letter, next) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+-- What comes before a row: nothing, or one insert.  More of them never pay.
+walk AS (
+  SELECT conv, 0::BIGINT AS place, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM counted
+  UNION ALL
+  SELECT conv, place, state, best.cost, best.audit, best.lines FROM (
+    SELECT conv, place, state, min({'cost': cost, 'audit': audit, 'lines': lines}) AS best FROM (
+      SELECT o.conv, o.place + 1 AS place, e.state, o.cost + e.cost AS cost, o.audit || e.edit AS audit,
+             o.lines || e.lines AS lines
+      FROM (
+        SELECT conv, place, state, cost, audit, lines FROM walk
+        UNION ALL
+        SELECT conv, place, g.added, cost + 2, audit || 'I', lines || [g.role || ':'] FROM walk JOIN given g USING (state)) o
+      JOIN judged j ON j.conv = o.conv AND j.place = o.place + 1,
+      LATERAL (
+        SELECT 'D' AS edit, 3 AS cost, o.state AS state, []::VARCHAR[] AS lines
+        UNION ALL
+        SELECT 'K', (j.fault = 'truncated')::INT, k.next, [j.role || ':' || j.text] FROM kept k
+        WHERE k.state = o.state AND k.letter = left(j.role, 1) AND j.fault NOT IN ('blank', 'duplicate')
+        UNION ALL
+        SELECT 'R', 2 + (j.fault = 'truncated')::INT, g.added, [g.role || ':' || j.text] FROM given g
+        WHERE g.state = o.state AND j.fault NOT IN ('blank', 'duplicate')) e)
+    GROUP BY conv, place, state)),
+closed AS (
+  SELECT w.conv, cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END AS cost,
+         audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+         lines || CASE state WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE []::VARCHAR[] END AS lines
+  FROM walk w JOIN counted c ON w.conv = c.conv AND w.place = c.n),
+repaired AS (SELECT * FROM closed QUALIFY row_number() OVER (PARTITION BY conv ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv = c.conv
+"""
