@@ -40,7 +40,7 @@ from veilframe.llm.common import checked_broadcast, numbered, written
 from veilframe.operators.entities import lookup
 
 #: Most rows searched in one go.
-SEGMENT = 256
+SEGMENT = 64
 
 NEVER = 1 << 40
 DELETE, INSERT, REROLE, TRUNCATED = 3, 2, 2, 1
@@ -53,6 +53,13 @@ ACCEPTED = (0, NEVER, NEVER, 0)
 #: What states cost at the end, inserts included.
 CLOSED = (0, 2 * INSERT, INSERT, 0)
 
+#: States that can be the last, from each.
+REACHED = ((0, 1, 2, 3), (1, 2, 3), (2, 3), (2, 3))
+LEGAL = ("su", "ua", "au")
+
+#: Least cost of an edit at one of two neighbours or between them, above their own least.
+PAIR = 2
+
 #: Least cost of a row, by its letter: d must go, x has another role; capitals are truncated.
 LEAST = {"d": DELETE, "x": REROLE, "X": DELETE, "s": 0, "u": 0, "a": 0, "S": 1, "U": 1, "A": 1}
 
@@ -78,16 +85,32 @@ def moves(letters: str, place: int, state: int, final: bool) -> Iterator[tuple[s
         yield "R", REROLE + more, place + 1, GIVEN[state]
 
 
+def rest_costs(letters: str) -> list[int]:
+    """What the rows from each place on cost at least: each row its least, and each of
+    the disjoint pairs of neighbours that cannot both stay as they are an edit."""
+    n = len(letters)
+    rows, pairs = [0] * (n + 1), [0] * (n + 1)
+    after = n  # the next row that may stay
+    for i in range(n - 1, -1, -1):
+        rows[i] = rows[i + 1] + LEAST[letters[i]]
+        pairs[i] = pairs[i + 1]
+        if letters[i] != "d":
+            pair = letters[i : i + 1].lower() + letters[after : after + 1].lower()
+            if len(pair) == 2 and "x" not in pair and pair not in LEGAL:
+                pairs[i] = max(pairs[i], PAIR + pairs[after + 1])
+            after = i
+    return [a + b for a, b in zip(rows, pairs)]
+
+
 @lru_cache(maxsize=20_000)
 def search(
     letters: str, entry: int = 0, after: tuple[int, ...] = ACCEPTED, final: bool = True
 ) -> tuple[int, str, int] | None:
     """Cost with what comes after, edits and last state of the cheapest repair; of equal
     ones the first in ASCII order.  ``after`` is what each last state costs."""
-    least = [min(after)] * (len(letters) + 1)
-    for i in range(len(letters) - 1, -1, -1):
-        least[i] = least[i + 1] + LEAST[letters[i]]
-    bound, failed = least[0], {}
+    rest = rest_costs(letters)
+    ends = [min(after[e] for e in REACHED[state]) for state in range(4)]
+    bound, failed = rest[0] + ends[entry], {}
     while bound < NEVER:
         beyond = NEVER
         path: list[str] = []
@@ -99,8 +122,9 @@ def search(
                 return spent + after[state], "".join(path), state
             for edit, cost, new_place, new_state in todo:
                 total = spent + cost
-                if total + least[new_place] > bound:
-                    beyond = min(beyond, total + least[new_place])
+                least = total + rest[new_place] + ends[new_state]
+                if least > bound:
+                    beyond = min(beyond, least)
                 elif failed.get((new_place, new_state), -1) < bound - total:
                     path.append(edit)
                     stack.append((new_place, new_state, total, moves(letters, new_place, new_state, final)))
@@ -169,7 +193,7 @@ def letter(role: Column, fault: Column) -> Column:
 
 
 def is_legal(before: Column, role: Column) -> Column:
-    return F.concat(F.substring(before, 1, 1), F.substring(role, 1, 1)).isin("su", "ua", "au")
+    return F.concat(F.substring(before, 1, 1), F.substring(role, 1, 1)).isin(*LEGAL)
 
 
 def repaired_rows(said: Column, done: Column) -> Column:
