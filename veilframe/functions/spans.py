@@ -68,24 +68,55 @@ def bind(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+# Pieces of marked text that are walked in one go.  Their number is a multiple of four,
+# so every stretch begins with a gap.
+STRETCH = 512
+
+
 def _read_marks(rule: str, marked: str) -> str:
-    """Marked text to hits: walk over gap, lead, value, trail, gap, ..."""
+    """Marked text to hits: walk over gap, lead, value, trail, gap, ...
+
+    The text is cut once.  Each stretch of pieces is walked on its own, from the sum of
+    the lengths before it, so that growing the list of hits stays cheap."""
     hit = (
         f"named_struct('rule', {rule}, 'lead', acc.lead, 'start', acc.start, "
         "'end', acc.start + length(acc.value), 'stop', acc.pos + length(piece), "
         "'value', acc.value)"
     )
-    return (
-        f"aggregate(split({marked}, '{MARK}', -1), "
-        f"named_struct('pos', 0, 'part', 0, 'lead', 0, 'start', 0, 'value', '', 'hits', {NO_HITS}), "
-        "(acc, piece) -> named_struct("
-        "'pos', acc.pos + length(piece), "
-        "'part', (acc.part + 1) % 4, "
-        "'lead', if(acc.part = 1, acc.pos, acc.lead), "
-        "'start', if(acc.part = 2, acc.pos, acc.start), "
-        "'value', if(acc.part = 2, piece, acc.value), "
-        f"'hits', if(acc.part = 3, concat(acc.hits, array({hit})), acc.hits)), "
-        "acc -> acc.hits)"
+
+    def walked(pieces: str, begin: str) -> str:
+        return (
+            f"aggregate({pieces}, "
+            f"named_struct('pos', {begin}, 'part', 0, 'lead', 0, 'start', 0, 'value', '', 'hits', {NO_HITS}), "
+            "(acc, piece) -> named_struct("
+            "'pos', acc.pos + length(piece), "
+            "'part', (acc.part + 1) % 4, "
+            "'lead', if(acc.part = 1, acc.pos, acc.lead), "
+            "'start', if(acc.part = 2, acc.pos, acc.start), "
+            "'value', if(acc.part = 2, piece, acc.value), "
+            f"'hits', if(acc.part = 3, array_append(acc.hits, {hit}), acc.hits)), "
+            "acc -> acc.hits)"
+        )
+
+    sizes = "aggregate(stretch, 0, (n, piece) -> n + length(piece))"
+    begins = (
+        "aggregate(slice(stretches, 1, size(stretches) - 1), array(0), (begins, stretch) -> "
+        f"array_append(begins, element_at(begins, -1) + {sizes}))"
+    )
+    long_text = bind(
+        f"transform(sequence(0, (size(pieces) - 2) div {STRETCH}), "
+        f"i -> slice(pieces, i * {STRETCH} + 1, {STRETCH}))",
+        "stretches",
+        bind(
+            begins,
+            "begins",
+            f"flatten(transform(stretches, (stretch, i) -> {walked('stretch', 'begins[i]')}))",
+        ),
+    )
+    return bind(
+        f"split({marked}, '{MARK}', -1)",
+        "pieces",
+        f"if(size(pieces) <= {STRETCH} + 1, {walked('pieces', '0')}, {long_text})",
     )
 
 

@@ -298,14 +298,18 @@ def names_by_context(text: str) -> str:
     """Names before a birth date, capital names before a follow-up, and names
     before an existing placeholder."""
     free = f"NOT exists(dated, d -> {S.OVERLAP_SQL.format('s', 'd')})"
-    new = f"NOT exists(concat(dated, caps), d -> {S.SAME_PLACE_SQL.format('s', 'd')})"
+    new = f"NOT exists(both, d -> {S.SAME_PLACE_SQL.format('s', 'd')})"
     return bind(
         names_before_date(text),
         "dated",
         bind(
             f"filter({caps_names(text)}, s -> {free})",
             "caps",
-            f"concat(dated, caps, filter({names_before_placeholder(text)}, s -> {new}))",
+            bind(
+                "concat(dated, caps)",
+                "both",
+                f"concat(both, filter({names_before_placeholder(text)}, s -> {new}))",
+            ),
         ),
     )
 
@@ -333,10 +337,11 @@ def models_beside_brands(
     words: str | None = None,
 ) -> str:
     """Model spans that overlap no brand span nor an earlier model span."""
-    free = f"NOT exists(concat({brands}, kept), k -> {S.OVERLAP_SQL.format('s', 'k')})"
+    beside = f"NOT exists({brands}, k -> {S.OVERLAP_SQL.format('s', 'k')})"
+    free = f"NOT exists(kept, k -> {S.OVERLAP_SQL.format('s', 'k')})"
     return (
-        f"aggregate({vehicle_models(text, models, words)}, {S.NO_SPANS}, "
-        f"(kept, s) -> if({free}, concat(kept, array(s)), kept))"
+        f"aggregate(filter({vehicle_models(text, models, words)}, s -> {beside}), {S.NO_SPANS}, "
+        f"(kept, s) -> if({free}, array_append(kept, s), kept))"
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
@@ -17,6 +17,7 @@ from veilframe.functions.text import join_broken_names
 from veilframe.operators import detectors as D
 from veilframe.operators import entities as E
 from veilframe.operators import external as X
+from veilframe.operators import pieces as PC
 from veilframe.operators.reports import legend_text_in_row, legend_text
 from veilframe.session import ROW, cut_lineage, pin_rows
 
@@ -106,6 +107,46 @@ def prepared_spans(
     return found
 
 
+def is_large(text: Column, size: int = PC.PIECE) -> Column:
+    """Whether a text is scanned in pieces; one that is a little longer than a piece is not."""
+    return F.coalesce(F.length(text) > 2 * size, F.lit(False))
+
+
+def spans_in_pieces(
+    docs: DataFrame, keys: list[str], backend: str, skip_already_masked: bool, size: int = PC.PIECE
+) -> DataFrame:
+    """``keys, piece, spans`` of texts whose lines are joined: disjoint, in text order, with
+    places in the whole text.  Equal to what ``detect_spans`` finds in the whole."""
+    cut = PC.piece_rows(docs, keys, size)
+    found = detect_spans(cut, backend).withColumn("spans", PC.own_spans(F.col("spans")))
+    if skip_already_masked:
+        found = found.withColumn("spans", S.unmasked(F.col("spans")))
+    return found.select(*keys, "piece", "spans")
+
+
+def encode_large(
+    docs: DataFrame,
+    backend: str = "hybrid",
+    skip_already_masked: bool = True,
+    piece: int = PC.PIECE,
+    **options: Any,
+) -> DataFrame:
+    """``encode`` for tables that may hold texts of many MB; the same columns and rows.
+
+    Texts above two pieces are scanned by many tasks, a piece a row, and their spans put
+    together; numbering and rewriting are one pass over the spans of a text.  Other texts
+    go as in ``encode``.  The documents are pinned, since a text meets its spans by row.
+    """
+    docs = pin_rows(docs)
+    large = is_large(F.col("text"), piece)
+    options = {"backend": backend, "skip_already_masked": skip_already_masked, **options}
+    small = encode(docs.where(~large), **options)
+    joined = docs.where(large).withColumn("text", join_broken_names(F.col("text")))
+    found = spans_in_pieces(joined, [ROW], backend, skip_already_masked, piece)
+    whole = joined.join(PC.gathered(found, [ROW]), ROW)
+    return small.unionByName(encode(whole, **options, spans="spans")).drop(ROW)
+
+
 def encode(
     docs: DataFrame,
     backend: str = "hybrid",
@@ -115,16 +156,21 @@ def encode(
     legend: bool = False,
     strategy_options: dict[str, Any] | None = None,
     known: str | None = None,
+    spans: str | None = None,
     **options: Any,
 ) -> DataFrame:
     """Encode each document on its own: columns ``sanitized`` and ``mapping``.
 
     ``mapping`` is an array of entries in order of creation.  ``known`` names a column
     with the entries of an earlier mapping, which the document's own extends.  Without
-    external spans nothing is shuffled: one scan reads, detects and rewrites.
+    external spans nothing is shuffled: one scan reads, detects and rewrites.  ``spans``
+    names a column of spans that were found before, in texts whose lines are joined.
     """
     apply = strategy_fn(strategy, **(strategy_options or {}))
-    found = prepared_spans(docs, backend, external, skip_already_masked, **options)
+    if spans is None:
+        found = prepared_spans(docs, backend, external, skip_already_masked, **options)
+    else:
+        found = docs.withColumn("spans", F.col(spans))
     resolved = found.withColumn("_items", E.keyed_spans(F.col("spans"))).withColumn(
         "_entities", E.entities_in_row(F.col("_items"), F.col(known) if known else None)
     )
@@ -173,7 +219,8 @@ def encode_corpus(
     The documents are pinned, so that ids which are null or repeat do no harm.  The
     scan yields spans without text, which are pinned too; all entity work runs on
     them.  The texts move once, by row, to meet their edits.  A ``mapping`` needs the
-    surface forms it was built from (``E.stored_forms`` for stored entries).
+    surface forms it was built from (``E.stored_forms`` for stored entries).  Texts above
+    two pieces are scanned by many tasks.
     """
     apply = strategy_fn(strategy, **(strategy_options or {}))
     if mapping is not None and forms is None:
@@ -181,11 +228,20 @@ def encode_corpus(
     if external is not None:
         docs, external = X.attach_external(docs, external), None
     docs = pin_rows(docs)
-    found = prepared_spans(docs, backend, external, skip_already_masked, **options)
+    keys = ["doc_id", ROW]
+    # Spans of models may cross any cut, so texts that have some are scanned whole.
+    in_pieces = "external" not in docs.columns and resolve_backend(backend) in ("patterns", "hybrid")
+    large = is_large(F.col("text")) if in_pieces else F.lit(False)
+    found = prepared_spans(docs.where(~large), backend, external, skip_already_masked, **options)
+    found = found.select(*keys, "spans")
+    texts = docs.withColumn("text", join_broken_names(F.col("text")))
+    if in_pieces:
+        parts = spans_in_pieces(texts.where(large), keys, backend, skip_already_masked)
+        found = found.unionByName(parts.drop("piece"))
     spans = cut_lineage(
         E.with_key(
-            explode_structs(found, ["doc_id", ROW], "spans").select(
-                "doc_id", ROW, "start", "end", "category", "value"
+            explode_structs(found, keys, "spans").select(
+                *keys, "start", "end", "category", "value"
             )
         )
     )
@@ -209,7 +265,6 @@ def encode_corpus(
             "end",
             apply(F.col("value"), F.col("category")).alias("replacement"),
         )
-    texts = docs.withColumn("text", join_broken_names(F.col("text")))
     sanitized = apply_edits(texts, named).drop(ROW, "external")
     if legend:
         sanitized = sanitized.crossJoin(F.broadcast(legend_text(full))).withColumn(
