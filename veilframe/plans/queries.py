@@ -28,6 +28,8 @@ from veilframe.plans import corpus as C
 from veilframe.plans import oracle as O
 from veilframe.session import cut_lineage, scratch_path
 from veilframe.sources import files as SF
+from veilframe.sources import jobs as J
+from veilframe.sources import sinks as SK
 from veilframe.streaming.encode import encode_batches, encode_stream
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -148,24 +150,38 @@ def with_file_names(docs: DataFrame) -> DataFrame:
 FILE_STEM = "'case.' || cast(doc_id AS VARCHAR)"
 
 
+def doc_id_of(name: str) -> Column:
+    return F.regexp_extract(name, r"(\d+)", 1).cast("long").alias("doc_id")
+
+
+def files_back(spark: SparkSession, path: str) -> DataFrame:
+    """Name, bytes and text of the files of a sink."""
+    return SK.read_files(spark, path).select(
+        doc_id_of("name"), F.col("name").alias("output_name"), "n_bytes", F.md5("text").alias("text_md5"),
+        F.length("text").alias("n_chars"),
+    )
+
+
+def files_sql(text: str, kind: str, source: str) -> str:
+    return (
+        f"SELECT doc_id, {FILE_STEM} || '_{kind}.txt' AS output_name, strlen({text}) AS n_bytes, "
+        f"md5({text}) AS text_md5, length({text}) AS n_chars FROM {source}"
+    )
+
+
 @query(
     "a2_sanitized_sink",
     O.sql(
         DOC_ENCODED + [O.REPLACED, O.rewritten("prepared", "edits")],
-        f"SELECT doc_id, {FILE_STEM} || '_sanitized.txt' AS output_name, md5(sanitized) AS text_md5, "
-        "length(sanitized) AS n_chars FROM rewritten",
+        files_sql("sanitized", "sanitized", "rewritten"),
     ),
 )
 def a2(spark, sf_dir):
     out = scratch_path(spark, "sanitized")
-    named = with_file_names(encoded_rows(spark, sf_dir)).withColumn(
-        "output_name", SF.output_name(F.col("stem"), F.col("suffix"), "sanitized")
-    )
-    named.select("doc_id", "output_name", "sanitized").write.parquet(out)
-    return spark.read.parquet(out).select(
-        "doc_id", "output_name", F.md5("sanitized").alias("text_md5"),
-        F.length("sanitized").alias("n_chars"),
-    )
+    named = with_file_names(encoded_rows(spark, sf_dir))
+    name = SF.output_name(F.col("stem"), F.col("suffix"), "sanitized")
+    SK.write_files(named, out, name, F.col("sanitized"))
+    return files_back(spark, out)
 
 
 @query(
@@ -182,15 +198,20 @@ def a2(spark, sf_dir):
               || ',"variations":' || vj || ',"occurrences":' || occurrences || '}', ','
               ORDER BY first_s DESC) AS mj FROM ents JOIN vlist USING (scope, norm_key) GROUP BY scope)""",
         ],
-        """SELECT d.doc_id, '{"version":"1.0","created":"2024-01-01T00:00:00","statistics":{' || coalesce(sj, '')
-          || '},"mappings":{' || coalesce(mj, '') || '}}' AS json
+        f"""SELECT d.doc_id, {FILE_STEM} || '_mapping.json' AS output_name,
+          '{{"version":"1.0","created":"2024-01-01T00:00:00","statistics":{{' || coalesce(sj, '')
+          || '}},"mappings":{{' || coalesce(mj, '') || '}}}}' AS json
         FROM docs d LEFT JOIN stats ON d.doc_id = stats.scope LEFT JOIN maps ON d.doc_id = maps.scope""",
     ),
 )
 def a3(spark, sf_dir):
-    return encoded_rows(spark, sf_dir).select(
-        "doc_id",
-        SF.mapping_json(F.col("mapping"), F.lit("2024-01-01T00:00:00"), pretty=False).alias("json"),
+    """A mapping file for each document, read back."""
+    out = scratch_path(spark, "mappings")
+    named = with_file_names(encoded_rows(spark, sf_dir))
+    json = SF.mapping_json(F.col("mapping"), F.lit("2024-01-01T00:00:00"), pretty=False)
+    SK.write_files(named, out, SF.output_name(F.col("stem"), F.col("suffix"), "mapping"), json)
+    return SK.read_files(spark, out).select(
+        doc_id_of("name"), F.col("name").alias("output_name"), F.col("text").alias("json")
     )
 
 
@@ -267,23 +288,12 @@ def decoded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return DE.decode(encoded.withColumn("text", F.col("sanitized")))
 
 
-@query(
-    "a5_decoded_sink",
-    O.sql(
-        DOC_DECODED,
-        f"SELECT doc_id, {FILE_STEM} || '_decoded.txt' AS output_name, md5(decoded) AS text_md5 FROM dec_rewritten",
-    ),
-)
+@query("a5_decoded_sink", O.sql(DOC_DECODED, files_sql("decoded", "decoded", "dec_rewritten")))
 def a5(spark, sf_dir):
     out = scratch_path(spark, "decoded")
-    with_file_names(decoded_rows(spark, sf_dir)).select(
-        "doc_id",
-        SF.output_name(F.col("stem"), F.col("suffix"), "decoded").alias("output_name"),
-        "decoded",
-    ).write.parquet(out)
-    return spark.read.parquet(out).select(
-        "doc_id", "output_name", F.md5("decoded").alias("text_md5")
-    )
+    named = with_file_names(decoded_rows(spark, sf_dir))
+    SK.write_files(named, out, SF.output_name(F.col("stem"), F.col("suffix"), "decoded"), F.col("decoded"))
+    return files_back(spark, out)
 
 
 CONV_PAGES = """pages_in AS (SELECT conv_id AS doc_id, turn + 1 AS page_no, text FROM conversations),
@@ -305,16 +315,15 @@ def conversation_texts(spark, sf_dir):
     "a6_part_files",
     O.sql(
         [CONV_PAGES, SPLIT_PAGES, PART_ROWS],
-        "SELECT doc_id, 'conv' || doc_id || '_part' || part_no || '.txt' AS part_name, md5(text) AS text_md5 FROM part_rows",
+        "SELECT doc_id, 'conv' || doc_id || '_part' || part_no || '.txt' AS output_name, strlen(text) AS n_bytes, "
+        "md5(text) AS text_md5, length(text) AS n_chars FROM part_rows",
     ),
 )
 def a6(spark, sf_dir):
     out = scratch_path(spark, "parts")
     stem = F.concat(F.lit("conv"), F.col("doc_id").cast("string"))
-    P.page_parts(conversation_texts(spark, sf_dir), max_pages=3).select(
-        "doc_id", SF.part_name(stem, F.col("part_no")).alias("part_name"), "text"
-    ).write.parquet(out)
-    return spark.read.parquet(out).select("doc_id", "part_name", F.md5("text").alias("text_md5"))
+    J.write_parts(conversation_texts(spark, sf_dir).withColumn("doc_id", stem), out, max_pages=3)
+    return files_back(spark, out)
 
 
 @query(
@@ -1235,26 +1244,65 @@ def g4(spark, sf_dir):
     return encoded_rows(spark, sf_dir, legend=True).select("doc_id", "sanitized")
 
 
+def corpus_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with a text file for each document and case file."""
+    out = scratch_path(spark, "files")
+    named = with_file_names(C.corpus(spark, sf_dir))
+    SK.write_files(named, out, F.concat("stem", "suffix"), F.col("text"))
+    return out
+
+
 @query(
     "g5_encode_files",
     O.sql(
         O.encoded(True, D.PATTERN_ORDER) + [O.REPLACED, O.rewritten("prepared", "edits")],
-        f"""SELECT doc_id, {FILE_STEM} || '_sanitized.txt' AS output_name, {FILE_STEM} || '_mapping.json' AS mapping_name,
-          sanitized, (SELECT count(*) FROM ents x WHERE x.scope = r.doc_id) AS entries FROM rewritten r""",
+        files_sql("sanitized", "sanitized", "rewritten")
+        + f" UNION ALL SELECT doc_id, {FILE_STEM} || '_mapping.json', (SELECT count(*) FROM ents x WHERE x.scope = r.doc_id),"
+        " NULL, NULL FROM rewritten r",
     ),
 )
 def g5(spark, sf_dir):
-    named = with_file_names(encoded_rows(spark, sf_dir, backend="patterns"))
-    stem, suffix = F.col("stem"), F.col("suffix")
-    return named.select(
-        "doc_id",
-        SF.output_name(stem, suffix, "sanitized").alias("output_name"),
-        SF.output_name(stem, suffix, "mapping").alias("mapping_name"),
-        "sanitized",
-        F.size("mapping").alias("entries"),
+    """Files in, files out, read back: of a mapping file its number of entries."""
+    out = scratch_path(spark, "encoded")
+    J.encode_files(spark, corpus_files(spark, sf_dir), out, backend="patterns")
+    is_mapping = F.col("output_name").endswith("_mapping.json")
+    entries = F.size(F.map_keys(F.from_json("text", SF.MAPPING_SCHEMA)["mappings"]))
+    back = SK.read_files(spark, out).withColumnRenamed("name", "output_name")
+    return back.select(
+        doc_id_of("output_name"), "output_name",
+        F.when(is_mapping, entries).otherwise(F.col("n_bytes")).alias("n_bytes"),
+        F.when(~is_mapping, F.md5("text")).alias("text_md5"),
+        F.when(~is_mapping, F.length("text")).alias("n_chars"),
+    )
+
+
+LARGE_DOCS = f"""docs AS MATERIALIZED (
+  SELECT c_custkey % 12 AS doc_id, string_agg({C.CASE_TEXT}, chr(10) ORDER BY c_custkey) AS text
+  FROM customer GROUP BY 1)"""
+
+
+def large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All case files as twelve large texts."""
+    files = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    number = ((F.col("doc_id") - C.CASE_BASE) % 12).alias("number")
+    return C.case_files(spark, sf_dir).groupBy(number).agg(F.array_join(files["text"], "\n").alias("text")).select(
+        F.col("number").alias("doc_id"), "text"
     )
 
 
+@query(
+    "g2_encode_large",
+    O.sql(
+        O.encoded(True, D.HYBRID_ORDER, LARGE_DOCS) + [O.REPLACED, O.rewritten("prepared", "edits")],
+        "SELECT doc_id, length(docs.text) AS n_chars, sanitized FROM rewritten JOIN docs USING (doc_id)",
+    ),
+)
+def g2_large(spark, sf_dir):
+    """Texts above two pieces are scanned by many tasks."""
+    texts = large_texts(spark, sf_dir).withColumn("n_chars", F.length("text"))
+    return EN.encode_large(texts).select("doc_id", "n_chars", "sanitized")
+
+
 @query(
     "g6_convert_and_sanitize",
     O.sql(
@@ -1328,32 +1376,14 @@ def h2(spark, sf_dir):
     )
 
 
-@query(
-    "h3_decode_files",
-    O.sql(
-        DOC_DECODED,
-        f"SELECT doc_id, {FILE_STEM} || '_decoded.txt' AS output_name, decoded FROM dec_rewritten",
-    ),
-)
+@query("h3_decode_files", O.sql(DOC_DECODED, files_sql("decoded", "decoded", "dec_rewritten")))
 def h3(spark, sf_dir):
-    """Decode from stored files: sanitised texts and mapping JSON are read back."""
-    out = scratch_path(spark, "returned")
-    encoded_rows(spark, sf_dir).select(
-        "doc_id", "sanitized", SF.mapping_json(F.col("mapping")).alias("json")
-    ).write.parquet(out)
-    stored = spark.read.parquet(out)
-    entries = E.mapping_from_entries(
-        SF.entries_from_json(stored.select("doc_id", "json")), ["doc_id"]
-    )
-    tables = entries.groupBy("doc_id").agg(
-        F.collect_list(F.struct("placeholder", "canonical")).alias("mapping")
-    )
-    texts = stored.select("doc_id", F.col("sanitized").alias("text")).join(tables, "doc_id", "left")
-    return with_file_names(DE.decode(texts)).select(
-        "doc_id",
-        SF.output_name(F.col("stem"), F.col("suffix"), "decoded").alias("output_name"),
-        "decoded",
-    )
+    """Decode from files: sanitised texts and mapping JSON are read, decoded files written
+    and read back."""
+    stored, out = scratch_path(spark, "encoded"), scratch_path(spark, "decoded")
+    J.encode_files(spark, corpus_files(spark, sf_dir), stored)
+    J.decode_files(spark, f"{stored}/*_sanitized.txt", f"{stored}/*_mapping.json", out)
+    return files_back(spark, out)
 
 
 @query(
