@@ -29,6 +29,7 @@ from veilframe.plans import oracle as O
 from veilframe.session import cut_lineage, scratch_path
 from veilframe.sources import files as SF
 from veilframe.sources import jobs as J
+from veilframe.sources import mapping_json as MJ
 from veilframe.sources import sinks as SK
 from veilframe.streaming.encode import encode_batches, encode_stream
 
@@ -215,18 +216,29 @@ def a3(spark, sf_dir):
     )
 
 
-@query(
-    "a4_mapping_load",
-    O.sql(
-        CORPUS_ENCODED
-        + [
-            f"""loaded AS (SELECT placeholder, canonical, variations, occurrences, category, num,
-              {O.key('canonical', 'category')} AS norm_key FROM ents)"""
-        ],
-        """SELECT placeholder, canonical, variations, occurrences, category, num, norm_key,
-          row_number() OVER (PARTITION BY norm_key ORDER BY category DESC, num DESC) = 1 AS is_lookup FROM loaded""",
-    ),
+LOADED_SQL = O.sql(
+    CORPUS_ENCODED
+    + [
+        f"""loaded AS (SELECT placeholder, canonical, variations, occurrences, category, num,
+          {O.key('canonical', 'category')} AS norm_key FROM ents)"""
+    ],
+    """SELECT placeholder, canonical, variations, occurrences, category, num, norm_key,
+      row_number() OVER (PARTITION BY norm_key ORDER BY category DESC, num DESC) = 1 AS is_lookup FROM loaded""",
 )
+
+
+@query("a4_mapping_split", LOADED_SQL)
+def a4_split(spark, sf_dir):
+    """The shared mapping's files put end to end, read by many tasks in ranges of bytes."""
+    out = scratch_path(spark, "mapping")
+    SF.write_mapping(*corpus_mapping(spark, sf_dir), out, "2024-01-01T00:00:00")
+    return MJ.read_large_mapping(spark, out, 1 << 16).select(
+        "placeholder", "canonical", F.array_join(F.array_sort("variations"), "; ").alias("variations"),
+        "occurrences", "category", "num", "norm_key", "is_lookup",
+    )
+
+
+@query("a4_mapping_load", LOADED_SQL)
 def a4(spark, sf_dir):
     """The shared mapping, written as the lines of one JSON file and read again."""
     out = scratch_path(spark, "mapping")
