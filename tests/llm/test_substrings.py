@@ -6,7 +6,18 @@ from veilframe.llm.queries import QUERIES
 DATA = "/root/testdata/sf0.01"
 
 
-def plain(docs, min_words=S.MIN_WORDS):
+def runs(units):
+    """Stretches without None."""
+    out = [[]]
+    for u in units:
+        if u is None:
+            out.append([])
+        else:
+            out[-1].append(u)
+    return [run for run in out if run]
+
+
+def plain(docs, unit_words=S.UNIT_WORDS, run_words=S.RUN_WORDS):
     """(row, start, end, words, first id) of what goes; docs: (doc_id, text) in order."""
     ranked = sorted(range(len(docs)), key=lambda i: (docs[i][0] is None, docs[i][0] or 0, i))
     first, cut = {}, {}
@@ -21,14 +32,10 @@ def plain(docs, min_words=S.MIN_WORDS):
         cut[i] = units
     out = []
     for i, units in cut.items():
-        run = []
-        for u in [*units, (0, 0, 0, False, None)]:
-            if u[3]:
-                run.append(u)
-                continue
-            if run and sum(x[2] for x in run) >= min_words:
-                out.append((i, run[0][0], run[-1][1], sum(x[2] for x in run), run[0][4]))
-            run = []
+        for run in runs([u if u[3] else None for u in units]):
+            long_run = sum(u[2] for u in run) >= run_words
+            for part in runs([u if long_run or u[2] >= unit_words else None for u in run]):
+                out.append((i, part[0][0], part[-1][1], sum(u[2] for u in part), part[0][4]))
     return sorted(out)
 
 

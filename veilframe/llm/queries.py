@@ -189,10 +189,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(spark, sf_dir)
 
 
-@query("op3_repeats")
+@query("op3_repeats", sql.REPEATS)
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same without a least run: every repeated unit, however short."""
-    return repeats(spark, sf_dir, min_words=1)
+    """Every repeated unit, however short."""
+    return repeats(spark, sf_dir, unit_words=1)
 
 
 def repeats(spark: SparkSession, sf_dir: str, **options) -> DataFrame:

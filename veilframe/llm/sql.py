@@ -132,12 +132,20 @@ units AS (
 ranked AS (
   SELECT *, row_number() OVER w AS nth, first(doc_id) OVER w AS first_id
   FROM units WINDOW w AS (PARTITION BY unit ORDER BY doc_id NULLS LAST, row, idx)),
+together AS (
+  SELECT *, idx - row_number() OVER (PARTITION BY row ORDER BY idx) AS run FROM ranked WHERE nth > 1),
+going AS (SELECT *, sum(n) OVER (PARTITION BY row, run) AS run_words FROM together),
 runs AS (
-  SELECT *, idx - row_number() OVER (PARTITION BY row ORDER BY idx) AS run FROM ranked WHERE nth > 1)
+  SELECT *, idx - row_number() OVER (PARTITION BY row ORDER BY idx) AS last_run FROM going
+  WHERE n >= 10 OR run_words >= 30)
 SELECT doc_id, min(s) AS "start", max(e) AS "end", sum(n)::BIGINT AS words, arg_min(first_id, idx) AS first_id
-FROM runs GROUP BY row, run, doc_id HAVING sum(n) >= 30
+FROM runs GROUP BY row, last_run, doc_id
 """
 
+#: Every repeated unit.
+REPEATS = SUBSTRINGS.replace("WHERE n >= 10 OR run_words >= 30", "")
+
+
 
 NEGATIVES = """
 WITH rows AS (
@@ -179,9 +187,11 @@ placed AS (
   SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM harmed),
 judged AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
                  WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY place) > 1 THEN 'duplicate'
-                 WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE '' END AS fault,
+                 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE '' END AS fault,
          lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY place) || left(role, 1) AS pair
   FROM placed),
 counted AS (

@@ -4,9 +4,13 @@ A text is cut after line ends and after ``.``, ``!`` and ``?``; cut at lines onl
 passage that was put into the middle of a line would never be a unit.  Units are
 normalised (A-Z in lower case, blanks as one space) and known by 128-bit digests,
 grouped over all documents.  The occurrence of the smallest rank (doc_id, null last,
-then place in the table, then place in the text) stays; later ones are removed where
-units in a row make up ``MIN_WORDS`` words or more, so common short lines alone are
-left.  Offsets are code points of the original text, ends exclusive.
+then place in the table, then place in the text) stays; later ones are removed if they
+have ``UNIT_WORDS`` words or more, or lie in a run of repeated units of ``RUN_WORDS``, so
+only short lines that stand alone are left.  Offsets are code points of the original text,
+ends exclusive.
+
+A digest that holds a large share of all units meets its first occurrence by broadcast,
+the others by a shuffle in which no digest is large.
 
 * Null and empty texts have no units.  Rows that repeat are documents of their own: the
   first stays whole, the others lose what they share with it.
@@ -29,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.llm.common import checked_broadcast, stored, written
+from veilframe.operators.entities import lookup
 
 UNIT = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+")
-MIN_WORDS = 30
+UNIT_WORDS, RUN_WORDS = 10, 30
 BATCH_UNITS = 50_000
 
 UNITS = "no_id boolean, {key}, rid long, idx int, start int, end int, words int, h1 long, h2 long"
@@ -84,22 +89,33 @@ def units(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
     return slim.mapInArrow(cut, UNITS.format(key=f"doc_id {kind}"))
 
 
-def repeated_spans(rows: DataFrame, doc_id: str, text: str, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_spans(
+    rows: DataFrame, doc_id: str, text: str, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS
+) -> DataFrame:
     """rid, doc_id, start, end, words, first_id: what later occurrences lose; first_id
     is the document that keeps the first unit of the span.  ``rows`` are read once."""
     cut = written(units(rows, doc_id, text), "units")
     rank = F.struct("no_id", "doc_id", "rid", "idx")
-    firsts = (
+    firsts = written(
         cut.groupBy("h1", "h2")
         .agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("h1", "h2", "first")
+        .select(F.struct("h1", "h2").alias("h"), "first", "n"),
+        "firsts",
     )
-    later = cut.join(firsts, ["h1", "h2"]).where(~F.col("first").eqNullSafe(rank))
+    keyed = cut.withColumn("h", F.struct("h1", "h2")).drop("h1", "h2")
+    met = lookup(keyed, firsts.select("h", "first"), "h", firsts.select("h", "n"))
+    later = met.where(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(rank))
     line = Window.partitionBy("rid").orderBy("idx")
-    runs = later.withColumn("run", F.col("idx") - F.row_number().over(line))
+    run = Window.partitionBy("rid", "run")
+    together = later.withColumn("run", F.col("idx") - F.row_number().over(line)).withColumn(
+        "run_words", F.sum("words").over(run)
+    )
+    going = together.where((F.col("words") >= unit_words) | (F.col("run_words") >= run_words)).withColumn(
+        "run", F.col("idx") - F.row_number().over(line)
+    )
     return (
-        runs.groupBy("rid", "run")
+        going.groupBy("rid", "run")
         .agg(
             F.first("doc_id").alias("doc_id"),
             F.min("start").alias("start"),
@@ -107,7 +123,6 @@ def repeated_spans(rows: DataFrame, doc_id: str, text: str, min_words: int = MIN
             F.sum("words").alias("words"),
             F.min(F.struct("idx", "first.doc_id")).alias("from"),
         )
-        .where(F.col("words") >= min_words)
         .select("rid", "doc_id", "start", "end", "words", F.col("from.doc_id").alias("first_id"))
     )
 
