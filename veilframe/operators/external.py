@@ -153,22 +153,26 @@ def ner_spans_multi(
     return F.array_sort(ner_spans(text, of_languages(external, languages), categories))
 
 
-def hybrid_extra(
-    text: Column, external: Column, pattern_spans: Column, include_org: bool = False
-) -> Column:
-    """Entities that overlap no pattern span and no earlier kept entity."""
+def plausible_entities(text: Column, external: Column, include_org: bool = False) -> Column:
+    """Entities that may stand beside pattern spans."""
     wanted = ["PERSON", "PLACE"] + (["ORG"] if include_org else [])
     found = _as_spans(
         text, external, lambda x: label_category(x["label"], R.HYBRID_LABELS), 0.90
     )
-    plausible = F.filter(
+    return F.filter(
         found,
         lambda s: F.coalesce(s["category"].isin(wanted), F.lit(False))
         & (F.length(strip(s["value"])) >= 2)
         & ~F.contains(s["value"], F.lit("@"))
         & (F.lower(s["value"]) != "email"),
     )
-    return S.keep_free(plausible, pattern_spans)
+
+
+def hybrid_extra(
+    text: Column, external: Column, pattern_spans: Column, include_org: bool = False
+) -> Column:
+    """Entities that overlap no pattern span and no earlier kept entity."""
+    return S.keep_free(plausible_entities(text, external, include_org), pattern_spans)
 
 
 def analyzer_spans(

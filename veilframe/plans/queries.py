@@ -21,6 +21,7 @@ from veilframe.operators import detectors as D
 from veilframe.operators import encode as EN
 from veilframe.operators import entities as E
 from veilframe.operators import external as X
+from veilframe.operators import intervals as IV
 from veilframe.operators import pages as P
 from veilframe.operators import reports as RE
 from veilframe.operators import rules as R
@@ -78,6 +79,12 @@ def span_table(docs: DataFrame, spans: Column) -> DataFrame:
     return explode_structs(found, ["doc_id"], "spans")
 
 
+def numbered_spans(docs: DataFrame, spans: Column) -> DataFrame:
+    """Spans of each document as rows, with their place in the list (``ord``)."""
+    found = scanned(docs).select("doc_id", F.posexplode_outer(spans).alias("ord", "span"))
+    return found.where(F.col("span").isNotNull()).select("doc_id", "ord", "span.*")
+
+
 SPAN_COLS = [
     "doc_id", "`start` AS span_start", "`end` AS span_end", "category", "confidence", "value"
 ]
@@ -842,24 +849,57 @@ def d2(spark, sf_dir):
 
 
 @query(
-    "d3_models_beside_brands",
+    "d2_resolve_rows",
     O.sql(
-        [O.CORPUS, O.folded()] + O.detector_ctes("vehicles", 0),
-        f"SELECT {SPAN_SQL} FROM d_vehicles WHERE pat >= 1000",
+        [O.CORPUS, O.folded()] + O.detect(OVERLAPPING) + O.resolve(), f"SELECT {SPAN_SQL} FROM kept"
     ),
 )
+def d2_rows(spark, sf_dir):
+    """The same from a table of spans: islands over rows, a choice in each."""
+    rows = numbered_spans(C.corpus(spark, sf_dir), D.detect("scan", OVERLAPPING))
+    rank = [-F.col("confidence"), F.col("start") - F.col("end"), F.col("ord")]
+    return IV.resolve_rows(rows, "doc_id", rank).selectExpr(*SPAN_COLS)
+
+
+MODELS_SQL = O.sql(
+    [O.CORPUS, O.folded()] + O.detector_ctes("vehicles", 0),
+    f"SELECT {SPAN_SQL} FROM d_vehicles WHERE pat >= 1000",
+)
+
+
+@query("d3_models_beside_brand_rows", MODELS_SQL)
+def d3_rows(spark, sf_dir):
+    """The same as a join of span tables over bins."""
+    docs = C.corpus(spark, sf_dir)
+    models = numbered_spans(docs, F.expr(D.vehicle_models("scan")))
+    brands = numbered_spans(docs, F.expr(D.vehicle_brands("scan")))
+    return IV.free_rows(models, brands, "doc_id", [F.col("ord")]).selectExpr(*SPAN_COLS)
+
+
+@query("d3_models_beside_brands", MODELS_SQL)
 def d3(spark, sf_dir):
     expr = S.keep_free(F.expr(D.vehicle_models("scan")), F.expr(D.vehicle_brands("scan")))
     return span_table(C.corpus(spark, sf_dir), expr).selectExpr(*SPAN_COLS)
 
 
-@query(
-    "d4_entities_beside_patterns",
-    O.sql(
-        hybrid_sql(),
-        "SELECT doc_id, s AS span_start, e AS span_end, category, v AS value FROM extra",
-    ),
+BESIDE_SQL = O.sql(
+    hybrid_sql(), "SELECT doc_id, s AS span_start, e AS span_end, category, v AS value FROM extra"
 )
+
+
+@query("d4_entities_beside_pattern_rows", BESIDE_SQL)
+def d4_rows(spark, sf_dir):
+    """The same as a join of span tables over bins."""
+    docs = C.corpus(spark, sf_dir)
+    joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
+    entities = numbered_spans(joined, X.plausible_entities(F.col("text"), F.col("external")))
+    patterns = numbered_spans(docs, D.detect("scan", D.HYBRID_ORDER))
+    return IV.free_rows(entities, patterns, "doc_id", [F.col("ord")]).select(
+        "doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "category", "value"
+    )
+
+
+@query("d4_entities_beside_patterns", BESIDE_SQL)
 def d4(spark, sf_dir):
     docs = C.corpus(spark, sf_dir)
     joined = X.attach_external(docs, external_spans(docs, NER_WORDS))
