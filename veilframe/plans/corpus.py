@@ -47,7 +47,7 @@ CASE_LINES = (
     f"'88.11.07-', {_digits(f'{_K} % 900 + 100', 3)}, '.45 en rijksregisternummer 88110712', {_digits(f'{_K} % 900 + 100', 3)}, ', KL 21 43 65 D, Y-7654321-B'",
     f"'Rijdt ', {_pick('een Fiat Ducato|een Fiat Mini Cooper|de Sprinter|een BMW X5|Mercedes-Benz Vito|een Renault Trucks T', f'{_K} * 11')}, ' over de N', cast({_K} % 900 + 1 as string), ' en e40'",
     f"'via de Kampweg richting ', {CITY}, ', naar Vosselaar, t.h.v. ', {TOWN}, ' 2990, op de Grote Markt'",
-    f"{_pick('Stationstraat|Koningin Astridlaan|Kampweg|Hauptstrasse', _K)}, ' ', cast({_K} % 90 + 1 as string), ', 9', {_digits(f'{_K} % 1000', 3)}, ' ', {CITY}, ', 4321 KL ', {CITY}",
+    f"{_pick('Stationstraat|Koningin Mirandalaan|Kampweg|Hauptstrasse', _K)}, ' ', cast({_K} % 90 + 1 as string), ', 9', {_digits(f'{_K} % 1000', 3)}, ' ', {CITY}, ', 4321 KL ', {CITY}",
     f"cast({_K} % 90 + 1 as string), ' High Street, ', cast({_K} % 50 + 1 as string), ' rue de la Paix, 75001 Saint-Denis, Springfield, IL 62704, SW1A 1AA'",
     f"'vader van VAN', {NL}, '{{caps}} ', {FIRST}, ', zoon Jean-Pierre ', {LAST}, ' en von der ', {LAST}, ' en ', {FIRST}, ' {{caps}} en O''Neill en VAN EERSTE AANLEG'",
     f"'VANDERHEYDEN ', {FIRST}, ' geboren te Gent; KLAASSEN Nationaliteit Belg; Mika Toru Vana PERSON_', {_digits(f'{_K} % 1000', 3)}, ' en ORG_001s ID_12 PERSON_10000'",

@@ -18,6 +18,7 @@ from veilframe.functions.arrays import explode_structs, let
 from veilframe.functions.text import join_broken_names
 from veilframe.operators import decode as DE
 from veilframe.operators import detectors as D
+from veilframe.operators import dictionary as DI
 from veilframe.operators import encode as EN
 from veilframe.operators import entities as E
 from veilframe.operators import external as X
@@ -543,6 +544,33 @@ for _name, _detector in (
     detector_query(_name, _detector)
 
 
+def dictionary_sql(detector: str) -> str:
+    return O.sql(
+        [O.CORPUS, O.folded()] + O.detector_ctes(detector, 0),
+        f"SELECT DISTINCT doc_id, s AS span_start, e AS span_end, category, confidence, value FROM d_{detector}",
+    )
+
+
+def dictionary_spans(spark, sf_dir, names, category: str, confidence: float, tail: str = "") -> DataFrame:
+    """Spans of a dictionary that is a table."""
+    table = spark.createDataFrame([(n,) for n in names], "name string")
+    found = DI.find_names(C.corpus(spark, sf_dir), table, tail=tail)
+    return found.select(
+        "doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"),
+        F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), "value",
+    ).distinct()
+
+
+@query("c7_gazetteer_table", dictionary_sql("gazetteer_places"))
+def c7_table(spark, sf_dir):
+    return dictionary_spans(spark, sf_dir, R.KNOWN_PLACES, "PLACE", 0.95)
+
+
+@query("c14a_brand_table", dictionary_sql("vehicle_brands"))
+def c14a_table(spark, sf_dir):
+    return dictionary_spans(spark, sf_dir, R.VEHICLE_BRANDS, "VEHICLE", 0.92, R.BRAND_TAIL)
+
+
 @query(
     "c6b_bsn_check",
     f"""SELECT c_custkey, v AS value, ({O.BSN}) % 11 = 0 AS valid FROM (
