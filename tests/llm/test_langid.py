@@ -27,7 +27,7 @@ def test_forward_and_expected_counts():
     (got,) = L.log_likelihoods([word[1:]], L.Model(("x", "y"), {k: (v, v / 2) for k, v in p.items()}))
     assert got[0] == pytest.approx(math.log(plain_sum(word, p)))
     assert got[1] == pytest.approx(math.log(plain_sum(word, {k: v / 2 for k, v in p.items()})))
-    counts = L.expected_counts(word[1:], p)
+    counts = L.expected_counts(word[1:], p, 2)
     many = [word[1:], "b", "zab", "ab", "aabb"]
     for w, line in zip(many, L.log_likelihoods(many, L.Model(("x",), {k: (v,) for k, v in p.items()}))):
         assert line[0] == pytest.approx(math.log(plain_sum("▁" + w, p)))
@@ -38,6 +38,57 @@ def test_forward_and_expected_counts():
         assert counts.get(piece, 0.0) == pytest.approx((math.log(more) - got[0]) / step, abs=1e-3)
 
 
+def plain_log(word, probability, longest):
+    """Logarithm of the same sum, place by place, in logarithms."""
+    word = L.START + word
+    ahead = [0.0] + [-math.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        ways = []
+        for i in range(max(0, j - longest), j):
+            p = probability.get(word[i:j], L.UNKNOWN if j == i + 1 else 0.0)
+            if p:
+                ways.append(ahead[i] + math.log(p))
+        top = max(ways)
+        ahead[j] = top + math.log(sum(math.exp(w - top) for w in ways))
+    return ahead[-1]
+
+
+def test_long_words_are_summed_whole():
+    p = {"a": 0.2, "b": 1e-7, "ab": 0.3, "▁": 0.05, "aab": 0.2, "cababcab": 1e-9}
+    model = L.Model(("x", "y"), {k: (v, v / 3) for k, v in p.items()})
+    for word in ("z" * 500, "abcab" * 40, "aab" * 11, "cababcab" * 300, "é" * 17, "b" * 2000):
+        (line,) = L.log_likelihoods([word], model)
+        assert line[0] == pytest.approx(plain_log(word, p, 8), rel=1e-9)
+        assert line[1] == pytest.approx(plain_log(word, {k: v / 3 for k, v in p.items()}, 8), rel=1e-9)
+        counts = L.expected_counts(word, p, 8)
+        assert sum(len(k) * v for k, v in counts.items()) == pytest.approx(len(word) + 1)
+    (line,) = L.log_likelihoods(["b" * 30_000], model)
+    assert math.isfinite(line[0])
+
+
+def test_query_matches_plain_sums(spark):
+    """Every prediction over the whole table, by sums of one word after another."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    model = L.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    tables = [{p: v[i] for p, v in model.pieces.items()} for i in range(len(model.languages))]
+    known = {}
+    got = {r.doc_id: r for r in QUERIES["op6_language"].run(spark, folder).collect()}
+    for r in docs.collect():
+        sums = [0.0] * len(tables)
+        words = L.LETTERS.findall((r.text or "").lower())
+        for w in words:
+            if w not in known:
+                known[w] = [plain_log(w, t, model.longest) for t in tables]
+            sums = [a + b for a, b in zip(sums, known[w])]
+        if not words:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        best = max(range(len(sums)), key=lambda i: sums[i])
+        assert got[r.doc_id].lang_pred == model.languages[best]
+        assert got[r.doc_id].score == pytest.approx(1 / sum(math.exp(s - sums[best]) for s in sums), abs=1e-6)
+
+
 def test_query_on_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = QUERIES["op6_language"].run(spark, DATA).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -7,8 +7,9 @@ probabilities are fitted by expectation-maximisation on the words of a bounded s
 of labelled documents (about ``TRAIN_DOCS`` a language, by hash, whole texts); the
 expected counts are gathered from the executors, a row a piece and language at most.
 
-Words are runs of letters, lower-cased; words of more than ``WORD_CHARS`` letters are
-cut there.  A letter that no piece covers has one probability in all languages.
+Words are runs of letters, lower-cased, of any length: sums that would grow too small
+for a number are scaled up every ``SCALED`` letters and their logarithms kept.  A letter
+that no piece covers has one probability in all languages.
 
 * A null text, or one without a letter, is ``und`` with score 0, and so is everything
   when nothing was learned.  Ties go to the first language by name.  Null languages and
@@ -36,7 +37,9 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import checked_broadcast, written
 
+#: Vocabulary file, if the session does not name another by ``VOCABULARY_SETTING``.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY_SETTING = "spark.veilframe.vocabulary"
 TRAIN_DOCS = 600
 TRAIN_SEED = 6
 ROUNDS = 2
@@ -46,26 +49,19 @@ NONE = "und"
 
 START = "▁"  # marks the begin of a word in the vocabulary
 LETTERS = re.compile(r"[^\W\d_]+")
-WORD_CHARS = 32
-PIECE_CHARS = 16
+#: Letters between two scalings: even unknown ones are far from the smallest number.
+SCALED = 16
 #: Pieces used less often than this, on average and in every language, are dropped from
 #: the model; single letters stay.
 LEAST_USES = 2.0
 #: Words whose likelihoods a worker keeps, and texts it looks at together.
 CACHE = 400_000
 TEXTS = 500
-#: Of a word whose likelihood is too small for a number.
-LEAST = 1e-300
 
 
 def words_of(text: str | None) -> Counter[str]:
     """The words of a text with their numbers."""
-    found = Counter(LETTERS.findall((text or "").lower()))
-    for word in [w for w in found if len(w) > WORD_CHARS]:
-        n = found.pop(word)
-        for i in range(0, len(word), WORD_CHARS):
-            found[word[i : i + WORD_CHARS]] += n
-    return found
+    return Counter(LETTERS.findall((text or "").lower()))
 
 
 def read_pieces(path: str = VOCABULARY) -> list[str]:
@@ -75,7 +71,7 @@ def read_pieces(path: str = VOCABULARY) -> list[str]:
         for i in range(model.get_piece_size())
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
     )
-    return sorted({p for p in usable if len(p) <= PIECE_CHARS and LETTERS.fullmatch(p.lstrip(START) or "a")})
+    return sorted({p for p in usable if LETTERS.fullmatch(p.lstrip(START) or "a")})
 
 
 @dataclass(frozen=True)
@@ -105,26 +101,48 @@ class Model:
 # --- one word --------------------------------------------------------------------------
 
 
-def expected_counts(word: str, probability: dict[str, float]) -> dict[str, float]:
+def expected_counts(word: str, probability: dict[str, float], longest: int) -> dict[str, float]:
     """How often each piece is used, on average over the segmentations of the word."""
     word = START + word
     n = len(word)
-    ahead = [1.0] + [0.0] * n
-    arcs = []
-    for i in range(n):
-        for j in range(i + 1, min(n, i + PIECE_CHARS) + 1):
-            p = probability.get(word[i:j], UNKNOWN if j == i + 1 else 0.0)
-            if p:
-                ahead[j] += ahead[i] * p
-                arcs.append((i, j, p))
-    back = [0.0] * n + [1.0]
+    arcs = [
+        [(j, p) for j in range(i + 1, min(n, i + longest) + 1)
+         if (p := probability.get(word[i:j], UNKNOWN if j == i + 1 else 0.0))]
+        for i in range(n)
+    ]
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i, some in enumerate(arcs):
+        for j, p in some:
+            into[j].append((i, p))
+    # Sums over what leads to each place and away from it, and the logarithm of their scale.
+    ahead, ahead_scale = _scaled_sums(range(n + 1), arcs, 0, longest)
+    back, back_scale = _scaled_sums(range(n, -1, -1), into, n, longest)
+    total = math.log(ahead[n]) + ahead_scale[n]
     out: dict[str, float] = defaultdict(float)
-    for i, j, p in reversed(arcs):
-        back[i] += p * back[j]
-        out[word[i:j]] += ahead[i] * p * back[j] / ahead[n]
+    for i, some in enumerate(arcs):
+        for j, p in some:
+            out[word[i:j]] += ahead[i] * p * back[j] * math.exp(ahead_scale[i] + back_scale[j] - total)
     return out
 
 
+def _scaled_sums(order: range, arcs: list, first: int, longest: int) -> tuple[list[float], list[float]]:
+    """Sums of products over the paths from ``first`` along ``arcs``, visited in order."""
+    n = len(order)
+    sums, scales, scale = [0.0] * n, [0.0] * n, 0.0
+    sums[first] = 1.0
+    for visited, i in enumerate(order):
+        if visited and visited % SCALED == 0:
+            unit = sums[i]
+            scale += math.log(unit)
+            for k in order[visited : visited + longest + 1]:
+                sums[k] /= unit
+        scales[i] = scale
+        if i < len(arcs):
+            for j, p in arcs[i]:
+                sums[j] += sums[i] * p
+    return sums, scales
+
+
 def log_likelihoods(words: list[str], model: Model) -> np.ndarray:
     """Of each word in each language: words of one length go forward together."""
     out = np.empty((len(words), len(model.languages)))
@@ -136,7 +154,12 @@ def log_likelihoods(words: list[str], model: Model) -> np.ndarray:
         marked = [START + words[i] for i in members]
         ahead = np.zeros((n + 1, len(members), len(model.languages)))
         ahead[0] = 1.0
+        scale = np.zeros(ahead.shape[1:])
         for i in range(n):
+            if i and i % SCALED == 0:
+                unit = ahead[i].copy()
+                scale += np.log(unit)
+                ahead[i : i + model.longest + 1] /= unit
             for j in range(i + 1, min(n, i + model.longest) + 1):
                 cut = map(itemgetter(slice(i, j)), marked)
                 none = unknown if j == i + 1 else unknown + 1
@@ -145,7 +168,7 @@ def log_likelihoods(words: list[str], model: Model) -> np.ndarray:
                     ahead[j] += ahead[i] * model.table[line]
                 elif len(hits := np.flatnonzero(line <= unknown)):
                     ahead[j, hits] += ahead[i, hits] * model.table[line[hits]]
-        out[members] = np.log(np.maximum(ahead[n], LEAST))
+        out[members] = np.log(ahead[n]) + scale
     return out
 
 
@@ -171,12 +194,16 @@ def training_words(labelled: DataFrame, most_docs: int = TRAIN_DOCS) -> DataFram
     return written(each.groupBy("lang", "word").agg(F.sum("n").alias("n")), "training-words")
 
 
-def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, most_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
-    """``labelled`` has doc_id, lang and text; rows without a language are left out."""
+def fit(
+    labelled: DataFrame, vocabulary: str | None = None, most_docs: int = TRAIN_DOCS, rounds: int = ROUNDS
+) -> Model:
+    """``labelled`` has doc_id, lang and text; rows without a language are left out.  The
+    vocabulary file is read by the driver alone."""
     labelled = labelled.select("doc_id", "lang", "text").where("lang IS NOT NULL")
     words = training_words(labelled, most_docs)
-    pieces = read_pieces(vocabulary)
     spark = labelled.sparkSession
+    pieces = read_pieces(vocabulary or spark.conf.get(VOCABULARY_SETTING, VOCABULARY))
+    longest = max(map(len, pieces), default=1)
     tables: dict[str, dict[str, float]] = {}
     flat = {p: 1.0 / len(pieces) for p in pieces}
     for _ in range(rounds):
@@ -187,7 +214,7 @@ def fit(labelled: DataFrame, vocabulary: str = VOCABULARY, most_docs: int = TRAI
             sums: dict[tuple[str, str], float] = defaultdict(float)
             for batch in batches:
                 for lang, word, n in zip(batch["lang"], batch["word"], batch["n"]):
-                    for piece, x in expected_counts(word, known.get(lang, first)).items():
+                    for piece, x in expected_counts(word, known.get(lang, first), longest).items():
                         sums[lang, piece] += n * x
             rows = [(lang, piece, x) for (lang, piece), x in sums.items() if piece in first]
             yield pd.DataFrame(rows, columns=["lang", "piece", "n"])
