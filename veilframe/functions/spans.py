@@ -73,13 +73,17 @@ def bind(value: str, name: str, body: str) -> str:
 STRETCH = 512
 
 
-def _read_marks(rule: str, marked: str) -> str:
-    """Marked text to hits: walk over gap, lead, value, trail, gap, ...
-
-    The text is cut once.  Each stretch of pieces is walked on its own, from the sum of
-    the lengths before it, so that growing the list of hits stays cheap."""
+def _read_marks(copies: str) -> str:
+    """Marked texts, one a rule, to hits: walk over gap, lead, value, trail, gap, ...  A
+    text that is null or holds no mark has none.
+
+    A text is cut once.  Each stretch of pieces is walked on its own, from the sum of the
+    lengths before it, so that growing the list of hits stays cheap.  There are as few
+    lambdas as can be: the analyzer takes some rounds for each that waits for another, and
+    may take a hundred."""
+    cut = f"transform({copies}, marked -> if(contains(marked, '{MARK}'), split(marked, '{MARK}', -1), NULL))"
     hit = (
-        f"named_struct('rule', {rule}, 'lead', acc.lead, 'start', acc.start, "
+        "named_struct('rule', rule, 'lead', acc.lead, 'start', acc.start, "
         "'end', acc.start + length(acc.value), 'stop', acc.pos + length(piece), "
         "'value', acc.value)"
     )
@@ -98,25 +102,16 @@ def _read_marks(rule: str, marked: str) -> str:
             "acc -> acc.hits)"
         )
 
-    sizes = "aggregate(stretch, 0, (n, piece) -> n + length(piece))"
-    begins = (
-        "aggregate(slice(stretches, 1, size(stretches) - 1), array(0), (begins, stretch) -> "
-        f"array_append(begins, element_at(begins, -1) + {sizes}))"
-    )
-    long_text = bind(
-        f"transform(sequence(0, (size(pieces) - 2) div {STRETCH}), "
-        f"i -> slice(pieces, i * {STRETCH} + 1, {STRETCH}))",
-        "stretches",
-        bind(
-            begins,
-            "begins",
-            f"flatten(transform(stretches, (stretch, i) -> {walked('stretch', 'begins[i]')}))",
-        ),
+    stretch = f"slice(pieces, i * {STRETCH} + 1, {STRETCH})"
+    in_stretches = (
+        f"aggregate(sequence(0, (size(pieces) - 2) div {STRETCH}), "
+        f"named_struct('pos', 0, 'out', cast(array() AS array<array<{HIT_TYPE}>>)), (sofar, i) -> named_struct("
+        f"'pos', sofar.pos + length(array_join({stretch}, '')), "
+        f"'out', array_append(sofar.out, {walked(stretch, 'sofar.pos')})), sofar -> flatten(sofar.out))"
     )
-    return bind(
-        f"split({marked}, '{MARK}', -1)",
-        "pieces",
-        f"if(size(pieces) <= {STRETCH} + 1, {walked('pieces', '0')}, {long_text})",
+    return (
+        f"flatten(transform({cut}, (pieces, rule) -> CASE WHEN pieces IS NULL THEN {NO_HITS} "
+        f"WHEN size(pieces) <= {STRETCH} + 1 THEN {walked('pieces', '0')} ELSE {in_stretches} END))"
     )
 
 
@@ -140,13 +135,7 @@ def scan(text: str, rules: Sequence[Rule], gate: str | None = None) -> str:
             replaced = f"if(need_{shared.index(rule.needs_regex)}, {replaced}, {text})"
         return replaced
 
-    copies = ", ".join(
-        f"named_struct('rule', {i}, 'marked', {copy(r)})" for i, r in enumerate(rules)
-    )
-    hits = (
-        f"flatten(transform(array({copies}), c -> if(contains(c.marked, '{MARK}'), "
-        f"{_read_marks('c.rule', 'c.marked')}, {NO_HITS})))"
-    )
+    hits = _read_marks(f"array({', '.join(copy(r) for r in rules)})")
     for i, regex in enumerate(shared):
         hits = bind(f"{text} RLIKE {literal('(?U)' + regex)}", f"need_{i}", hits)
     return hits if gate is None else f"if({gate}, {hits}, {NO_HITS})"
@@ -170,15 +159,12 @@ def scan_names(
     keys = [_longest_word(n) for n in ordered]
     # A constant pattern each, which the JVM compiles once.
     marked = ", ".join(
-        f"named_struct('rule', {i}, 'marked', if(array_contains(present, {literal(k)}), "
-        f"regexp_replace({text}, {literal(name_regex(n, tail))}, {literal(MARKED_MATCH)}), NULL))"
-        for i, (n, k) in enumerate(zip(ordered, keys))
+        f"if(array_contains(present, {literal(k)}), "
+        f"regexp_replace({text}, {literal(name_regex(n, tail))}, {literal(MARKED_MATCH)}), NULL)"
+        for n, k in zip(ordered, keys)
     )
     present = f"array_distinct(filter({words or words_of(text)}, w -> w IN ({literals(sorted(set(keys)))})))"
-    search = (
-        f"flatten(transform(filter(array({marked}), t -> t.marked IS NOT NULL), "
-        f"t -> {_read_marks('t.rule', 't.marked')}))"
-    )
+    search = _read_marks(f"array({marked})")
     return bind(present, "present", f"if(size(present) = 0, {NO_HITS}, {search})")
 
 

@@ -217,11 +217,7 @@ def _names_at_run_ends(
         "slice(words, k + 1, size(words))), ' ')"
     )
     end = "(h.start + length(trimmed))"
-    found = bind(
-        f"length({name})",
-        "len",
-        f"array({_hit(f'{end} - len', end, 'right(trimmed, len)')})",
-    )
+    found = f"array({_hit(f'{end} - length({name})', end, f'right(trimmed, length({name}))')})"
     from_start = bind(
         f"array_min(filter(sequence(1, size(words)), i -> {heads}))",
         "k",
@@ -298,18 +294,15 @@ def names_by_context(text: str) -> str:
     """Names before a birth date, capital names before a follow-up, and names
     before an existing placeholder."""
     free = f"NOT exists(dated, d -> {S.OVERLAP_SQL.format('s', 'd')})"
-    new = f"NOT exists(both, d -> {S.SAME_PLACE_SQL.format('s', 'd')})"
+    same = S.SAME_PLACE_SQL.format("s", "d")
+    new = f"NOT exists(dated, d -> {same}) AND NOT exists(caps, d -> {same})"
     return bind(
         names_before_date(text),
         "dated",
         bind(
             f"filter({caps_names(text)}, s -> {free})",
             "caps",
-            bind(
-                "concat(dated, caps)",
-                "both",
-                f"concat(both, filter({names_before_placeholder(text)}, s -> {new}))",
-            ),
+            f"concat(dated, caps, filter({names_before_placeholder(text)}, s -> {new}))",
         ),
     )
 

@@ -21,6 +21,9 @@ from veilframe.operators import pieces as PC
 from veilframe.operators.reports import legend_text_in_row, legend_text
 from veilframe.session import ROW, cut_lineage, pin_rows
 
+#: Flag of the texts that are scanned in pieces.
+LARGE = "_large_text"
+
 BACKENDS = ("hybrid", "patterns", "spacy", "presidio", "gliner", "auto")
 
 
@@ -227,17 +230,20 @@ def encode_corpus(
         raise ValueError("a mapping is extended together with its surface forms: forms=")
     if external is not None:
         docs, external = X.attach_external(docs, external), None
-    docs = pin_rows(docs)
-    keys = ["doc_id", ROW]
     # Spans of models may cross any cut, so texts that have some are scanned whole.
     in_pieces = "external" not in docs.columns and resolve_backend(backend) in ("patterns", "hybrid")
-    large = is_large(F.col("text")) if in_pieces else F.lit(False)
-    found = prepared_spans(docs.where(~large), backend, external, skip_already_masked, **options)
-    found = found.select(*keys, "spans")
+    docs = pin_rows(docs.withColumn(LARGE, is_large(F.col("text")) & F.lit(in_pieces)))
+    keys = ["doc_id", ROW]
     texts = docs.withColumn("text", join_broken_names(F.col("text")))
-    if in_pieces:
-        parts = spans_in_pieces(texts.where(large), keys, backend, skip_already_masked)
-        found = found.unionByName(parts.drop("piece"))
+    # The pinned table is asked for its column of flags alone.
+    if docs.where(LARGE).select(LARGE).isEmpty():
+        found = prepared_spans(docs, backend, external, skip_already_masked, **options)
+        found = found.select(*keys, "spans")
+    else:
+        small = docs.where(f"NOT {LARGE}")
+        found = prepared_spans(small, backend, external, skip_already_masked, **options)
+        parts = spans_in_pieces(texts.where(LARGE), keys, backend, skip_already_masked)
+        found = found.select(*keys, "spans").unionByName(parts.drop("piece"))
     spans = cut_lineage(
         E.with_key(
             explode_structs(found, keys, "spans").select(
@@ -265,7 +271,7 @@ def encode_corpus(
             "end",
             apply(F.col("value"), F.col("category")).alias("replacement"),
         )
-    sanitized = apply_edits(texts, named).drop(ROW, "external")
+    sanitized = apply_edits(texts, named).drop(ROW, LARGE, "external")
     if legend:
         sanitized = sanitized.crossJoin(F.broadcast(legend_text(full))).withColumn(
             "sanitized", F.concat("legend", "sanitized")
