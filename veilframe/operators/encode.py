@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +21,9 @@ from veilframe.operators import pieces as PC
 from veilframe.operators.reports import legend_text_in_row, legend_text
 from veilframe.session import ROW, cut_lineage, pin_rows
 
+if TYPE_CHECKING:
+    from veilframe.sources.store import MappingStore
+
 #: Flag of the texts that are scanned in pieces.
 LARGE = "_large_text"
 
@@ -215,6 +218,9 @@ def encode_corpus(
     skip_already_masked: bool = True,
     legend: bool = False,
     strategy_options: dict[str, Any] | None = None,
+    store: MappingStore | None = None,
+    writer: str | None = None,
+    batch: int | None = None,
     **options: Any,
 ) -> Encoded:
     """Encode documents with one shared mapping, new or extended.
@@ -224,10 +230,16 @@ def encode_corpus(
     them.  The texts move once, by row, to meet their edits.  A ``mapping`` needs the
     surface forms it was built from (``E.stored_forms`` for stored entries).  Texts above
     two pieces are scanned by many tasks.
+
+    With a ``store`` the mapping is the stored one: only the buckets of these documents'
+    keys are read, what they add is committed, and the result holds the entries of their
+    keys.  ``writer`` and ``batch`` name a batch that may come again.
     """
     apply = strategy_fn(strategy, **(strategy_options or {}))
     if mapping is not None and forms is None:
         raise ValueError("a mapping is extended together with its surface forms: forms=")
+    if mapping is not None and store is not None:
+        raise ValueError("either a mapping or a store")
     if external is not None:
         docs, external = X.attach_external(docs, external), None
     # Spans of models may cross any cut, so texts that have some are scanned whole.
@@ -252,7 +264,9 @@ def encode_corpus(
         )
     )
     batch_forms = cut_lineage(E.surface_forms(spans, row=ROW))
-    if mapping is None:
+    if store is not None:
+        full, full_forms = store.extend(batch_forms, writer, batch)
+    elif mapping is None:
         full = cut_lineage(E.number_entities(E.entities(batch_forms)))
         full_forms = E.placed_forms(batch_forms, full)
     else:

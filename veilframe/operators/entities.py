@@ -296,7 +296,10 @@ def placed_forms(forms: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def extend_mapping(
-    mapping: DataFrame, forms: DataFrame, known_forms: DataFrame
+    mapping: DataFrame,
+    forms: DataFrame,
+    known_forms: DataFrame,
+    top: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Grow a mapping by a batch: known keys keep their placeholder and gain
     occurrences, new keys are numbered after the highest number in use.
@@ -305,10 +308,12 @@ def extend_mapping(
     entries, ``known_forms`` from the same place (``stored_forms`` of entries); of
     stored entries that share a key only the look-up one is matched.  Returns the
     mapping and its surface forms; entries the batch does not touch, and their
-    forms, come back as they were.
+    forms, come back as they were.  ``top(category, max_num)`` gives the highest numbers
+    in use where ``mapping`` is a part of all entries.
     """
     batch = entities(forms)
-    top = mapping.groupBy("category").agg(F.max("num").alias("max_num"))
+    if top is None:
+        top = mapping.groupBy("category").agg(F.max("num").alias("max_num"))
     lookups = mapping.where("is_lookup")
     fresh = number_entities(batch.join(lookups.select("norm_key"), "norm_key", "left_anti"), top)
     seen = batch.select("norm_key", F.col("occurrences").alias("more"))

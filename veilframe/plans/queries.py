@@ -33,7 +33,8 @@ from veilframe.sources import files as SF
 from veilframe.sources import jobs as J
 from veilframe.sources import mapping_json as MJ
 from veilframe.sources import sinks as SK
-from veilframe.streaming.encode import encode_batches, encode_stream
+from veilframe.sources.store import MappingStore
+from veilframe.streaming.encode import encode_batches, encode_into_store, encode_stream
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -1089,6 +1090,29 @@ def e7(spark, sf_dir):
     )
 
 
+@query(
+    "e7_mapping_store",
+    O.sql(
+        CORPUS_ENCODED,
+        """SELECT e.norm_key, category, num, placeholder, canonical, occurrences, n_variations, n_forms
+        FROM ents e JOIN (SELECT norm_key, count(DISTINCT value) AS n_forms FROM keyed GROUP BY ALL) USING (norm_key)""",
+    ),
+)
+def e7_store(spark, sf_dir):
+    """The documents, then the case files, by a store that each batch reads in part; the
+    case files come twice, the second time without effect."""
+    store = MappingStore(spark, scratch_path(spark, "store"))
+    for i, docs in enumerate((C.documents(spark, sf_dir), C.case_files(spark, sf_dir))):
+        batch = cut_lineage(E.surface_forms(kept_spans(docs)))
+        for _ in range(i + 1):
+            store.extend(batch, "corpus", i)
+    forms = store.forms().groupBy("placeholder").agg(F.count(F.lit(1)).alias("n_forms"))
+    return store.mapping().join(forms, "placeholder").select(
+        "norm_key", "category", "num", "placeholder", "canonical", "occurrences", "n_variations",
+        "n_forms",
+    )
+
+
 @query(
     "e8_get_original",
     O.sql(
@@ -1682,7 +1706,26 @@ def l1(spark, sf_dir):
 def l2(spark, sf_dir):
     """Documents first, then case files: micro-batches share one mapping that grows."""
     out = scratch_path(spark, "stream")
-    step = encode_batches(spark, f"{out}/state", f"{out}/data")
+    return replaced_stream(spark, sf_dir, out, encode_batches(spark, f"{out}/state", f"{out}/data"))
+
+
+@query(
+    "l2_stream_store",
+    O.sql(
+        O.encoded(False, D.HYBRID_ORDER) + [O.REPLACED, O.rewritten("prepared", "edits")],
+        "SELECT doc_id, sanitized FROM rewritten",
+    ),
+)
+def l2_store(spark, sf_dir):
+    """The same by a stored mapping, of which a micro-batch reads the buckets of its keys."""
+    out = scratch_path(spark, "stream")
+    store = MappingStore(spark, f"{out}/store")
+    return replaced_stream(spark, sf_dir, out, encode_into_store(store, f"{out}/data", "corpus"))
+
+
+def replaced_stream(
+    spark: SparkSession, sf_dir: str, out: str, step: Callable[[DataFrame, int], None]
+) -> DataFrame:
     for texts in (C.documents(spark, sf_dir), C.case_files(spark, sf_dir)):
         texts.write.mode("append").parquet(f"{out}/in")
         (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import entities as E
 from veilframe.operators.encode import encode, encode_corpus
+from veilframe.sources.store import MappingStore
 
 
 def encode_stream(docs: DataFrame, strategy: str = "redact", **options: Any) -> DataFrame:
@@ -92,3 +93,23 @@ def encode_batches(
                 drop_versions(batch.sparkSession, f"{state_path}/{kind}", batch_id - SNAPSHOT)
 
     return run
+
+
+def encode_into_store(
+    store: MappingStore, output_path: str, writer: str, **options: Any
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function that replaces by a stored mapping, which other streams
+    and batches may extend at the same time.
+
+    ``writer`` names the stream, for good.  A micro-batch reads and writes the buckets of
+    its keys only.  One that is run again finds its keys in the store: it gets the same
+    placeholders and overwrites its output with the same content.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        result = encode_corpus(batch, store=store, writer=writer, batch=batch_id, **options)
+        result.documents.select("doc_id", "sanitized").withColumn(
+            "batch_id", F.lit(batch_id)
+        ).write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+
+    return run
