@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
@@ -84,6 +84,39 @@ def spans_from_model(
     return docs.withColumn("external", found(F.col("text")))
 
 
+def register_model(
+    spark: SparkSession, name: str, load: Callable[[], Callable[[str], list[dict]]]
+) -> None:
+    """Register a model as a table function for SQL.
+
+    ``name(text, offset)`` returns a row ``start, end, label, score, lang`` for each span,
+    moved by ``offset``; with chunks of the texts and where each begins::
+
+        SELECT c.doc_id, m.* FROM chunks c, LATERAL name(c.text, c.chunk_start) m
+
+    gives a table of external spans, and the model never sees more than a chunk.  ``load``
+    is called when a task meets its first text, as in ``spans_from_model``; null and empty
+    texts have no spans, a null offset counts as 0.
+    """
+    fields = ("label", "score", "lang")
+
+    @F.udtf(returnType="start int, end int, label string, score double, lang string")
+    class ModelSpans:
+        def __init__(self) -> None:
+            self.predict = None
+
+        def eval(self, text: str | None, offset: int | None) -> Iterator[tuple]:
+            if not text:
+                return
+            if self.predict is None:
+                self.predict = load()
+            for hit in self.predict(text):
+                shift = offset or 0
+                yield (hit["start"] + shift, hit["end"] + shift, *(hit.get(f) for f in fields))
+
+    spark.udtf.register(name, ModelSpans)
+
+
 def label_category(
     label: Column, table: Mapping[str, str], default: str | None = None
 ) -> Column:

@@ -1101,7 +1101,7 @@ def e7(spark, sf_dir):
 def e7_store(spark, sf_dir):
     """The documents, then the case files, by a store that each batch reads in part; the
     case files come twice, the second time without effect."""
-    store = MappingStore(spark, scratch_path(spark, "store"))
+    store = MappingStore(spark, scratch_path(spark, "store"), n_buckets=16)
     for i, docs in enumerate((C.documents(spark, sf_dir), C.case_files(spark, sf_dir))):
         batch = cut_lineage(E.surface_forms(kept_spans(docs)))
         for _ in range(i + 1):
@@ -1654,6 +1654,24 @@ def k2(spark, sf_dir):
     return EN.span_rows(EN.detect_spans(docs, "spacy")).selectExpr(*SPAN_COLS)
 
 
+@query(
+    "k2_udtf",
+    O.sql(
+        [O.CORPUS, O.folded(), O.marked("x", EXTERNAL_RULES[:1]), O.positions("x")],
+        "SELECT doc_id, s AS span_start, e AS span_end, 'PERSON' AS category, cast(0.9 AS DOUBLE) AS confidence, v AS value FROM x_v",
+    ),
+)
+def k2_udtf(spark, sf_dir):
+    """The same model as a table function that SQL calls for each chunk of each text."""
+    docs = C.corpus(spark, sf_dir)
+    X.register_model(spark, "word_model", load_word_model)
+    P.paragraph_chunks(docs).createOrReplaceTempView("k2_chunks")
+    found = spark.sql(
+        """SELECT c.doc_id, m.* FROM k2_chunks c, LATERAL word_model(c.text, c.chunk_start) m"""
+    )
+    return EN.span_rows(EN.detect_spans(docs, "spacy", found)).selectExpr(*SPAN_COLS)
+
+
 # --- L: streams ---------------------------------------------------------------------------------
 
 
@@ -1719,7 +1737,7 @@ def l2(spark, sf_dir):
 def l2_store(spark, sf_dir):
     """The same by a stored mapping, of which a micro-batch reads the buckets of its keys."""
     out = scratch_path(spark, "stream")
-    store = MappingStore(spark, f"{out}/store")
+    store = MappingStore(spark, f"{out}/store", n_buckets=16)
     return replaced_stream(spark, sf_dir, out, encode_into_store(store, f"{out}/data", "corpus"))
 
 
