@@ -3,7 +3,8 @@
 ``FAMILIES``: label, title, identifiers, address, as written in notices.  Each gives a
 rule for its title, for a grant that names the title, for its identifier after a tag,
 and for its address.  ``PHRASES``: label and a pattern from the license text or its
-usual notice.  A space in a title stands for any short gap between words.
+usual notice.  A space in a title stands for any short gap between words.  Signatures
+written one by one are in ``license_texts``.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from veilframe.llm.license_texts import EXCEPTIONS, NEGATIVES, SIGNATURES
+
 GAP = r"[^a-z0-9]{1,6}"
 VERSION = rf"(?:,?{GAP}(?:version|v\.?|ver\.?))?{GAP}?"
 
@@ -124,7 +127,7 @@ PHRASES = (
 
 @dataclass(frozen=True)
 class Rule:
-    label: str
+    label: str | None  # none: what lies inside is suppressed, and the match itself is no detection
     kind: str
     priority: int
     score: float
@@ -137,6 +140,11 @@ def gapped(words: str) -> str:
     return GAP.join(p.replace("license", "licen[cs]e") for p in parts)
 
 
+def spaced(body: str) -> str:
+    """A pattern in which each space stands for a gap."""
+    return body.replace(" ", f"(?:{GAP})")
+
+
 def titled(title: str) -> str:
     """A title; a number at its end may be led by ``version``, and by a point and zero."""
     *words, last = title.split()
@@ -156,7 +164,7 @@ def rules() -> list[Rule]:
     edge, after = r"(?<![a-z0-9])", r"(?![a-z0-9])"
     out = []
 
-    def add(label: str, kind: str, priority: int, score: float, word: str, body: str) -> None:
+    def add(label: str | None, kind: str, priority: int, score: float, word: str, body: str) -> None:
         out.append(Rule(label, kind, priority, score, word, re.compile(edge + body)))
 
     grant = rf"(?:licen[cs]ed|released|distributed|available|published|covered){GAP}(?:to you{GAP})?(?:under|by){GAP}(?:the{GAP}|a{GAP})?(?:terms{GAP}of{GAP})?(?:the{GAP})?"
@@ -169,6 +177,13 @@ def rules() -> list[Rule]:
         add(label, "address", 70, 0.9, address, re.escape(address))
     for label, words in PHRASES:
         add(label, "phrase", 80 if len(words.split()) > 5 else 10, 0.9 if label != "proprietary" else 0.6, max(words.split(), key=len), gapped(words) + after)
+    for label, word, body in SIGNATURES:
+        long = len(body.split()) > 5
+        add(label, "signature", 60 if long else 15, 0.9 if long else 0.7, word, spaced(body) + after)
+    for label, word, body in EXCEPTIONS:
+        add(label, "exception", 85, 0.9, word, spaced(body) + after)
+    for word, body in NEGATIVES:
+        add(None, "negative", 100, 0.0, word, spaced(body) + after)
     short = rf"cc{GAP}by(?:{GAP}(nc))?(?:{GAP}(sa|nd))?(?:{GAP}[1-4]\.0)?{after}"
     add("cc", "short", 40, 0.9, "cc", short)
     return out

@@ -2,8 +2,9 @@
 
 A text's keywords are found in one pass of an automaton; only rules whose keyword
 occurs are searched.  Detections are resolved in the order of priority, then length,
-then place: one that lies inside an accepted one is suppressed.  Fixed phrases are
-located beside the rules by words, and are never suppressed.
+then place (ties go by label): one that lies inside an accepted one is suppressed.  A
+negative rule (``is not licensed under ...``) suppresses and is no detection itself.  Fixed
+phrases are located beside the rules by words, and are never suppressed.
 
 Texts are compared with A-Z in lower case.  Words are runs of ASCII letters and digits
 and of anything beyond ASCII; places are word numbers from 0, spans are code points
@@ -57,11 +58,12 @@ class Scanner:
             for rule in self.by_keyword[word]
             for m in rule.pattern.finditer(low)
         ]
-        found.sort(key=lambda f: (-f[2].priority, f[0] - f[1], f[0], f[3]))
-        return sorted(uncontained(found), key=lambda f: (f[0], f[1], f[3]))
+        found.sort(key=lambda f: (-f[2].priority, f[0] - f[1], f[0], f[3] or ""))
+        kept = [f for f in uncontained(found) if f[3] is not None]
+        return sorted(kept, key=lambda f: (f[0], f[1], f[3]))
 
 
-def label_of(rule: Rule, match) -> str:
+def label_of(rule: Rule, match) -> str | None:
     if rule.kind != "short":
         return rule.label
     return "-".join(["cc-by", *(g for g in match.groups() if g)])
