@@ -9,12 +9,39 @@ from veilframe.llm.queries import QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
+def matrix(counts, n_shards, seed):
+    starts = np.cumsum([0, *counts])
+    lines = [S.matrix_line(starts, p, n_shards, seed) for p in range(len(counts))]
+    m = np.array([line for line, _ in lines])
+    assert (np.array([before for _, before in lines]) == np.cumsum(m, axis=0) - m).all()
+    return m
+
+
 def test_matrix_has_exact_sums():
-    counts = [0, 5, 100, 1, 37, 1000]
-    m = S.communication_matrix(counts, 7, 3)
-    assert m.sum(axis=1).tolist() == counts
-    assert m.sum(axis=0).tolist() == S.shard_sizes(sum(counts), 7)
-    assert (m >= 0).all()
+    for counts in ([0, 5, 100, 1, 37, 1000], [3], [0], [2 * 10**9, 10**9, 5 * 10**9]):
+        m = matrix(counts, 7, 3)
+        assert m.sum(axis=1).tolist() == counts
+        assert m.sum(axis=0).tolist() == S.shard_sizes(sum(counts), 7).tolist()
+        assert (m >= 0).all()
+
+
+def test_cells_follow_the_law():
+    """Each cell is hypergeometric, wherever its partition stands in the tree."""
+    counts, n_shards, draws = [4, 0, 10, 6, 20], 4, 3000
+    cells = np.array([matrix(counts, n_shards, seed) for seed in range(draws)])
+    total, room = sum(counts), sum(counts) // n_shards
+    for p, count in enumerate(counts):
+        mean = count * room / total
+        var = mean * (1 - room / total) * (total - count) / (total - 1)
+        assert (abs(cells[:, p].mean(axis=0) - mean) < 5 * np.sqrt(var / draws) + 1e-9).all()
+        assert (abs(cells[:, p].var(axis=0) - var) < 0.15 * var + 1e-9).all()
+
+
+def test_many_shards_and_partitions():
+    """A line of 20,000 partitions and 10,000 shards is drawn without the others."""
+    counts = np.full(20_000, 50_000)
+    line, before = S.matrix_line(np.cumsum([0, *counts]), 12_345, 10_000, 5)
+    assert line.sum() == 50_000 and before.sum() == 12_345 * 50_000
 
 
 def test_large_populations_follow_the_law():

@@ -3,7 +3,11 @@
 The rows are pinned in a table whose files are the input partitions.  How many rows
 of each partition go to each shard is drawn from the multivariate hypergeometric
 distribution, so shard sizes are exact (at most one apart) and counts are those of a
-uniform shuffle.  A row's place in its partition is permuted, which names its shard
+uniform shuffle.  The matrix is drawn by halves: the shard sizes are divided over the
+first and the second half of the partitions, each part over its halves, and so on, each
+time by a generator seeded with the range of partitions.  A task walks down to the line
+of its own partition, so the matrix is nowhere whole, and its size sets no bound to
+partitions or shards.  A row's place in its partition is permuted, which names its shard
 by the partition's line of the matrix and its arrival there; the arrival is permuted
 again into the slot.  Both permutations are computed for a row from its place alone,
 so a task that runs again gives the same rows, and nothing is sorted or gathered.
@@ -16,6 +20,7 @@ so a task that runs again gives the same rows, and nothing is sorted or gathered
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,8 +32,6 @@ from veilframe.llm.common import ROW_BITS, stored
 SHARDS = 8
 SEED = 20_011
 
-#: Cells of the matrix at most; with more shards the rows are pinned in fewer files.
-CELLS = 1 << 22
 #: Populations up to this the random generator draws from by itself.
 DIRECT = 10**9
 
@@ -69,25 +72,40 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, taken: int) ->
     return k
 
 
-def shard_sizes(total: int, n_shards: int) -> list[int]:
-    return [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
+def shard_sizes(total: int, n_shards: int) -> np.ndarray:
+    """Sizes at most one apart, the larger ones first."""
+    return total // n_shards + (np.arange(n_shards, dtype=np.int64) < total % n_shards)
 
 
-def communication_matrix(counts: list[int], n_shards: int, seed: int) -> np.ndarray:
-    """Rows sent from each partition to each shard: line sums are ``counts``, column
-    sums the shard sizes."""
-    rng = np.random.default_rng(seed)
-    room = shard_sizes(sum(counts), n_shards)
-    matrix = np.zeros((len(counts), n_shards), dtype=np.int64)
-    for p, count in enumerate(counts):
-        left, rest = sum(room), count
-        for s in range(n_shards):
-            left -= room[s]
-            sent = hypergeometric(rng, room[s], left, rest)
-            matrix[p, s] = sent
-            room[s] -= sent
-            rest -= sent
-    return matrix
+def divided(rng: np.random.Generator, line: np.ndarray, taken: int) -> np.ndarray:
+    """How many of each shard are among ``taken`` of the line's rows."""
+    left, part = int(line.sum()), np.zeros_like(line)
+    if left < DIRECT:
+        return rng.multivariate_hypergeometric(line, taken, method="marginals")
+    for s, room in enumerate(line.tolist()):
+        left -= room
+        part[s] = hypergeometric(rng, room, left, taken)
+        taken -= int(part[s])
+    return part
+
+
+def matrix_line(starts: np.ndarray, part: int, n_shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sent from a partition to each shard, and from all partitions before it.
+
+    ``starts`` are the running totals of the partitions' counts, from 0.  The lines sum
+    up to the counts, and all of a shard to its size."""
+    low, high = 0, len(starts) - 1
+    line = shard_sizes(int(starts[-1]), n_shards)
+    before = np.zeros(n_shards, dtype=np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        rng = np.random.default_rng((seed, low, high))
+        first = divided(rng, line, int(starts[middle] - starts[low]))
+        if part < middle:
+            line, high = first, middle
+        else:
+            line, low, before = line - first, middle, before + first
+    return line, before
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -119,41 +137,53 @@ def permuted(place: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int =
     return out.astype(np.int64)
 
 
+def placed(
+    starts: np.ndarray, part: int, rows: np.ndarray, line: np.ndarray, before: np.ndarray, seed: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and slot of rows of one partition, given by their places in it."""
+    count = starts[part + 1] - starts[part]
+    sizes = shard_sizes(int(starts[-1]), len(line))
+    ends = np.cumsum(line)
+    local = permuted(rows, np.full(len(rows), count), np.full(len(rows), part + seed * 1_000_003))
+    shards = np.searchsorted(ends, local, side="right")
+    arrival = before[shards] + local - (ends - line)[shards]
+    return shards, permuted(arrival, sizes[shards], shards + np.int64(seed) * 1_000_003 + 500_009)
+
+
 def shard(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The rows with ``shard`` and ``slot`` (gapless from 0 in a shard), exchanged so
     that a partition holds a stretch of slots."""
     spark = docs.sparkSession
-    kept = stored(docs, "shard-input", most_files=max(1, CELLS // n_shards))
+    kept = stored(docs, "shard-input")
     part = F.shiftright("_rid", ROW_BITS)
+    # One row a partition of the input.
     found = {r["part"]: r["count"] for r in kept.rows.groupBy(part.alias("part")).count().collect()}
     counts = [found.get(p, 0) for p in range(max(found, default=0) + 1)]
-    matrix = communication_matrix(counts, n_shards, seed)
-    sizes = np.array(shard_sizes(sum(counts), n_shards), dtype=np.int64)
-    before = np.cumsum(matrix, axis=0) - matrix  # arrivals from earlier partitions
-    ends = np.cumsum(matrix.ravel())  # of all partitions' lines, one after another
-    shared = spark.sparkContext.broadcast((np.array(counts, dtype=np.int64), before, ends, sizes))
+    total = sum(counts)
+    shared = spark.sparkContext.broadcast(np.cumsum([0, *counts], dtype=np.int64))
 
     @F.pandas_udf("shard int, slot long")
-    def place(parts: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        per_part, earlier, line_ends, per_shard = shared.value
-        p = parts.to_numpy()
-        local = permuted(rows.to_numpy(), per_part[p], p + np.int64(seed) * 1_000_003)
-        whole = np.cumsum(per_part)[p] - per_part[p] + local
-        cell = np.searchsorted(line_ends, whole, side="right")
-        s = cell - p * len(per_shard)
-        line_start = np.where(cell > 0, line_ends[cell - 1], 0)
-        arrival = earlier[p, s] + whole - line_start
-        slot = permuted(arrival, per_shard[s], s + np.int64(seed) * 1_000_003 + 500_009)
-        return pd.DataFrame({"shard": s.astype(np.int32), "slot": slot})
+    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for parts, rows in batches:
+            p, places = parts.to_numpy(), rows.to_numpy()
+            shards, slots = np.zeros(len(p), dtype=np.int32), np.zeros(len(p), dtype=np.int64)
+            for one in np.unique(p).tolist():
+                if one not in drawn:  # a task reads a file from its start to its end
+                    drawn = {one: matrix_line(shared.value, one, n_shards, seed)}
+                at = np.flatnonzero(p == one)
+                shards[at], slots[at] = placed(shared.value, one, places[at], *drawn[one], seed)
+            yield pd.DataFrame({"shard": shards, "slot": slots})
 
     row = F.col("_rid").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
-    placed = kept.rows.withColumn("_at", place(part, row))
+    located = kept.rows.withColumn("_at", place(part, row))
     shown = kept.original(
-        placed.withColumn("shard", F.col("_at.shard")).withColumn("slot", F.col("_at.slot")).drop("_at", "_rid"),
+        located.withColumn("shard", F.col("_at.shard")).withColumn("slot", F.col("_at.slot")).drop("_at", "_rid"),
         without=("shard", "slot"),
     )
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = F.array(*[F.lit(int(x)) for x in np.cumsum(sizes) - sizes])
-    rank = F.get(starts, F.col("shard")).cast("double") + F.col("slot")
-    task = F.floor(rank * tasks / max(1, sum(counts))).cast("int")
+    each, longer = divmod(total, n_shards)
+    start = F.col("shard").cast("long") * each + F.least(F.col("shard"), F.lit(longer))
+    rank = start.cast("double") + F.col("slot")
+    task = F.floor(rank * tasks / max(1, total)).cast("int")
     return shown.repartitionById(tasks, task).sortWithinPartitions("shard", "slot")
