@@ -131,3 +131,13 @@ def test_allowed_word_in_long_run(spark):
     text = KEY * 25_000 + "/xxxx/" + KEY * 25_000
     got = spark.range(1).select(S.named(S.entropy_spans(F.lit(text), *S.CLASSES[1])).alias("s")).first().s
     assert got == "entropy_base64:0:500001,entropy_base64:500005:1000006"
+
+
+def test_stretches_across_blocks(spark):
+    """Runs of many blocks, with stretches that end in, at and beyond a block's last window."""
+    parts = [KEY * n + "a" * m for n in (1, 3, 50, 2, 120) for m in (0, 25, 40, 1000 + n)]
+    texts = ["".join(parts[k:] + parts[:k]) for k in range(0, len(parts), 3)]
+    texts += [KEY[:1] * (S.BLOCK - n) + KEY * 60 for n in range(0, 60, 7)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = docs.select("n", S.named(S.secret_spans(F.col("text"))).alias("s")).collect()
+    assert {r.n: r.s for r in got} == {n: named(plain_spans(t)) for n, t in enumerate(texts)}

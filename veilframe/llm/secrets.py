@@ -1,8 +1,10 @@
 r"""Secrets in texts: fixed patterns, and sliding-window entropy of candidate strings.
 
 A candidate is a long run of characters of a class that holds a letter.  A window
-slides over it; the entropy of the window's characters is kept up to date by the counts
-of the one that leaves and the one that enters.  Windows at or above the class's
+slides over it and its counts of the class's characters go along, packed into a few longs:
+a move lowers the count of the character that leaves, raises that of the one that enters,
+and changes the entropy by what these two counts say.  Long candidates are walked in
+blocks of windows, whose stretches are joined again.  Windows at or above the class's
 threshold are merged into spans.  The allow list takes runs that are a UUID as a whole,
 and of other runs the parts between ``/ = _ -`` that hold a word such as ``example`` or
 a counting sequence: they count as blanks, and what is left is searched.
@@ -19,6 +21,7 @@ other blank but U+0020, and are searched in whole texts.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,7 +54,7 @@ STEP = 256
 
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _sums(items: Column, start: Column) -> Column:
@@ -135,73 +138,133 @@ def base_spans(text: Column, kind: str, pattern: str, group: int, least: int) ->
 # --- entropy -----------------------------------------------------------------------------
 
 
-def _weight(count: Column) -> Column:
-    """n log2 n, 0 for none."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(0.0)
+#: Counts have five bits each, twelve to a long; so a window has 31 characters at most.
+COUNT_BITS, COUNTS_PER_LONG = 5, 12
+#: Windows of a block, a power of two.
+BLOCK_BITS = 10
+BLOCK = 1 << BLOCK_BITS
 
+STRETCHES = "array<struct<from:int,to:int>>"
 
-def _count(part: Column, char: Column) -> Column:
-    return F.size(F.filter(part, lambda x: x == char))
 
+def _codes(chars: str) -> list[int]:
+    """Where the count of each ASCII character of the class lies: number of its long,
+    times 64, plus the shift in it."""
+    out, n = [0] * 128, 0
+    for c in range(128):
+        if re.match(f"[{chars}]", chr(c)):
+            out[c] = (n // COUNTS_PER_LONG << 6) + n % COUNTS_PER_LONG * COUNT_BITS
+            n += 1
+    return out
+
+
+def _literals(values: list) -> Column:
+    return F.array(*[F.lit(v) for v in values])
 
-STRETCHES = "array<struct<from:int,to:int>>"
 
+def _count_of(counts: Column, code: Column) -> Column:
+    shifted = F.call_function("shiftright", F.get(counts, F.shiftright(code, 6)), code.bitwiseAND(63))
+    return shifted.bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
 
-def hot_stretches(chars: Column, window: int, threshold: float) -> Column:
+
+def _one_at(code: Column, place: Column) -> Column:
+    """One, shifted to where the count lies, for the long that holds it; else 0."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(63))
+    return F.when(F.shiftright(code, 6) == place, one).otherwise(F.lit(0).cast("long"))
+
+
+def block_stretches(part: Column, chars: str, window: int, threshold: float) -> Column:
     """Array of (from, to): places of the first and last window of each stretch of
-    windows at or above the threshold.
+    windows at or above the threshold, in a string of the class's characters.
+
+    The counts of a window and its sum of n log2 n over them go along."""
+    places = _codes(chars)
+    n_longs = max(places) // 64 + 1
+    weight = [0.0, *(n * math.log2(n) for n in range(1, window + 2))]
+    #: What the n-th of a character adds to the sum.
+    gains = _literals([0.0, *(weight[n] - weight[n - 1] for n in range(1, window + 2))])
+    least_sum = (math.log2(window) - threshold) * window
+    codes = F.transform(
+        F.slice(F.split(part, ""), F.lit(1), F.length(part)),
+        lambda c: F.get(_literals(places), F.ascii(c)),
+    )
 
-    The sum of n log2 n over the counts n of a window goes along; when the window moves
-    by one, only the counts of the leaving and the entering character change, each
-    counted in what the two windows share."""
-    last = F.size(chars) - window
+    def entered(acc: Column, code: Column) -> Column:
+        return F.struct(
+            F.transform(acc["counts"], lambda x, j: x + _one_at(code, j)).alias("counts"),
+            (acc["sum"] + F.get(gains, _count_of(acc["counts"], code) + 1)).alias("sum"),
+        )
 
-    def slide(before: Column, i: Column) -> Column:
-        shared = F.slice(chars, i + 1, F.lit(window - 1))
-        return _let(
-            F.struct(
-                _count(shared, F.get(chars, i - 1)).alias("gone"),
-                _count(shared, F.get(chars, i + window - 1)).alias("come"),
-            ),
-            lambda c: before
-            - (_weight(c["gone"] + 1) - _weight(c["gone"]))
-            + (_weight(c["come"] + 1) - _weight(c["come"])),
+    def moved(acc: Column, gone: Column, come: Column) -> Column:
+        """The next window's; the two characters differ."""
+        less = F.get(gains, _count_of(acc["counts"], gone))
+        more = F.get(gains, _count_of(acc["counts"], come) + 1)
+        change = lambda x, j: x - _one_at(gone, j) + _one_at(come, j)
+        return F.struct(
+            F.transform(acc["counts"], change).alias("counts"), (acc["sum"] - less + more).alias("sum")
         )
 
-    def move(acc: Column, i: Column) -> Column:
-        value = F.when(i == 0, acc["sum"]).otherwise(slide(acc["sum"], i))
-        closed = F.struct(acc["begin"].alias("from"), (i - 1).alias("to"))
-        return _let(
-            value,
-            lambda v: _let(
-                F.lit(math.log2(window)) - v / window >= threshold,
-                lambda hot: F.struct(
-                    v.alias("sum"),
+    def walk(codes: Column) -> Column:
+        last = F.size(codes) - window
+
+        def slide(bag: Column, i: Column) -> Column:
+            gone, come = F.get(codes, i - 1), F.get(codes, i + window - 1)
+            return F.when((i == 0) | (gone == come), bag).otherwise(moved(bag, gone, come))
+
+        def move(acc: Column, i: Column) -> Column:
+            closed = F.struct(acc["begin"].alias("from"), (i - 1).alias("to"))
+
+            def judged(bag: Column) -> Column:
+                hot = bag["sum"] <= least_sum
+                return F.struct(
+                    bag.alias("bag"),
                     hot.alias("hot"),
                     F.when(hot & ~acc["hot"], i).otherwise(acc["begin"]).alias("begin"),
                     F.when(~hot & acc["hot"], F.array_append(acc["spans"], closed))
                     .otherwise(acc["spans"])
                     .alias("spans"),
-                ),
-            ),
+                )
+
+            return _let(slide(acc["bag"], i), judged)
+
+        def finish(acc: Column) -> Column:
+            closed = F.struct(acc["begin"].alias("from"), last.alias("to"))
+            return F.when(acc["hot"], F.array_append(acc["spans"], closed)).otherwise(acc["spans"])
+
+        empty = F.struct(
+            F.array_repeat(F.lit(0).cast("long"), n_longs).alias("counts"), F.lit(0.0).alias("sum")
+        )
+        zero = F.struct(
+            F.aggregate(F.slice(codes, 1, window), empty, entered).alias("bag"),
+            F.lit(False).alias("hot"),
+            F.lit(0).alias("begin"),
+            F.array().cast(STRETCHES).alias("spans"),
         )
+        return F.aggregate(F.sequence(F.lit(0), last), zero, move, finish)
 
-    def finish(acc: Column) -> Column:
-        closed = F.struct(acc["begin"].alias("from"), last.alias("to"))
-        return F.when(acc["hot"], F.array_append(acc["spans"], closed)).otherwise(acc["spans"])
+    return F.when(F.length(part) >= window, _let(codes, walk)).otherwise(F.array().cast(STRETCHES))
 
-    first = F.slice(chars, 1, window)
-    start = F.aggregate(
-        F.array_distinct(first), F.lit(0.0), lambda acc, c: acc + _weight(_count(first, c))
-    )
-    zero = F.struct(
-        start.alias("sum"),
-        F.lit(False).alias("hot"),
-        F.lit(0).alias("begin"),
-        F.array().cast(STRETCHES).alias("spans"),
-    )
-    folded = F.aggregate(F.sequence(F.lit(0), last), zero, move, finish)
-    return F.when(last >= 0, folded).otherwise(F.array().cast(STRETCHES))
+
+def hot_stretches(run: Column, chars: str, window: int, threshold: float) -> Column:
+    """The stretches of a whole run: those of its blocks, where one that goes on in the
+    next block is one stretch.  A block takes the characters of its last window along."""
+    last_block = F.shiftright(F.greatest(F.length(run) - window, F.lit(0)), BLOCK_BITS)
+
+    def of_block(b: Column) -> Column:
+        part = F.substring(run, b * BLOCK + 1, F.lit(BLOCK + window - 1))
+        return F.transform(
+            block_stretches(part, chars, window, threshold),
+            lambda s: F.struct((s["from"] + b * BLOCK).alias("from"), (s["to"] + b * BLOCK).alias("to")),
+        )
+
+    def joined(found: Column) -> Column:
+        begins = F.filter(found, lambda s, i: ~(F.get(found, i - 1)["to"] + 1).eqNullSafe(s["from"]))
+        ends = F.filter(found, lambda s, i: ~(F.get(found, i + 1)["from"] - 1).eqNullSafe(s["to"]))
+        return F.zip_with(
+            begins, ends, lambda b, e: F.struct(b["from"].alias("from"), e["to"].alias("to"))
+        )
+
+    return _let(F.flatten(F.transform(F.sequence(F.lit(0), last_block), of_block)), joined)
 
 
 def candidate_pattern(chars: str, shortest: int) -> str:
@@ -229,10 +292,7 @@ def entropy_spans(text: Column, kind: str, chars: str, shortest: int, window: in
         return F.transform(
             F.filter(_placed(text, pattern), lambda p: ~p["match"].rlike(f"^{UUID}$")),
             lambda p: F.transform(
-                _let(
-                    F.slice(F.split(p["match"], ""), F.lit(1), F.length(p["match"])),
-                    lambda chars: hot_stretches(chars, window, least),
-                ),
+                hot_stretches(p["match"], chars, window, least),
                 lambda s: _span(kind, p.start + s["from"], p.start + s["to"] + window),
             ),
         )
