@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veilframe.llm import quality as Q
@@ -83,12 +84,42 @@ def test_odd_texts_in_any_order(spark):
 
 
 def test_order_goes_by_rejections_per_second():
-    seen = [{"rule": n, "n": 10, "rejected": 0, "seconds": 1.0} for n in Q.RULES]
-    by = {r["rule"]: r for r in seen}
-    by["symbols"].update(rejected=5, seconds=1.0)
-    by["capitals"].update(rejected=2, seconds=0.1)
-    by["few_words"].update(seconds=0.5)
-    assert Q.cascade_order(seen)[:3] == ["capitals", "symbols", "few_words"]
+    names, features = list(Q.RULES), list(Q.PARTS)
+    seconds = np.full((10, len(features)), 0.1)
+    seconds[:, features.index("n_capitals")] = seconds[:, features.index("word_chars")] = 0.01
+    seconds[:, features.index("n_doubled")] = 0.2
+    rejects = np.zeros((10, len(names)), dtype=bool)
+    rejects[:5, names.index("symbols")] = True
+    rejects[:2, names.index("capitals")] = True
+    rejects[:5, names.index("doubled_words")] = True  # no more than symbols rejects before it
+    rejects[5:8, names.index("repeated_lines")] = True
+    order = Q.greedy_order(rejects, seconds)
+    # 2 for 0.02 s a text; of the eight left 3 for 0.2 s, before 3 for 0.3 s; then words are there
+    assert [(o[0], o[1], o[2]) for o in order[:3]] == [("capitals", 10, 2), ("repeated_lines", 8, 3), ("symbols", 5, 3)]
+    assert {o[0]: o[2] for o in order}["doubled_words"] == 0
+    assert {o[0] for o in order[3:5]} == {"few_words", "word_length"}  # all they look at is there
+    profiled = [{"rule": o[0], "place": i} for i, o in enumerate(order)]
+    assert Q.cascade_order(profiled[::-1]) == [o[0] for o in order]
+    assert Q.cascade_order([]) == names
+    empty = Q.greedy_order(rejects[:0], seconds[:0])
+    assert sorted(o[0] for o in empty) == sorted(names)
+
+
+def test_parts_come_first_and_are_all():
+    """A rule computes what ``LOOKS_AT`` and ``PARTS`` say, and nothing else."""
+    for name, rule in Q.RULES.items():
+        t = Q.Text(b"one two three four five six seven eight nine ten eleven\ntwelve")
+        rule(t)
+        assert set(t.__dict__) - {"raw"} == Q.needed(name), name
+    assert all(list(Q.PARTS).index(p) < i for i, f in enumerate(Q.PARTS) for p in Q.PARTS[f])
+
+
+def test_profile_sees_rows_of_all_parts(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (i % 40 + 1)) for i in range(400)], "doc_id int, text string")
+    seen = Q.profile(docs.repartition(7), rows=50)
+    assert sorted(r["rule"] for r in seen) == sorted(Q.RULES)
+    assert max(r["n"] for r in seen) == 50
+    assert Q.profile(docs.where("false")) == [] or max(r["n"] for r in Q.profile(docs.where("false"))) == 0
 
 
 def test_clean_documents_stay(spark):

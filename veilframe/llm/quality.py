@@ -1,14 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule's cost and rejection share are measured on a sample; rules then run in the
-order of rejections per second of work, and a document stops at the first rule that
-rejects it.  The order decides only how much work is done: a document is kept when no
-rule rejects it, whatever the sample was.
+What the rules look at (words, lines, counts) is timed on a sample, apart from the rules,
+as several rules share it.  The next rule is always the one with the most rejections, among
+the sample's texts that the rules before it let pass, per second of the work that is not
+done yet; a document stops at the first rule that rejects it.  The order decides only how
+much work is done: a document is kept when no rule rejects it, whatever the sample was.
 
 Words are runs of anything but ASCII blanks, lines end at line feeds, characters are
 code points.  A null text is empty; an empty text is rejected for its few words.
-Rows are judged one by one, so repeated rows get equal verdicts; an empty table gives
-an empty result.  The verdict is one struct column, which no input column can clash
+Rows are judged one by one, so repeated rows get equal verdicts; rules that tie go by
+their cost, then by their place in ``RULES``; an empty table gives an empty result.  The verdict is one struct column, which no input column can clash
 with unless it has the name chosen for it.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Callable, Iterator
 from functools import cached_property
 from operator import eq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ WINDOW = 5
 
 SAMPLE_ROWS = 1000
 SAMPLE_SEED = 11
+#: Each feature's time is the median of so many.
+PASSES = 3
 
 
 class Text:
@@ -113,38 +117,103 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
+#: What each feature is made of, parts first, and what each rule looks at.
+PARTS: dict[str, tuple[str, ...]] = {
+    "words": (),
+    "lines": (),
+    "n_words": ("words",),
+    "word_chars": (),
+    "n_symbols": (),
+    "n_capitals": (),
+    "lettered_words": (),
+    "n_doubled": ("words",),
+    "n_dup_lines": ("lines",),
+    "n_repeat_words": ("words",),
+}
+LOOKS_AT: dict[str, tuple[str, ...]] = {
+    "few_words": ("n_words",),
+    "repeated_windows": ("n_repeat_words", "n_words"),
+    "doubled_words": ("n_doubled", "n_words"),
+    "repeated_lines": ("n_dup_lines", "lines"),
+    "symbols": ("n_symbols", "n_words"),
+    "word_length": ("word_chars", "n_words"),
+    "capitals": ("n_capitals", "word_chars"),
+    "letterless_words": ("lettered_words", "n_words"),
+}
+
+
 def rejected_by(t: Text, order: list[str]) -> str | None:
     return next((name for name in order if RULES[name](t)), None)
 
 
+def needed(rule: str) -> set[str]:
+    """Features a rule looks at, and their parts."""
+    own = set(LOOKS_AT[rule])
+    return own | {part for feature in own for part in PARTS[feature]}
+
+
+def feature_seconds(texts: list[bytes | None], passes: int = PASSES) -> np.ndarray:
+    """Seconds by text and feature, in the order of ``PARTS``; a feature's parts are there
+    when it is timed."""
+    seconds = np.zeros((passes, len(texts), len(PARTS)))
+    for run in seconds:
+        for row, text in zip(run, texts):
+            t = Text(text)
+            for i, feature in enumerate(PARTS):
+                begin = time.perf_counter()
+                getattr(t, feature)
+                row[i] = time.perf_counter() - begin
+    return np.median(seconds, axis=0)
+
+
+def greedy_order(rejects: np.ndarray, seconds: np.ndarray) -> list[tuple[str, int, int, float]]:
+    """rule, texts it sees, rejections among them, seconds of its work, in the order in
+    which the rules run.  ``rejects`` is by text and rule, ``seconds`` by text and feature."""
+    names, features = list(RULES), list(PARTS)
+    alive, done, out = np.ones(len(rejects), dtype=bool), set(), []
+    while len(out) < len(names):
+        taken = {name for name, *_ in out}
+        choices = []
+        for r, name in enumerate(names):
+            if name not in taken:
+                todo = [features.index(f) for f in needed(name) - done]
+                cost = float(seconds[alive][:, todo].sum()) + 1e-9 * (1 + alive.sum())
+                hits = int(rejects[alive, r].sum())
+                choices.append((-hits / cost, cost, r, hits))
+        _, cost, r, hits = min(choices)
+        out.append((names[r], int(alive.sum()), hits, cost))
+        alive &= ~rejects[:, r]
+        done |= needed(names[r])
+    return out
+
+
 def profile(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[dict]:
-    """rule, n, rejected, seconds of each rule, on about ``rows`` rows from all parts
-    of the table."""
+    """place, rule, n, rejected, seconds of each rule in the order chosen, on ``rows`` rows
+    (all, if fewer) from all parts of the table: of a seeded sample of twice as many, those
+    of the least hashes, so that arrival does not choose them."""
     total = docs.count()
     share = min(1.0, 2.0 * rows / max(1, total))
-    some = docs.select(F.col(text).cast("binary").alias("text"))
-    some = some.sample(share, seed=SAMPLE_SEED).limit(rows)
+    some = docs.select(F.col(text).cast("binary").alias("text")).sample(share, seed=SAMPLE_SEED)
+    some = some.orderBy(F.xxhash64("text")).limit(rows)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for name, rule in RULES.items():
-                begin = time.perf_counter()
-                hits = sum(rule(Text(x)) for x in batch["text"])
-                out.append((name, len(batch), hits, time.perf_counter() - begin))
-            yield pd.DataFrame(out, columns=["rule", "n", "rejected", "seconds"])
+        texts = [x for batch in batches for x in batch["text"]]
+        rejects = np.zeros((len(texts), len(RULES)), dtype=bool)
+        for i, x in enumerate(texts):
+            t = Text(x)
+            rejects[i] = [rule(t) for rule in RULES.values()]
+        chosen = greedy_order(rejects, feature_seconds(texts))
+        out = pd.DataFrame(chosen, columns=["rule", "n", "rejected", "seconds"])
+        yield out.assign(place=range(len(out)))
 
-    each = some.mapInPandas(measured, "rule string, n long, rejected long, seconds double")
-    sums = each.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("n", "rejected", "seconds")])
-    return [r.asDict() for r in sums.collect()]  # one row a rule
+    schema = "rule string, n long, rejected long, seconds double, place int"
+    return [r.asDict() for r in some.coalesce(1).mapInPandas(measured, schema).collect()]  # one row a rule
 
 
 def cascade_order(profiled: list[dict]) -> list[str]:
-    """Rules by rejections per second; those that rejected nothing by their cost."""
-    seen = {r["rule"]: r for r in profiled}
-    cost = lambda name: max(seen[name]["seconds"], 1e-9) if name in seen else 1.0
-    hits = lambda name: seen[name]["rejected"] if name in seen else 0
-    return sorted(RULES, key=lambda name: (-hits(name) / cost(name), cost(name), name))
+    """The rules in the order of a profile; as listed without one."""
+    order = [r["rule"] for r in sorted(profiled, key=lambda r: r["place"])]
+    return order + [name for name in RULES if name not in order]
 
 
 def rejection(text: Column, order: list[str]) -> Column:
