@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilframe.llm.common import checked_broadcast, stored, written
+from veilframe.llm.common import checked_broadcast, discard, stored, written
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -158,12 +158,14 @@ def components(pairs: DataFrame) -> DataFrame:
         large = written(large.distinct(), "large-stars")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = written(
+        earlier, edges = edges, written(
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v")))
             .distinct(),
             "small-stars",
         )
+        discard(earlier)
+        discard(large)
         sign = edges.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
