@@ -71,3 +71,17 @@ def test_prefixes_and_masks(spark):
     assert by[4, 6].trained is None and by[5, 0].loss_start is None
     assert by[None, 1].trained == "x"
     assert C.examples(turns.where("false")).count() == 0
+
+
+def test_very_long_turn(spark):
+    said = ["### User: \\" * 100_000, "é😀</turn>" * 120_000]
+    turns = spark.createDataFrame(
+        [(1, 0, "user", said[0]), (1, 1, "assistant", said[1])], "conv_id long, turn long, role string, text string"
+    )
+    shown = C.examples(turns)
+    row = shown.select(
+        C.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("trained"),
+        C.read_turns(F.col("formatted")).alias("turns"),
+    ).first()
+    assert row.trained == said[1]
+    assert [t.text for t in row.turns] == said

@@ -75,3 +75,16 @@ def test_draws_are_even(spark):
     got = spark.range(20_000).select(M.draw(F.col("id").cast("string")).alias("u"))
     low, high, mean = got.agg(F.min("u"), F.max("u"), F.avg("u")).first()
     assert 0 <= low < 0.01 and 0.99 < high < 1 and abs(mean - 0.5) < 0.01
+
+
+def test_very_long_text(spark):
+    long = "wörd \n" * 400_000
+    rows = [(1, long, "x"), (2, "a b", "x"), (3, "c " * 300_000, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select("source", M.count_words(F.col("text")).alias("size"))
+    assert sorted(r.size for r in sized.collect()) == [2, 300_000, 400_000]
+    want = plain_targets({"x": 400_002, "y": 300_000})
+    assert {r.source: r.target for r in M.targets(sized).collect()} == pytest.approx(want)
+    copies = Counter(r.doc_id for r in M.mix_documents(docs).where("text IS NOT NULL").collect())
+    for i, source, size in ((1, "x", 400_002), (2, "x", 400_002), (3, "y", 300_000)):
+        assert copies[i] in (int(want[source] / size), int(want[source] / size) + 1)

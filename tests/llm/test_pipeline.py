@@ -58,3 +58,23 @@ def test_odd_tables(spark, tmp_path):
             now = spark.read.parquet(f"{tmp_path}/{n}-{name}")
         assert (now.count() > 0) == (n == 0)
         assert "_rid" in now.columns and "slot" in now.columns
+
+
+def test_very_long_texts(spark, tmp_path):
+    """Texts of over 1 MB pass whole: copies go, a passage at the very end counts."""
+    item = next(r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() if len(words(r.text)) >= 10)
+    body = [" ".join(f"{c}{i * 7919 % 400_009}" for i in range(200_000)) for c in ("ab", "cd")]
+    texts = [body[0], body[0], body[1] + " " + item, "few words"]
+    now = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    left = {}
+    for name, stage in P.STAGES:
+        stage(spark, now, DATA).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        left[name] = [r.doc_id for r in now.collect()]
+    assert sorted(left["quality"]) == [0, 1, 2]
+    assert sorted(left["near_duplicates"]) == [0, 2]
+    assert left["decontamination"] == [0]
+    assert set(left["mixing"]) == {0} and left["sharding"] == left["mixing"]

@@ -109,3 +109,19 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in lone] == [(None, None, "n")]
     assert H.near_duplicates(docs.where("false")).count() == 0
     assert H.keep_one(docs.where("false")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Whole texts count: two that differ behind 2 MB of equal words differ in their bits."""
+    import random
+
+    rng = random.Random(4)
+    start = " ".join(f"w{rng.randrange(50_000)}" for _ in range(300_000))
+    tails = [" ".join(f"{c}{rng.randrange(50_000)}" for _ in range(300_000)) for c in "xy"]
+    texts = [start, start, start + " " + tails[0], start + " " + tails[1], start.upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r for r in H.near_duplicates(docs).select("*", H.hex_digits(F.col("bits")).alias("f")).collect()}
+    want = [plain_fingerprint(t) for t in texts]
+    assert [got[i].f for i in range(5)] == [f"{v & (2**64 - 1):016x}" if isinstance(v, int) else v for v in want]
+    assert got[0].component_id == got[1].component_id == got[4].component_id == 0
+    assert got[2].f != got[3].f

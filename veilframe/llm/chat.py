@@ -13,6 +13,8 @@ turn says; ``unescape`` drops the backslashes again.
 * A null role or text is empty.  Turns are ordered by turn (null first), role, text;
   rows that repeat are turns of their own.  Rows of a null conv_id form one
   conversation.  An empty table gives no examples; other columns are ignored.
+* Texts are read whole, whatever their length; a conversation with all its contexts has to
+  fit a row of a task.
 """
 
 from __future__ import annotations

@@ -11,6 +11,9 @@ rarest word, and what is left with those of all the others.
   lower case.  An item of fewer than ten words, but not none, is one window.
 * Null and empty texts, of documents or items, have no words and are never hit.  A null
   item id counts as an empty one; items with equal ids count once.
+* Texts are read whole; beyond the task that reads it, a very long one is postings like
+  others.  Words that tie in rarity go by their place in the window, which changes the work
+  and no result.
 * Documents that repeat are hit alike, and each has its own row.  Empty tables give no
   hits.  Only the named columns are read, so other columns cannot clash.
 """

@@ -8,6 +8,8 @@ hash falls below the fraction of the rate.
 * The hash covers ``key`` only: rows that repeat with the same key share one draw.
 * Documents of size 0 are copied like others of their source; a source of size 0
   has target 0 and its documents are not taken.
+* Words of whole texts are counted where the texts lie; only sizes and keys are shuffled,
+  so a very long text is a row like others.  Sources that tie do not arise: each is one row.
 * An empty table gives an empty result.  Columns of the input named ``source_size``,
   ``target``, ``rate`` or ``copies`` are replaced by those of the mix.
 """

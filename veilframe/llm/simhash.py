@@ -15,6 +15,8 @@ members than bits.  Components come from rounds of star contraction on tables.
 
 * No words, an empty or a null text: fingerprint zero, linked like any other.
 * A null doc_id never is a component's id unless all its documents lack one.
+* Shingles of whole texts are counted, a text at a time, so a very long one needs memory for
+  its own words.  Ties in a bit (set in just half the hashes) give 0.
 * Rows that repeat link to each other; an empty table gives an empty result.
 * The operators take the names of their columns and return columns of their own, so
   other columns of the input cannot clash.

@@ -3,7 +3,10 @@
 Every stage takes documents under any further columns and, but for the last, returns
 the columns it got.  Nulls, empty texts, repeated rows and empty tables are treated as
 the operators' docstrings say: a null or empty text goes at the first stage, for it has
-too few words.
+too few words.  Very long texts are judged whole.  Of linked documents with equal ids one
+stays; other ties do not decide which rows go on.  Further columns may have any name: the
+operators pin their input under names of their own, and ``sharding`` alone replaces columns,
+those named ``shard`` and ``slot``.
 """
 
 from __future__ import annotations
