@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,9 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 #: Column that ``pin_rows`` adds.
 ROW = "_pinned_row"
 
+#: Scratch tables of the ``own_scratch`` that is open in this thread.
+_own: ContextVar[list[str] | None] = ContextVar("own_scratch", default=None)
+
 DEFAULTS = {
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
@@ -54,7 +60,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, below the checkpoint folder."""
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    own = _own.get()
+    if own is not None:
+        own.append(path)
+    return path
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end, or when it fails, the scratch tables made inside, as they hold
+    texts in clear.  Results must be written inside: frames that read these tables are of
+    no use after.  Tables made before, or by other threads, stay."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield
+    finally:
+        _own.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(hadoop).delete(folder, True)
 
 
 def pin_rows(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import entities as E
 from veilframe.operators.encode import encode, encode_corpus
+from veilframe.session import own_scratch
 from veilframe.sources.store import MappingStore
 
 
@@ -66,10 +67,15 @@ def encode_batches(
     A micro-batch writes the entries it added or changed and the forms it saw under its
     own number; every sixteenth writes the whole state, and versions before the whole
     state that precedes it are deleted.  A batch that is run again reads what it read
-    before and overwrites its own output with the same content.
+    before and overwrites its own output with the same content.  Its scratch tables are
+    deleted with it.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        with own_scratch(batch.sparkSession):
+            encode_batch(batch, batch_id)
+
+    def encode_batch(batch: DataFrame, batch_id: int) -> None:
         if batch_id > 0:
             known, known_forms = read_state(batch.sparkSession, state_path, batch_id - 1)
         else:
@@ -103,13 +109,15 @@ def encode_into_store(
 
     ``writer`` names the stream, for good.  A micro-batch reads and writes the buckets of
     its keys only.  One that is run again finds its keys in the store: it gets the same
-    placeholders and overwrites its output with the same content.
+    placeholders and overwrites its output with the same content.  Its scratch tables are
+    deleted with it.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        result = encode_corpus(batch, store=store, writer=writer, batch=batch_id, **options)
-        result.documents.select("doc_id", "sanitized").withColumn(
-            "batch_id", F.lit(batch_id)
-        ).write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
+        with own_scratch(batch.sparkSession):
+            result = encode_corpus(batch, store=store, writer=writer, batch=batch_id, **options)
+            result.documents.select("doc_id", "sanitized").withColumn(
+                "batch_id", F.lit(batch_id)
+            ).write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
 
     return run
