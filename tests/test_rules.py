@@ -138,3 +138,16 @@ def test_long_runs_do_not_exhaust_the_stack(spark, texts):
     assert (0, len(long_name) - 1) in sizes[0]
     assert (0, len(long_name) - 1) in sizes[1]
     assert (0, len("Salu " * 30_000) - 1) in sizes[4]
+
+
+def test_first_class_of_patterns():
+    """Patterns that begin with a word boundary are asked for their first character before."""
+    assert R.first_class(r"\b\d{4}x") == r"\d"
+    assert R.first_class(r"\bt\.?h") == "t"
+    assert R.first_class(r"\b[A-Z]{2,}") == "[A-Z]"
+    assert R.first_class(r"\b(?:von|zu|vom)\s") == "[vz]"
+    assert R.first_class(r"\b(?:de\s+)?x") == R.first_class(r"\+?32") == R.first_class(r"a?b") == ""
+    assert R.first_class(r"[a-z]*x") == R.first_class(r"(?:a|b)?c") == R.first_class(r"a{0,1}b") == ""
+    rules = [r for t in vars(R).values() if isinstance(t, tuple) for r in t if isinstance(r, R.Rule)]
+    bounded = [r for r in rules if (r.lead + r.value).startswith(r"\b") and not r.ignore_case]
+    assert len(bounded) > 50 and all(r.jvm_regex().startswith("(?U)(?=") for r in bounded)
