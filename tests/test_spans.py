@@ -1,11 +1,14 @@
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
-from veilframe.functions.arrays import explode_structs
+from veilframe.functions.arrays import explode_structs, let
 from veilframe.functions.rewrite import splice
 from veilframe.operators import detectors as D
+from veilframe.operators.rules import Rule
 
 SCHEMA = f"doc_id long, spans array<{S.SPAN_TYPE}>"
 
@@ -93,3 +96,32 @@ def test_snippet_is_clipped(spark, texts):
         S.snippet(F.col("text"), F.col("s")[0]["ctx_from"], F.col("s")[0]["ctx_to"])
     )
     assert spans.first()[0] == "abc x@y.com def"
+
+
+def test_binding_copies_nothing(spark):
+    """A transform copies what its body gives, with all strings in it, at every level."""
+    plan = spark.range(1).select(
+        let(F.concat(F.col("id").cast("string"), F.lit("x")), lambda v: F.concat(v, v)).alias("a"),
+        F.expr(S.bind("cast(id AS string)", "v", "concat(v, v)")).alias("b"),
+    )
+    assert "transform(" not in plan._jdf.queryExecution().analyzed().toString()
+    assert plan.first() == ("0x0x", "00")
+
+
+@pytest.mark.parametrize("n", [1, 2, 127, 128, 129, 255, 256, 257, 513])
+def test_hits_with_and_without_groups(spark, n):
+    """Places are those of Python's search, around the borders of stretches."""
+    plain, grouped = Rule(r"\d+"), Rule(lead="[a-z]+", value=r"\d", trail=r"\d*")
+    text = "".join(f"{'é' * (i % 3)}ab{i} " for i in range(n))
+    whole = [(m.start(), m.end()) for m in re.finditer(plain.value, text)]
+    value = [m.span(1) for m in re.finditer(r"[a-z]+(\d)\d*", text)]
+    frame = spark.createDataFrame([(text,)], "t string")
+
+    def found(rules):
+        hits = frame.select(F.expr(S.scan("t", rules)).alias("h")).first().h
+        assert all(text[h.start : h.end] == h.value for h in hits)
+        return [[(h.start, h.end) for h in hits if h.rule == i] for i in range(len(rules))]
+
+    assert found([plain]) == [whole]
+    assert found([grouped]) == [value]
+    assert found([plain, grouped, plain]) == [whole, value, whole]
