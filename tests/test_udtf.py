@@ -29,3 +29,18 @@ def test_a_model_sees_chunks_and_finds_places_in_whole_texts(spark, texts):
     assert spark.sql("SELECT * FROM marks('aX', null)").first().start == 1
     # The rows are spans that documents can be joined with.
     assert X.attach_external(docs, found).where("size(external) > 0").count() == 2
+
+
+def test_a_model_runs_once_over_each_text(spark, texts):
+    """The checks and the join read the spans that one run of the model found."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def predict(row):
+        runs.add(1)
+        return row.doc_id, 0, 4, "PER", 0.9, "nl"
+
+    docs = texts("Anna gaat", "Bert komt", "Cees ziet").repartition(2)
+    schema = "doc_id long, start int, end int, label string, score double, lang string"
+    found = spark.createDataFrame(docs.rdd.map(predict), schema)
+    assert X.attach_external(docs, found).where("size(external) = 1").count() == 3
+    assert runs.value == 3
