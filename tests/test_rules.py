@@ -151,3 +151,17 @@ def test_first_class_of_patterns():
     rules = [r for t in vars(R).values() if isinstance(t, tuple) for r in t if isinstance(r, R.Rule)]
     bounded = [r for r in rules if (r.lead + r.value).startswith(r"\b") and not r.ignore_case]
     assert len(bounded) > 50 and all(r.jvm_regex().startswith("(?U)(?=") for r in bounded)
+
+
+def test_named_streets_of_odd_words_equal_the_plain_pattern(spark):
+    """Suffixes inside words, after one letter, twice, before marks, behind white space and ``de``."""
+    rule = R.NAMED_STREET_RULES[0]
+    words = ("Kerkstraat", "Kstraat", "Kestraatstraat", "Kerkstraate", "kerkstraat", "KErkplein", "Pléin",
+             "Grotemarkt", "Grote Markt", "Grote Amarkt", "St.Kerklaan", "Ring", "Aring-weg", "Élaan", "Kaélaan")
+    texts = [b + w + a for b in ("", "de ", "de  \n", "x", "x ", " ", "de", "Sint ", "de Oude\t") for w in words
+             for a in ("", "1", "_", "é", "É", "-", " de Kapad")]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, scan string")
+    hits = rows.select("i", F.expr(S.scan("scan", [rule])).alias("hits")).collect()
+    got = {r.i: [(h.start, h.end, h.value) for h in r.hits] for r in hits}
+    want = {i: [(*m.span(), m.group()) for m in re.finditer(rule.value, t)] for i, t in enumerate(texts)}
+    assert got == want
