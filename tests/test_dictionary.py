@@ -66,3 +66,12 @@ def test_odd_tables(spark):
     assert DI.find_names(docs.where("false"), table(spark, ["Gent"])).collect() == []
     with pytest.raises(Exception, match="barrier"):
         DI.find_names(docs, table(spark, ["Gent; Brugge"])).collect()
+
+
+def test_words_are_placed_without_a_fold_over_tokens(spark):
+    """Before, places were sums of lengths, by folds that Spark evaluates token by token."""
+    df = spark.createDataFrame([("Sint-Jans  Ée x_1 \U0001f600 GENT",), ("",), (None,), (" - ",)], "t string")
+    placed = df.select(DI.words_at(F.col("t")).alias("w"))
+    assert "aggregate(" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    rows = [[(w.word, w.at) for w in r.w or []] for r in placed.collect()]
+    assert rows == [[("sint", 0), ("jans", 5), ("ée", 11), ("x_1", 14), ("gent", 20)], [], [], []]

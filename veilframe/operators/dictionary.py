@@ -15,11 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import spans as S
-from veilframe.functions.arrays import let, running
+from veilframe.functions.search import WORD
 from veilframe.operators import pieces as PC
 from veilframe.operators.intervals import resolve_rows
 from veilframe.session import ROW, cut_lineage, pin_rows
@@ -27,27 +28,34 @@ from veilframe.session import ROW, cut_lineage, pin_rows
 #: Most bytes of names that are sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
-WORD = r"^[\p{L}\p{N}_]"
+TEXTS_AT_ONCE = 256
+
+
+def _places(texts: pa.Array) -> pa.Array:
+    """Words of each text with their places, both flat, cut into lists by text."""
+    words: list[str] = []
+    at: list[int] = []
+    ends = [0]
+    for text in texts.to_pylist():
+        for m in WORD.finditer(text or ""):
+            words.append(m.group())
+            at.append(m.start())
+        ends.append(len(words))
+    structs = pa.StructArray.from_arrays(
+        [pa.array(words, pa.string()), pa.array(at, pa.int32())], names=["word", "at"]
+    )
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
 
 
 def words_at(text: Column) -> Column:
     """Words of a text, in small letters, with their places: ``struct<word, at>``."""
 
-    def placed(tokens: Column) -> Column:
-        ends = running(F.transform(tokens, lambda t: F.length(t)), F.lit(0), lambda a, n: a + n)
-        return let(
-            ends,
-            lambda e: F.filter(
-                F.transform(
-                    tokens,
-                    lambda t, i: F.struct(F.lower(t).alias("word"), (F.get(e, i) - F.length(t)).alias("at")),
-                ),
-                lambda w: w["word"].rlike(WORD),
-            ),
-        )
+    def placed(texts: pa.Array) -> pa.Array:
+        starts = range(0, len(texts), TEXTS_AT_ONCE)
+        return pa.concat_arrays([_places(texts.slice(i, TEXTS_AT_ONCE)) for i in starts or [0]])
 
-    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), placed)
+    found = F.arrow_udf(placed, "array<struct<word:string,at:int>>")(text)
+    return F.transform(found, lambda w: F.struct(F.lower(w["word"]).alias("word"), w["at"].alias("at")))
 
 
 def index(names: DataFrame) -> DataFrame:
