@@ -86,6 +86,12 @@ def test_large_texts_encode_as_whole_ones(spark):
     assert a == b and len(a) == 5
 
 
+def test_spans_of_large_texts_do_not_pass_the_driver(spark):
+    """However small the files are that they are estimated by."""
+    plan = encode_large(case_text(spark, 60), piece=2000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_corpus_with_a_large_text(spark):
     text = case_text(spark, 60).first().text
     docs = spark.createDataFrame([(1, text), (2, "Mail user1@example.com")], "doc_id long, text string")
