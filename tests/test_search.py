@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_rules import random_texts
 
 from veilframe.functions import spans as S
-from veilframe.functions.search import Searches
+from veilframe.functions.search import _ODD_CASE, Searches
 from veilframe.operators import detectors as D
 from veilframe.operators import rules as R
 from veilframe.operators.encode import detect_spans
@@ -17,6 +17,7 @@ ODD = [
     "te\x1cGent te\x1dBreda x\x1f01-02-2001", "'s-Gravenhage x's-Gravenhage in Den  Haag, Den Haag en den haag",
     "Jan Jansen - 01/02/1999-03/04/2000 - 05-06-2007", "x-straat-weg -weg a-Kampweg-b _Kampweg Kampweg1",
     "Mika Toru PERSON_0012 Vana PERSON_10000 Ab Cd PERSON_123", "٣٤٥٦٧٨٩٠١ BE44377012345678",
+    "É KAMPWEG, Kampdij\u212a, \u212aampstraat, \u212aLEIN Ann geboren, te \u212aeulen, \u212anokke-Heist, \u212aia Rio en opel",
 ]
 
 
@@ -31,6 +32,28 @@ def test_hits_in_one_pass_give_the_spans_of_one_pass_a_rule(texts, order):
     assert [(r.text, r.got) for r in rows if r.got != r.want] == []
 
 
+@pytest.mark.parametrize("order", [D.PATTERN_ORDER, D.HYBRID_ORDER])
+def test_spans_chosen_in_one_pass_are_those_of_the_expression(texts, order):
+    seen = texts(*random_texts(800, 12), *ODD).withColumn("scan", S.scannable(F.col("text")))
+    found = seen.withColumn("hits", D.hits("scan", order)).select(
+        "text", S.resolve_overlaps(F.col("hits")).alias("want"), D.hits("scan", order, resolve=True).alias("got")
+    )
+    rows = found.collect()
+    assert sum(len(r.want) for r in rows) > 1000
+    assert [(r.text, r.got) for r in rows if r.got != r.want] == []
+
+
+def test_conditions_and_choice_are_no_expressions_of_the_plan(texts):
+    """Before, each hit went to the JVM and through some 60 lambda functions there."""
+    plan = detect_spans(texts("te Gent"), "hybrid")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lambdafunction") < 5
+
+
+def test_a_capital_k_is_no_odd_letter():
+    """Before, it had every text beyond ASCII searched as a whole."""
+    assert not _ODD_CASE.search("KLEIN in Liège") and all(_ODD_CASE.search(c) for c in "\u017f\u212a\u0131\u0130")
+
+
 def test_detection_does_not_walk_a_text_once_a_rule(texts):
     """Before, the plan of detection replaced in every text some 200 times over."""
     plan = detect_spans(texts("te Gent"), "patterns")._jdf.queryExecution().optimizedPlan().toString()
