@@ -236,3 +236,14 @@ def test_a_document_extends_a_known_mapping(texts):
     }
     again = one(EN.encode(first.withColumn("text", F.lit("niets")), known="known"))[1]
     assert {p: m["occurrences"] for p, m in again.items()} == {"EMAIL_001": 1, "EMAIL_002": 1, "PLACE_001": 1}
+
+
+@pytest.mark.parametrize("more", [-1, 0, 1])
+def test_splice_of_texts_about_as_long_as_are_cut_at_once(spark, more):
+    """Up to there no blocks are made."""
+    from veilframe.functions import rewrite as RW
+
+    text = ("aé😀-" * RW.SHORT)[: RW.SHORT + more]
+    edits = [(0, 2, "X"), (1020, 1030, ""), (2048, 2048, "in"), (RW.SHORT - 3, len(text), "end")]
+    rows = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement")) for a, b, r in edits])
+    assert spark.range(1).select(RW.splice(F.lit(text), rows)).first()[0] == plain_splice(text, edits)
