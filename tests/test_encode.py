@@ -247,3 +247,10 @@ def test_splice_of_texts_about_as_long_as_are_cut_at_once(spark, more):
     edits = [(0, 2, "X"), (1020, 1030, ""), (2048, 2048, "in"), (RW.SHORT - 3, len(text), "end")]
     rows = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement")) for a, b, r in edits])
     assert spark.range(1).select(RW.splice(F.lit(text), rows)).first()[0] == plain_splice(text, edits)
+
+
+def test_entities_without_a_mapping_are_not_searched_for_known_ones(texts):
+    """Before, those of a category were picked out three times over, to look for known ones."""
+    docs = texts("a").select(F.array().cast(f"array<{E.ITEM_TYPE}>").alias("items"))
+    plan = docs.select(E.entities_in_row(F.col("items")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("filter(") <= 4  # 12 before
